@@ -4,7 +4,7 @@ Every rule below works on narrow facts per line or per bracket. They are shuffle
 once, on the file; the largest group is one file, which is one row of the input.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lakesearch.operators import masking as M
@@ -165,14 +165,19 @@ def _header_start(head: Column) -> list[Column]:
     ]
 
 
-# Per level and from the end of the file: the row before a bracket is the next one of
-# its level, so the row before an opening bracket closes it.
-_UPWARDS = Window.partitionBy(*FILE, "level").orderBy(F.desc("idx"))
-_BELOW = _UPWARDS.rowsBetween(Window.unboundedPreceding, -1)
+def _upwards() -> WindowSpec:
+    """Per level and from the end of the file: the row before a bracket is the next one
+    of its level, so the row before an opening bracket closes it."""
+    return Window.partitionBy(*FILE, "level").orderBy(F.desc("idx"))
 
 
 def _next(n: int, *columns: str) -> Column:
-    return F.lag(F.struct(*columns), n).over(_UPWARDS)
+    return F.lag(F.struct(*columns), n).over(_upwards())
+
+
+def _nearest(value: Column) -> Column:
+    """The first value that is not NULL among the later brackets of the level."""
+    return F.last(value, True).over(_upwards().rowsBetween(Window.unboundedPreceding, -1))
 
 
 def _place(close: Column) -> list[Column]:
@@ -196,8 +201,8 @@ def go_definitions(files: DataFrame) -> DataFrame:
         .withColumn("params_close", _next(3, "line", "col"))
     )
     rows = rows.withColumn(
-        "body", F.last(F.when(body, F.struct("idx", "close")), True).over(_BELOW)
-    ).withColumn("next_head", F.last(F.when(F.col("head") != "", F.col("idx")), True).over(_BELOW))
+        "body", _nearest(F.when(body, F.struct("idx", "close")))
+    ).withColumn("next_head", _nearest(F.when(F.col("head") != "", F.col("idx"))))
     heads = rows.where(F.col("head") != "")
     has_body = F.col("body").isNotNull() & (
         F.col("next_head").isNull() | (F.col("body.idx") < F.col("next_head"))
@@ -249,8 +254,8 @@ def script_definitions(files: DataFrame) -> DataFrame:
     typed = gap.rlike(r"[:|&<,=?]\s*$")
     starts = (F.col("function") != "") | (F.col("klass") != "")
     rows = rows.withColumn(
-        "body", F.last(F.when((mark == "{") & ~typed, F.struct("idx", "close")), True).over(_BELOW)
-    ).withColumn("next_head", F.last(F.when(starts, F.col("idx")), True).over(_BELOW))
+        "body", _nearest(F.when((mark == "{") & ~typed, F.struct("idx", "close")))
+    ).withColumn("next_head", _nearest(F.when(starts, F.col("idx"))))
     reached = F.when(
         F.col("next_head").isNull() | (F.col("body.idx") < F.col("next_head")), F.col("body.close")
     )

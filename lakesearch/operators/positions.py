@@ -7,9 +7,15 @@ from lakesearch.session import cut_lineage
 
 
 def running_offset(
-    rows: DataFrame, group: list[str], order: list[Column], weight: Column, name: str = "offset"
+    rows: DataFrame,
+    group: list[str],
+    order: list[Column],
+    weight: Column,
+    name: str = "offset",
+    total: str | None = None,
 ) -> DataFrame:
-    """Add the sum of `weight` over the earlier rows of the group, in `order`.
+    """Add the sum of `weight` over the earlier rows of the group, in `order`,
+    and as `total` the sum over the whole group.
 
     The rows are range-partitioned on group and order, so a group that holds most
     of the table is spread over many partitions. Each partition sums its own rows;
@@ -27,11 +33,16 @@ def running_offset(
     totals = ranged.groupBy("__part", *group).agg(F.sum("__w").alias("__total"))
     # At most one row per range partition and group.
     across = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    starts = totals.withColumn("__start", _sum_before("__total", across.orderBy("__part")))
+    starts = totals.withColumn(
+        "__start", _sum_before("__total", across.orderBy("__part"))
+    ).withColumn("__all", F.sum("__total").over(across))
     if group:
         # Null-safe, so that rows of a NULL group keep their positions too.
         renamed = starts.select(
-            F.col("__part").alias("__p"), "__start", *[F.col(g).alias(f"__g_{g}") for g in group]
+            F.col("__part").alias("__p"),
+            "__start",
+            "__all",
+            *[F.col(g).alias(f"__g_{g}") for g in group],
         )
         same = F.col("__part") == F.col("__p")
         for g in group:
@@ -39,7 +50,10 @@ def running_offset(
         joined = local.join(renamed, same)
     else:
         joined = local.join(starts, "__part")
-    return joined.withColumn(name, F.col("__local") + F.col("__start")).select(*rows.columns, name)
+    added = [(F.col("__local") + F.col("__start")).alias(name)]
+    if total:
+        added.append(F.col("__all").alias(total))
+    return joined.select(*rows.columns, *added)
 
 
 def _sum_before(column: str, window: WindowSpec) -> Column:

@@ -81,6 +81,8 @@ def bigram_coverage(query_pairs: Column, text_pairs: Column) -> Column:
 class LexicalScorer:
     """Weighted coverage of the query's terms plus coverage of its bigrams, in [0, 2].
 
+    Rounded to 9 decimals, so that the order of a sum does not decide between equals.
+
     `terms` and `sizes` are the statistics of the indexed chunks.
     """
 
@@ -91,17 +93,18 @@ class LexicalScorer:
     def score(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
         weights = term_weights(queries, self._terms, self._sizes)
         words = T.tokens(F.col("candidate_text"))
+
+        def coverage(w: Column) -> Column:
+            pairs_of_query = bigrams(T.tokens(F.col("query_text")))
+            return term_coverage(F.col("weights"), w) + bigram_coverage(pairs_of_query, bigrams(w))
+
         none = F.array().cast("array<struct<term:string,weight:double>>")
         return (
             pairs.join(weights, "query_id", "left")
             .withColumn("weights", F.coalesce("weights", none))
             .withColumn(
                 "score",
-                T.once(
-                    words,
-                    lambda w: term_coverage(F.col("weights"), w)
-                    + bigram_coverage(bigrams(T.tokens(F.col("query_text"))), bigrams(w)),
-                ),
+                F.round(T.once(words, coverage), 9),
             )
             .drop("weights")
         )

@@ -34,11 +34,18 @@ def rank_hits(hits: DataFrame, k: int, name: str = "rank") -> DataFrame:
 def top_k(
     vectors: DataFrame, queries: DataFrame, minimum: int = 1, pass_bytes: int = PASS_BYTES
 ) -> DataFrame:
+    return top_k_bounded(vectors, queries, minimum, pass_bytes)[0]
+
+
+def top_k_bounded(
+    vectors: DataFrame, queries: DataFrame, minimum: int = 1, pass_bytes: int = PASS_BYTES
+) -> tuple[DataFrame, int]:
     """The best greatest(k, minimum) vectors of each query's repository, ranked.
 
     `vectors` (repo_id, chunk_pos, embedding) is read once per pass and never
     shuffled: a task keeps k rows per query and only those go on.
     `queries` has (query_id, repo_id, embedding, k); a NULL k means DEFAULT_K.
+    Also gives an upper bound of the number of hits.
     """
     asked = F.coalesce(F.col("k").cast("bigint"), F.lit(DEFAULT_K))
     wanted = queries.where(F.col("repo_id").isNotNull()).select(
@@ -56,18 +63,50 @@ def top_k(
     ).first()
     if not stats.n:
         empty = vectors.sparkSession.createDataFrame([], HITS)
-        return empty.withColumn("rank", F.lit(0))
+        return empty.withColumn("rank", F.lit(0)), 0
     if stats.asked < 1:
         raise ValueError("k must be at least 1")
+    wanted = wanted.drop("asked")
+    most = pass_bytes // 24
+    if stats.k <= most:
+        return _in_passes(vectors, wanted, stats, pass_bytes), stats.n * stats.k
+    # A k whose rows alone fill a pass asks for a sorted table, not for a short list.
+    wide = _sorted_scores(vectors, wanted.where(F.col("wanted") > most))
+    narrow = wanted.where(F.col("wanted") <= most)
+    return top_k(vectors, _as_queries(narrow), 1, pass_bytes).unionByName(wide), stats.n * stats.k
+
+
+def _as_queries(wanted: DataFrame) -> DataFrame:
+    return wanted.withColumnRenamed("wanted", "k")
+
+
+def _in_passes(vectors: DataFrame, wanted: DataFrame, stats, pass_bytes: int) -> DataFrame:
     rows = max(1, pass_bytes // (24 * stats.k + 4 * max(stats.dim, 0)))
     hits = None
-    for block in _blocks(wanted.drop("asked"), stats.n, rows):
+    for block in _blocks(wanted, stats.n, rows):
         part = _one_pass(vectors, block)
         hits = part if hits is None else hits.unionByName(part)
     ranked = rank_hits(hits, stats.k)
     return ranked.where(F.col("rank") <= F.col("wanted")).drop("wanted")
 
 
+def _sorted_scores(vectors: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Ranks of whole score lists, spread over range partitions instead of one task each."""
+    scored = (
+        vectors.select("repo_id", "chunk_pos", F.col("embedding").alias("stored"))
+        .join(wanted, "repo_id")
+        .withColumn("retrieval_score", V.inner_product(F.col("stored"), F.col("embedding")))
+        .select("query_id", "repo_id", "chunk_pos", "retrieval_score", "wanted")
+    )
+    order = [-F.col("retrieval_score"), F.col("chunk_pos")]
+    placed = dense_positions(scored, ["query_id"], order, name="place")
+    return (
+        placed.where(F.col("place") < F.col("wanted"))
+        .withColumn("rank", (F.col("place") + 1).cast("int"))
+        .drop("place", "wanted")
+    )
+
+
 def _blocks(queries: DataFrame, count: int, rows: int) -> list[DataFrame]:
     """Slices of at most `rows` queries each."""
     if count <= rows:

@@ -46,7 +46,7 @@ VECTORS = StructType(
     [
         StructField("repo_id", LongType(), False),
         StructField("chunk_pos", LongType(), False),
-        StructField("embedding", ArrayType(FloatType(), False), False),
+        StructField("embedding", ArrayType(FloatType()), False),
     ]
 )
 

@@ -1,5 +1,7 @@
 """Session settings the jobs are written for, and the shared checkpoint folder."""
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,6 +31,17 @@ def local_session(cores: str = "8", memory: str = "16g", app: str = "lakesearch"
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per session."""
+    context = spark.sparkContext
+    if getattr(context, "_lakesearch_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="lakesearch-package-"), "lakesearch")
+    context.addPyFile(shutil.make_archive(target, "zip", root, "lakesearch"))
+    context._lakesearch_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder shared by all executors that `spark.checkpoint.dir` names.
 
