@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from lakesearch.session import cut_lineage
 
+# monotonically_increasing_id keeps the row number of a partition in its low 33 bits.
+_ROW_BITS = (1 << 33) - 1
+
 
 def running_offset(
     rows: DataFrame,
@@ -24,48 +27,33 @@ def running_offset(
     partition numbers must not change between the two passes.
     """
     keys = [f"__o{i}" for i in range(len(order))]
-    keyed = rows.select("*", *[o.alias(k) for o, k in zip(order, keys)], weight.alias("__w"))
-    ranged = keyed.repartitionByRange(*group, *keys).withColumn("__part", F.spark_partition_id())
-    ranged = cut_lineage(ranged)
-
+    ranged = cut_lineage(_ranged(rows, group, order, keys, weight.alias("__w")))
     inside = Window.partitionBy("__part", *group).orderBy(*keys)
     local = ranged.withColumn("__local", _sum_before("__w", inside))
-    totals = ranged.groupBy("__part", *group).agg(F.sum("__w").alias("__total"))
-    # At most one row per range partition and group.
-    across = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    starts = totals.withColumn(
-        "__start", _sum_before("__total", across.orderBy("__part"))
-    ).withColumn("__all", F.sum("__total").over(across))
-    if group:
-        # Null-safe, so that rows of a NULL group keep their positions too.
-        renamed = starts.select(
-            F.col("__part").alias("__p"),
-            "__start",
-            "__all",
-            *[F.col(g).alias(f"__g_{g}") for g in group],
-        )
-        same = F.col("__part") == F.col("__p")
-        for g in group:
-            same = same & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
-        joined = local.join(renamed, same)
-    else:
-        joined = local.join(starts, "__part")
-    added = [(F.col("__local") + F.col("__start")).alias(name)]
-    if total:
-        added.append(F.col("__all").alias(total))
-    return joined.select(*rows.columns, *added)
-
-
-def _sum_before(column: str, window: WindowSpec) -> Column:
-    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(column).over(earlier), F.lit(0))
+    totals = ranged.groupBy("__part", *group).agg(
+        F.sum("__w").alias("__total"), F.lit(0).alias("__first")
+    )
+    return _across(local, totals, group, rows.columns, name, total)
 
 
 def dense_positions(
     rows: DataFrame, group: list[str], order: list[Column], name: str = "chunk_pos"
 ) -> DataFrame:
-    """0-based position of each row in its group; `order` must be a total order."""
-    return running_offset(rows, group, order, F.lit(1).cast("bigint"), name)
+    """0-based position of each row in its group; `order` must be a total order.
+
+    As above, with the row number inside the sorted partition for the local sum.
+    """
+    keys = [f"__o{i}" for i in range(len(order))]
+    sorted_rows = _ranged(rows, group, order, keys).sortWithinPartitions(*group, *keys)
+    local = cut_lineage(
+        sorted_rows.withColumn(
+            "__local", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))
+        ).drop(*keys)
+    )
+    totals = local.groupBy("__part", *group).agg(
+        F.count("*").alias("__total"), F.min("__local").alias("__first")
+    )
+    return _across(local, totals, group, rows.columns, name, None)
 
 
 def continue_positions(
@@ -83,3 +71,42 @@ def continue_positions(
         .withColumn(name, F.col("__pos") + F.coalesce("__next", F.lit(0)))
         .drop("__pos", "__next")
     )
+
+
+def _ranged(
+    rows: DataFrame, group: list[str], order: list[Column], keys: list[str], *more: Column
+) -> DataFrame:
+    keyed = rows.select("*", *[o.alias(k) for o, k in zip(order, keys)], *more)
+    return keyed.repartitionByRange(*group, *keys).withColumn("__part", F.spark_partition_id())
+
+
+def _across(
+    local: DataFrame,
+    totals: DataFrame,
+    group: list[str],
+    columns: list[str],
+    name: str,
+    total: str | None,
+) -> DataFrame:
+    """Add to each local sum what the earlier partitions of its group hold."""
+    # At most one row per range partition and group.
+    parts = Window.partitionBy(*(group or [F.lit(0)]))
+    starts = totals.select(
+        F.col("__part").alias("__p"),
+        *[F.col(g).alias(f"__g_{g}") for g in group],
+        (_sum_before("__total", parts.orderBy("__part")) - F.col("__first")).alias("__start"),
+        F.sum("__total").over(parts).alias("__all"),
+    )
+    same = F.col("__part") == F.col("__p")
+    for g in group:
+        # Null-safe, so that rows of a NULL group keep their positions too.
+        same = same & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    added = [(F.col("__local") + F.col("__start")).alias(name)]
+    if total:
+        added.append(F.col("__all").alias(total))
+    return local.join(starts, same).select(*columns, *added)
+
+
+def _sum_before(column: str, window: WindowSpec) -> Column:
+    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(column).over(earlier), F.lit(0))

@@ -36,8 +36,11 @@ def term_weights(queries: DataFrame, terms: DataFrame, sizes: DataFrame) -> Data
     )
     n = F.coalesce(F.col("chunks_in_repo"), F.lit(0))
     df = F.coalesce(F.col("chunks_with_term"), F.lit(0))
+    # First only the statistics of asked terms: the words are the small side, and the
+    # larger table need not be shuffled for it.
+    known = terms.join(words.select("repo_id", "term").distinct(), ["repo_id", "term"])
     weighted = (
-        words.join(terms, ["repo_id", "term"], "left")
+        words.join(known, ["repo_id", "term"], "left")
         .join(sizes, "repo_id", "left")
         .select("query_id", "term", F.log1p((n - df + 0.5) / (df + 0.5)).alias("weight"))
     )

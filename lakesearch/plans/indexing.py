@@ -7,7 +7,9 @@ from lakesearch.operators import scoring
 from lakesearch.operators.catalog import empty_repos, index_summary
 from lakesearch.operators.chunking import chunk_files_with_positions, decoded
 from lakesearch.operators.embedding import embed_chunks
+from lakesearch.session import remove, shared_path
 from lakesearch.sources.store import IndexStore
+from lakesearch.sources.tables import read_corpus
 from lakesearch.sources.tree import read_source_tree
 
 
@@ -16,6 +18,7 @@ def index_files(store: IndexStore, files: DataFrame, repos: DataFrame, embedder)
 
     Returns (repo_id, chunks_indexed). Repositories without any file raise an error
     before anything is written. Running it again replaces the same partitions.
+    `files` is read several times, for the columns each step needs: pass a table.
     """
     missing = [r.path_or_url for r in empty_repos(repos, files).limit(10).collect()]
     if missing:
@@ -24,7 +27,7 @@ def index_files(store: IndexStore, files: DataFrame, repos: DataFrame, embedder)
     store.replace("chunks", chunks, sort=["chunk_pos"])
     # Go on from the written chunks: positions are computed once and shared.
     written = store.read_for("chunks", repos)
-    store.save_vectors(embed_chunks(written, embedder), embedder.dim)
+    store.save_vectors(embed_chunks(written, embedder), embedder.dim, clustered=True)
     store.replace("terms", scoring.term_statistics(written), sort=["term"])
     store.append("repos", repos.join(store.read("repos"), "repo_id", "left_anti"))
     return index_summary(written)
@@ -37,4 +40,10 @@ def index_location(store: IndexStore, location: str, embedder) -> DataFrame:
     repo_id = repos.first().repo_id
     fixed = spark.createDataFrame([(repo_id, location)], "repo_id bigint, path_or_url string")
     marked = fixed.withColumn("indexed_at", F.current_timestamp())
-    return index_files(store, read_source_tree(spark, location, repo_id), marked, embedder)
+    # The tree is walked and read once.
+    landed = shared_path(spark, "files")
+    read_source_tree(spark, location, repo_id).write.parquet(landed)
+    try:
+        return index_files(store, read_corpus(spark, landed), marked, embedder)
+    finally:
+        remove(spark, landed)

@@ -12,7 +12,7 @@ from lakesearch import schemas as S
 from lakesearch.functions import vectors as V
 from lakesearch.operators.filters import require_not_null
 from lakesearch.operators.positions import continue_positions, dense_positions
-from lakesearch.session import cut_lineage
+from lakesearch.session import cut_lineage, remove
 
 # Longest literal list of repository ids in a scan filter.
 NAMED_REPOS = 1000
@@ -71,14 +71,22 @@ class IndexStore:
             return self.read(table, named)
         return self.read(table).join(ids, "repo_id", "left_semi")
 
-    def replace(self, table: str, rows: DataFrame, sort: list[str] | None = None) -> None:
-        """Write `rows` in place of the partitions of their repositories only."""
-        self._write(table, rows, "overwrite", sort)
+    def replace(
+        self, table: str, rows: DataFrame, sort: list[str] | None = None, clustered: bool = False
+    ) -> None:
+        """Write `rows` in place of the partitions of their repositories only.
+
+        `clustered` rows come from a table that is partitioned by repository already
+        and are written where they are, without a shuffle.
+        """
+        self._write(table, rows, "overwrite", sort, clustered)
 
     def append(self, table: str, rows: DataFrame, sort: list[str] | None = None) -> None:
-        self._write(table, rows, "append", sort)
+        self._write(table, rows, "append", sort, False)
 
-    def _write(self, table: str, rows: DataFrame, mode: str, sort: list[str] | None) -> None:
+    def _write(
+        self, table: str, rows: DataFrame, mode: str, sort: list[str] | None, clustered: bool
+    ) -> None:
         schema: StructType = TABLES[table]
         shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
         if table in S.NOT_NULL:
@@ -87,7 +95,7 @@ class IndexStore:
             shaped.write.mode(mode).parquet(self.path(table))
             return
         # Rebalancing splits a large repository over several files and packs small ones.
-        even = shaped.hint("rebalance", "repo_id")
+        even = shaped if clustered else shaped.hint("rebalance", "repo_id")
         if sort:
             even = even.sortWithinPartitions("repo_id", *sort)
         (
@@ -112,10 +120,10 @@ class IndexStore:
             F.current_timestamp().alias("indexed_at"),
         )
 
-    def save_vectors(self, vectors: DataFrame, dim: int) -> None:
+    def save_vectors(self, vectors: DataFrame, dim: int, clustered: bool = False) -> None:
         """Replace the vectors of their repositories; a wrong dimension fails the job."""
         checked = vectors.withColumn("embedding", V.checked_dim(F.col("embedding"), dim))
-        self.replace("vectors", checked, sort=["chunk_pos"])
+        self.replace("vectors", checked, ["chunk_pos"], clustered)
 
     def add_vectors(self, vectors: DataFrame, dim: int, order: list) -> None:
         """Append (repo_id, embedding, …) rows, numbered after the stored ones in `order`."""
@@ -140,7 +148,4 @@ class IndexStore:
         cut_lineage(rows).write.mode("overwrite").parquet(self.path("repos"))
 
     def _drop_partition(self, table: str, repo_id: int) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/repo_id={repo_id}")
-        files = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        files.delete(target, True)
+        remove(self.spark, f"{self.path(table)}/repo_id={repo_id}")
