@@ -9,7 +9,10 @@ from lakesearch.operators.positions import running_offset
 from lakesearch.session import cut_lineage
 
 FILE = D.FILE
-_SPANS = "array<struct<start_line:int,start_col:int,end_line:int,end_col:int,kind:string,name:string,body_line:int>>"
+_SPANS = (
+    "array<struct<start_line:int,start_col:int,end_line:int,end_col:int,"
+    "kind:string,name:string,body_line:int>>"
+)
 _DOC = (
     r"^[ \t\f]*[A-Za-z]{0,2}"
     r"(\"\"\"(?s:(?:[^\"\\]++|\\.|\"(?!\"\"))*+)\"\"\""
@@ -29,31 +32,29 @@ def plan_chunks(files: DataFrame) -> DataFrame:
 
     `files` is (repo_id, path, text); (repo_id, path) must be unique.
     """
-    kinds = {
-        ("python",): D.python_definitions,
-        ("go",): D.go_definitions,
-        ("javascript", "typescript"): D.script_definitions,
-    }
     language = T.language(F.col("path"))
-    spans = None
-    for names, rule in kinds.items():
-        part = rule(files.where(language.isin(*names))).select(*D.COLUMNS)
-        spans = part if spans is None else spans.unionByName(part)
+    python = D.python_definitions(files.where(language == "python"))
+    braces = D.brace_definitions(files.where(language.isin("go", "javascript", "typescript")))
+    spans = python.select(*D.COLUMNS).unionByName(braces.select(*D.COLUMNS))
     # A file without definitions keeps a row: NULLs are not collected.
     every = files.select(*FILE, *[F.lit(None).alias(c) for c in D.COLUMNS if c not in FILE])
     entry = F.struct(*[c for c in D.COLUMNS if c not in FILE])
     found = F.when(F.col("name").isNotNull(), entry)
-    before = lambda a, b: (
-        F.when(a["start_line"] != b["start_line"], a["start_line"] - b["start_line"])
-        .when(a["start_col"] != b["start_col"], a["start_col"] - b["start_col"])
-        .when(a["end_line"] != b["end_line"], b["end_line"] - a["end_line"])
-        .otherwise(b["end_col"] - a["end_col"])
-    )
     return (
         spans.unionByName(every)
         .groupBy(*FILE)
         .agg(F.collect_list(found).cast(_SPANS).alias("spans"))
-        .withColumn("spans", F.array_sort("spans", before))
+        .withColumn("spans", F.array_sort("spans", _source_order))
+    )
+
+
+def _source_order(a: Column, b: Column) -> Column:
+    """Earlier start first; of two with the same start, the longer one."""
+    return (
+        F.when(a["start_line"] != b["start_line"], a["start_line"] - b["start_line"])
+        .when(a["start_col"] != b["start_col"], a["start_col"] - b["start_col"])
+        .when(a["end_line"] != b["end_line"], b["end_line"] - a["end_line"])
+        .otherwise(b["end_col"] - a["end_col"])
     )
 
 

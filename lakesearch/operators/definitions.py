@@ -7,6 +7,7 @@ once, on the file; the largest group is one file, which is one row of the input.
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from lakesearch.functions import text as T
 from lakesearch.operators import masking as M
 
 FILE = ["repo_id", "path"]
@@ -109,17 +110,21 @@ def python_definitions(files: DataFrame) -> DataFrame:
     return _label_methods(spans)
 
 
-def _brackets(files: DataFrame, masked: Column, markers: str) -> DataFrame:
+def _brackets(files: DataFrame) -> DataFrame:
     """One row per bracket with the code since the previous one, its place and its level.
 
     `level` is the nesting depth around the bracket pair, the same for both ends.
     """
-    piece = F.regexp_extract_all(masked, F.lit(f"[^{markers}]*+[{markers}]"), F.lit(0))
-    rows = files.select(*FILE, F.posexplode(piece).alias("idx", "piece"))
+    go = T.language(F.col("path")) == "go"
+    text = F.col("text")
+    masked = F.when(go, M.mask_go(text)).otherwise(M.mask_script(text))
+    piece = F.regexp_extract_all(masked, F.lit("[^{}()]*+[{}()]"), F.lit(0))
+    rows = files.select(*FILE, go.alias("go"), F.posexplode(piece).alias("idx", "piece"))
     opens = F.right("piece", F.lit(1)).isin("{", "(")
     tail = F.length(F.regexp_extract("piece", r"[^\n]*\z", 0))
     rows = rows.select(
         *FILE,
+        "go",
         "idx",
         F.right("piece", F.lit(1)).alias("mark"),
         F.left("piece", F.length("piece") - 1).alias("gap"),
@@ -184,81 +189,65 @@ def _place(close: Column) -> list[Column]:
     return [close["line"].alias("end_line"), close["col"].alias("end_col")]
 
 
-def go_definitions(files: DataFrame) -> DataFrame:
-    """Top-level functions and methods with receivers. `files` is (repo_id, path, text)."""
-    rows = _brackets(files, M.mask_go(F.col("text")), "{}()")
-    gap = F.col("gap")
-    opening = (F.col("mark") == "(") & (F.col("level") == 0)
-    named = F.when(opening, F.regexp_extract(gap, _GO_FUNCTION, 1)).otherwise("")
-    receiver = F.when(opening, F.regexp_extract(gap, _GO_METHOD, 1)).otherwise("")
-    body = (F.col("mark") == "{") & ~gap.rlike(r"\b(?:interface|struct)\s*$")
-    rows = (
-        rows.where(F.col("level") == 0)
-        .withColumn("head", F.concat(named, receiver))
-        .withColumn("is_method", receiver != "")
-        .withColumn("close", _next(1, "line", "col"))
-        .withColumn("params", _next(2, "gap"))
-        .withColumn("params_close", _next(3, "line", "col"))
-    )
-    rows = rows.withColumn(
-        "body", _nearest(F.when(body, F.struct("idx", "close")))
-    ).withColumn("next_head", _nearest(F.when(F.col("head") != "", F.col("idx"))))
-    heads = rows.where(F.col("head") != "")
-    has_body = F.col("body").isNotNull() & (
-        F.col("next_head").isNull() | (F.col("body.idx") < F.col("next_head"))
-    )
-    # A declaration without a body ends at its parameter list.
-    bare = F.when(F.col("is_method"), F.col("params_close")).otherwise(F.col("close"))
-    end = F.when(has_body, F.col("body.close")).otherwise(bare)
-    method_name = F.regexp_extract(F.col("params.gap"), r"^\s*(\w+)", 1)
-    name = F.when(F.col("is_method"), method_name).otherwise(
-        F.regexp_extract(gap, _GO_FUNCTION, 2)
-    )
-    return heads.where(end.isNotNull()).select(
-        *FILE,
-        *_header_start(F.col("head")),
-        *_place(end),
-        F.when(F.col("is_method"), "method").otherwise("function").alias("kind"),
-        F.coalesce(F.nullif(name, F.lit("")), F.lit(ANONYMOUS)).alias("name"),
-        F.lit(None).cast("int").alias("body_line"),
-    )
-
+def brace_definitions(files: DataFrame) -> DataFrame:
+    """Functions, classes and methods of Go, JavaScript and TypeScript files.
 
-def script_definitions(files: DataFrame) -> DataFrame:
-    """Functions, classes and methods of JavaScript and TypeScript files."""
-    rows = _brackets(files, M.mask_script(F.col("text")), "{}()")
-    gap, mark, previous = F.col("gap"), F.col("mark"), F.col("previous_mark")
+    Go has top-level functions and methods with receivers; the others have functions,
+    classes and the methods of classes and object literals.
+    """
+    go, gap, mark, previous = (F.col(c) for c in ("go", "gap", "mark", "previous_mark"))
+    # Nothing below the top level matters in Go.
+    rows = _brackets(files).where(~go | (F.col("level") == 0))
+    opening = mark == "("
     # A header at the very start of the gap follows the previous bracket directly.
-    statement = previous.isNull() | previous.isin("{", "}", ")") | gap.rlike(r"[\n;]")
-    member = previous.isin("{", "}", ")") | gap.rlike(r"[\n;,]")
-
-    function = F.when((mark == "(") & statement, F.regexp_extract(gap, _SCRIPT_FUNCTION, 1))
-    klass = F.when(mark.isin("{", "(") & statement, F.regexp_extract(gap, _SCRIPT_CLASS, 1))
-    method = F.when(
-        (mark == "(")
-        & member
-        & ~F.regexp_extract(gap, _SCRIPT_METHOD, 2).isin(*NOT_A_METHOD),
-        F.regexp_extract(gap, _SCRIPT_METHOD, 1),
-    )
+    follows = previous.isNull() | previous.isin("{", "}", ")")
+    statement = ~go & (follows | gap.rlike(r"[\n;]"))
+    member = ~go & ((follows & previous.isNotNull()) | gap.rlike(r"[\n;,]"))
+
+    def head_of(condition: Column, pattern: str) -> Column:
+        return F.coalesce(F.when(condition, F.regexp_extract(gap, pattern, 1)), F.lit(""))
+
+    word = F.regexp_extract(gap, _SCRIPT_METHOD, 2)
     rows = (
-        rows.withColumn("function", F.coalesce(function, F.lit("")))
-        .withColumn("klass", F.coalesce(klass, F.lit("")))
-        .withColumn("method", F.coalesce(method, F.lit("")))
-        .withColumn("class_body", mark.isin("{", "(") & gap.rlike(_SCRIPT_CLASS_BODY))
-        .withColumn("close", _next(1, "idx", "line", "col"))
+        rows.withColumns(
+            {
+                "go_function": head_of(go & opening, _GO_FUNCTION),
+                "receiver": head_of(go & opening, _GO_METHOD),
+                "function": head_of(statement & opening, _SCRIPT_FUNCTION),
+                "klass": head_of(statement & mark.isin("{", "("), _SCRIPT_CLASS),
+                "method": head_of(
+                    member & opening & ~word.isin(*NOT_A_METHOD), _SCRIPT_METHOD
+                ),
+                "class_body": ~go & mark.isin("{", "(") & gap.rlike(_SCRIPT_CLASS_BODY),
+                "close": _next(1, "idx", "line", "col"),
+            }
+        )
+        .withColumns(
+            {f"n{n}": _next(n, "idx", "line", "col", "mark", "gap", "close") for n in (2, 3, 4)}
+        )
+    )
+    go_function, receiver, function, klass, method = (
+        F.col(c) for c in ("go_function", "receiver", "function", "klass", "method")
     )
-    for n in (2, 3, 4):
-        rows = rows.withColumn(f"n{n}", _next(n, "idx", "mark", "gap", "close"))
     # The body of a function or class is the next `{` of its level that does not start
     # a type; nothing else may be declared in between.
-    typed = gap.rlike(r"[:|&<,=?]\s*$")
-    starts = (F.col("function") != "") | (F.col("klass") != "")
-    rows = rows.withColumn(
-        "body", _nearest(F.when((mark == "{") & ~typed, F.struct("idx", "close")))
-    ).withColumn("next_head", _nearest(F.when(starts, F.col("idx"))))
+    typed = F.when(go, gap.rlike(r"\b(?:interface|struct)\s*$")).otherwise(
+        gap.rlike(r"[:|&<,=?]\s*$")
+    )
+    body = (mark == "{") & ~typed
+    starts = F.concat(go_function, receiver, function, klass) != ""
+    rows = rows.withColumns(
+        {
+            "body": _nearest(F.when(body, F.struct("idx", "close"))),
+            "next_head": _nearest(F.when(starts, F.col("idx"))),
+        }
+    )
     reached = F.when(
         F.col("next_head").isNull() | (F.col("body.idx") < F.col("next_head")), F.col("body.close")
     )
+    # A Go declaration without a body ends at its parameter list.
+    params_close = F.struct(*[F.col(f"n3.{c}").alias(c) for c in ("idx", "line", "col")])
+    go_method_end = F.coalesce(reached, F.when(F.col("n3").isNotNull(), params_close))
     # The body of a method follows its `)` directly, after a type at most.
     direct = (F.col("n2.mark") == "{") & (F.col("n2.idx") == F.col("close.idx") + 1)
     plain = direct & F.col("n2.gap").rlike(r"^\s*(?::(?!.*=>)[^;]*[^:|&\s]\s*)?$")
@@ -270,29 +259,35 @@ def script_definitions(files: DataFrame) -> DataFrame:
         & F.col("n4.gap").rlike(r"^\s*$")
     )
     method_end = F.when(plain, F.col("n2.close")).when(after_type, F.col("n4.close"))
-    own = F.when(mark == "{", F.col("close")).otherwise(reached)
+    class_end = F.when(mark == "{", F.col("close")).otherwise(reached)
 
     def found(kind: str, text: Column, end: Column, name: Column, emit: bool = True) -> Column:
         return F.struct(
             F.lit(kind).alias("kind"),
             text.alias("text"),
             end.alias("end"),
-            name.alias("name"),
+            F.coalesce(F.nullif(name, F.lit("")), F.lit(ANONYMOUS)).alias("name"),
             F.lit(emit).alias("emit"),
         )
 
-    method_name = F.regexp_extract(gap, _SCRIPT_METHOD, 2)
-    plain_name = F.when(method_name.rlike(r"^[\w$#]+$"), method_name).otherwise(ANONYMOUS)
-    function, klass, method = F.col("function"), F.col("klass"), F.col("method")
+    def named(pattern: str) -> Column:
+        return F.regexp_extract(gap, pattern, 2)
+
+    go_method_name = F.regexp_extract(F.col("n2.gap"), r"^\s*(\w+)", 1)
+    method_name = F.regexp_extract(word, r"^[\w$#]+$", 0)
     container = F.regexp_extract(gap, _SCRIPT_CLASS_BODY, 0)
     head = (
         F.when(
-            function != "",
-            found("function", function, reached, F.regexp_extract(gap, _SCRIPT_FUNCTION, 2)),
+            go_function != "",
+            found(
+                "function", go_function, F.coalesce(reached, F.col("close")), named(_GO_FUNCTION)
+            ),
         )
-        .when(klass != "", found("class", klass, own, F.regexp_extract(gap, _SCRIPT_CLASS, 2)))
-        .when(F.col("class_body"), found("class", container, own, F.lit(ANONYMOUS), False))
-        .when(method != "", found("function", method, method_end, plain_name))
+        .when(receiver != "", found("method", receiver, go_method_end, go_method_name))
+        .when(function != "", found("function", function, reached, named(_SCRIPT_FUNCTION)))
+        .when(klass != "", found("class", klass, class_end, named(_SCRIPT_CLASS)))
+        .when(F.col("class_body"), found("class", container, class_end, F.lit(""), False))
+        .when(method != "", found("function", method, method_end, method_name))
     )
     heads = rows.withColumn("head", head).where(F.col("head.end").isNotNull())
     spans = heads.select(
