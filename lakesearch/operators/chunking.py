@@ -9,9 +9,11 @@ from lakesearch.operators.positions import running_offset
 from lakesearch.session import cut_lineage
 
 FILE = D.FILE
+# The negated ends make the natural order of a span the source order: earlier start
+# first, and of two with the same start the longer one.
 _SPANS = (
-    "array<struct<start_line:int,start_col:int,end_line:int,end_col:int,"
-    "kind:string,name:string,body_line:int>>"
+    "array<struct<start_line:int,start_col:int,back_line:int,back_col:int,"
+    "end_line:int,end_col:int,kind:string,name:string,body_line:int>>"
 )
 _DOC = (
     r"^[ \t\f]*[A-Za-z]{0,2}"
@@ -38,23 +40,22 @@ def plan_chunks(files: DataFrame) -> DataFrame:
     spans = python.select(*D.COLUMNS).unionByName(braces.select(*D.COLUMNS))
     # A file without definitions keeps a row: NULLs are not collected.
     every = files.select(*FILE, *[F.lit(None).alias(c) for c in D.COLUMNS if c not in FILE])
-    entry = F.struct(*[c for c in D.COLUMNS if c not in FILE])
+    entry = F.struct(
+        "start_line",
+        "start_col",
+        (-F.col("end_line")).alias("back_line"),
+        (-F.col("end_col")).alias("back_col"),
+        "end_line",
+        "end_col",
+        "kind",
+        "name",
+        "body_line",
+    )
     found = F.when(F.col("name").isNotNull(), entry)
     return (
         spans.unionByName(every)
         .groupBy(*FILE)
-        .agg(F.collect_list(found).cast(_SPANS).alias("spans"))
-        .withColumn("spans", F.array_sort("spans", _source_order))
-    )
-
-
-def _source_order(a: Column, b: Column) -> Column:
-    """Earlier start first; of two with the same start, the longer one."""
-    return (
-        F.when(a["start_line"] != b["start_line"], a["start_line"] - b["start_line"])
-        .when(a["start_col"] != b["start_col"], a["start_col"] - b["start_col"])
-        .when(a["end_line"] != b["end_line"], b["end_line"] - a["end_line"])
-        .otherwise(b["end_col"] - a["end_col"])
+        .agg(F.array_sort(F.collect_list(found).cast(_SPANS)).alias("spans"))
     )
 
 
@@ -70,11 +71,15 @@ def cut_chunks(files: DataFrame, plan: DataFrame) -> DataFrame:
     """
     extra = [c for c in plan.columns if c not in [*FILE, "spans"]]
     rows = files.join(plan, FILE)
+    lines = T.line_count(F.col("text"))
+    widest = F.lit(2147483647)
     whole = F.struct(
         F.lit(1).alias("start_line"),
         F.lit(1).alias("start_col"),
-        T.line_count(F.col("text")).alias("end_line"),
-        F.lit(2147483647).alias("end_col"),
+        (-lines).alias("back_line"),
+        (-widest).alias("back_col"),
+        lines.alias("end_line"),
+        widest.alias("end_col"),
         F.lit("file").alias("kind"),
         T.base_name(F.col("path")).alias("name"),
         F.lit(None).cast("int").alias("body_line"),
@@ -98,19 +103,28 @@ def cut_chunks(files: DataFrame, plan: DataFrame) -> DataFrame:
 
 def _cut(lines: Column, span: Column) -> Column:
     count = span["end_line"] - span["start_line"] + 1
-    body = F.array_join(F.slice(lines, span["start_line"], count), "\n")
     last = F.length(F.get(lines, span["end_line"] - 1))
-    length = F.length(body) - span["start_col"] + 1 - F.greatest(last - span["end_col"], F.lit(0))
+    beyond = F.greatest(last - span["end_col"], F.lit(0))
+
+    def trimmed(body: Column) -> Column:
+        return F.substring(
+            body, span["start_col"], F.length(body) - span["start_col"] + 1 - beyond
+        )
+
+    def unquoted(literal: Column) -> Column:
+        inner = F.trim(literal, F.lit("\"'"))
+        return F.when(literal != "", F.regexp_replace(inner, r"^\s+|\s+$", ""))
+
+    body = F.array_join(F.slice(lines, span["start_line"], count), "\n")
     doc_lines = F.slice(lines, span["body_line"], span["end_line"] - span["body_line"] + 1)
     literal = F.regexp_extract(F.array_join(doc_lines, "\n"), _DOC, 1)
-    stripped = F.regexp_replace(F.trim(literal, F.lit("\"'")), r"^\s+|\s+$", "")
     return F.struct(
         span["kind"].alias("kind"),
         span["name"].alias("name"),
         span["start_line"].alias("start_line"),
         span["end_line"].alias("end_line"),
-        F.substring(body, span["start_col"], length).alias("source_text"),
-        F.when(literal != "", stripped).alias("docstring"),
+        T.once(body, trimmed).alias("source_text"),
+        F.when(span["body_line"].isNotNull(), T.once(literal, unquoted)).alias("docstring"),
     )
 
 

@@ -23,8 +23,9 @@ NOT_A_METHOD = (
     "throw yield void delete import super this async"
 ).split()
 
-_PY_HEADER = r"(?U)^[ \t\f]*(?:async[ \t]+)?(def|class)[ \t]+(\w+)"
-_PY_DOC = rf"^[ \t\f]*[A-Za-z]{{0,2}}{M.OPEN}{M.FILL}*[ \t]*(?:;.*)?$"
+_SPACE = " \t\f\r\u000b"
+_PY_HEADER = r"(?U)^(?:async[ \t]+)?(def|class)[ \t]+(\w+)"
+_PY_DOC = rf"^[A-Za-z]{{0,2}}{M.OPEN}{M.FILL}*[ \t]*(?:;.*)?$"
 
 _SCRIPT_FUNCTION = (
     r"(?:^|[\n;])\s*(?:export\s+)?(?:default\s+)?"
@@ -51,23 +52,43 @@ def _count(text: Column, brackets: str) -> Column:
     return F.length(text) - F.length(F.translate(text, brackets, ""))
 
 
+def _python_lines(lines: DataFrame) -> DataFrame:
+    """Facts of the lines that are not blank, without their text.
+
+    Cheap tests come before patterns, since most lines are no headers.
+    """
+    code, word = F.col("code"), F.col("word")
+    brackets = F.col("brackets")
+    starts = word.startswith("def") | word.startswith("class") | word.startswith("async")
+    quoted = F.contains(F.left("word", F.lit(3)), F.lit(M.OPEN))
+    return (
+        lines.withColumn("code", F.rtrim("code", F.lit(_SPACE)))
+        .where(code != "")
+        .withColumns(
+            {
+                "word": F.ltrim("code", F.lit(_SPACE)),
+                "brackets": F.regexp_replace("code", r"[^(){}\[\]]++", ""),
+            }
+        )
+        .select(
+            *FILE,
+            (F.col("pos") + 1).alias("line"),
+            (F.length(code) - F.length(word)).alias("indent"),
+            F.length(code).alias("width"),
+            (_count(brackets, "([{") - _count(brackets, ")]}")).alias("nesting"),
+            code.endswith("\\").alias("continues"),
+            code.startswith(M.FILL).alias("in_string"),
+            F.when(starts, F.regexp_extract(word, _PY_HEADER, 1)).otherwise("").alias("header"),
+            F.when(starts, F.regexp_extract(word, _PY_HEADER, 2)).otherwise("").alias("name"),
+            (quoted & word.rlike(_PY_DOC)).alias("doc"),
+        )
+    )
+
+
 def python_definitions(files: DataFrame) -> DataFrame:
     """Blocks by indentation. `files` is (repo_id, path, text)."""
-    masked = files.select(*FILE, M.mask_python(F.col("text")).alias("masked"))
-    line = masked.select(*FILE, F.posexplode(F.split("masked", "\n")).alias("pos", "code"))
-    code = F.col("code")
-    facts = line.where(code.rlike(r"\S")).select(
-        *FILE,
-        (F.col("pos") + 1).alias("line"),
-        F.length(F.regexp_extract(code, r"^[ \t\f]*", 0)).alias("indent"),
-        F.length(F.regexp_replace(code, r"\s+$", "")).alias("width"),
-        (_count(code, "([{") - _count(code, ")]}")).alias("nesting"),
-        code.rlike(r"\\\s*$").alias("continues"),
-        code.startswith(M.FILL).alias("in_string"),
-        F.regexp_extract(code, _PY_HEADER, 1).alias("header"),
-        F.regexp_extract(code, _PY_HEADER, 2).alias("name"),
-        code.rlike(_PY_DOC).alias("doc"),
-    )
+    lines = F.split(M.mask_python(F.col("text")), "\n")
+    facts = _python_lines(files.select(*FILE, F.posexplode(lines).alias("pos", "code")))
     ordered = Window.partitionBy(*FILE).orderBy("line")
     whole = Window.partitionBy(*FILE)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
