@@ -474,15 +474,15 @@ def q_code_positions(spark, folder):
 def q_hash_embed(spark, folder):
     chunks = I.document_chunks(spark, folder)
     embedded = embed_chunks(chunks, EMBEDDER)
-    entries = embedded.select("chunk_pos", F.posexplode("embedding").alias("bucket", "x"))
-    return entries.select("chunk_pos", "bucket", F.round(F.col("x").cast("double"), 6).alias("x"))
+    values = F.transform("embedding", lambda x: F.round(x.cast("double"), 6))
+    return embedded.select("chunk_pos", F.posexplode(values).alias("bucket", "x"))
 
 
 @query
 def q_query_embed(spark, folder):
     embedded = embed_queries(I.benchmark_queries(spark, folder), EMBEDDER)
-    entries = embedded.select("query_id", F.posexplode("embedding").alias("bucket", "x"))
-    return entries.select("query_id", "bucket", F.round(F.col("x").cast("double"), 6).alias("x"))
+    values = F.transform("embedding", lambda x: F.round(x.cast("double"), 6))
+    return embedded.select("query_id", F.posexplode(values).alias("bucket", "x"))
 
 
 @query

@@ -94,22 +94,26 @@ class LexicalScorer:
         self._sizes = sizes
 
     def score(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
-        weights = term_weights(queries, self._terms, self._sizes)
         words = T.tokens(F.col("candidate_text"))
+        # What depends on the query alone is worked out once per query.
+        weights = queries.select(
+            "query_id", bigrams(T.tokens(F.col("text"))).alias("query_pairs")
+        ).join(term_weights(queries, self._terms, self._sizes), "query_id", "left")
 
         def coverage(w: Column) -> Column:
-            pairs_of_query = bigrams(T.tokens(F.col("query_text")))
-            return term_coverage(F.col("weights"), w) + bigram_coverage(pairs_of_query, bigrams(w))
+            return term_coverage(F.col("weights"), w) + bigram_coverage(
+                F.col("query_pairs"), bigrams(w)
+            )
 
         none = F.array().cast("array<struct<term:string,weight:double>>")
         return (
-            pairs.join(weights, "query_id", "left")
+            pairs.join(weights, "query_id")
             .withColumn("weights", F.coalesce("weights", none))
             .withColumn(
                 "score",
                 F.round(T.once(words, coverage), 9),
             )
-            .drop("weights")
+            .drop("weights", "query_pairs")
         )
 
 
