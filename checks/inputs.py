@@ -192,11 +192,16 @@ def odd_paths(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def one_repo(key: Column) -> Column:
+    """Repository 0 for every row: one key that holds the whole table."""
+    return F.when(key.isNotNull(), F.lit(0)).cast("bigint")
+
+
 def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as chunks of one repository."""
     documents = table(spark, folder, "documents")
     return documents.select(
-        F.lit(0).cast("bigint").alias("repo_id"),
+        one_repo(F.col("doc_id")).alias("repo_id"),
         F.col("doc_id").alias("chunk_pos"),
         F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file_path"),
         F.lit("file").alias("node_type"),
@@ -212,7 +217,7 @@ def benchmark_queries(spark: SparkSession, folder: str) -> DataFrame:
     """All benchmark texts as queries of that repository, with k from 1 to 15."""
     return table(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"),
-        F.lit(0).cast("bigint").alias("repo_id"),
+        one_repo(F.col("item_id")).alias("repo_id"),
         "text",
         (F.col("item_id") % 15 + 1).cast("int").alias("k"),
     )

@@ -131,64 +131,99 @@ def python_definitions(files: DataFrame) -> DataFrame:
     return _label_methods(spans)
 
 
-def _brackets(files: DataFrame) -> DataFrame:
-    """One row per bracket with the code since the previous one, its place and its level.
+def _bracket_facts(files: DataFrame) -> DataFrame:
+    """One narrow row per bracket: what the code since the previous bracket says.
 
-    `level` is the nesting depth around the bracket pair, the same for both ends.
+    `head` is a header that ends at the bracket, if any, with the place where it starts.
+    The code itself is not kept, so it is not shuffled.
     """
-    go = T.language(F.col("path")) == "go"
-    text = F.col("text")
+    go, text = T.language(F.col("path")) == "go", F.col("text")
     masked = F.when(go, M.mask_go(text)).otherwise(M.mask_script(text))
-    piece = F.regexp_extract_all(masked, F.lit("[^{}()]*+[{}()]"), F.lit(0))
-    rows = files.select(*FILE, go.alias("go"), F.posexplode(piece).alias("idx", "piece"))
-    opens = F.right("piece", F.lit(1)).isin("{", "(")
-    tail = F.length(F.regexp_extract("piece", r"[^\n]*\z", 0))
-    rows = rows.select(
+    pieces = F.regexp_extract_all(masked, F.lit("[^{}()]*+[{}()]"), F.lit(0))
+    rows = files.select(*FILE, go.alias("go"), F.posexplode(pieces).alias("idx", "piece"))
+    rows = rows.withColumns(
+        {
+            "mark": F.right("piece", F.lit(1)),
+            "gap": F.left("piece", F.length("piece") - 1),
+        }
+    )
+    go, piece, gap, mark = (F.col(c) for c in ("go", "piece", "gap", "mark"))
+    paren, either = mark == "(", mark.isin("{", "(")
+    word = F.regexp_extract(gap, _SCRIPT_METHOD, 2)
+    rules = [
+        ("go function", go & paren, _GO_FUNCTION, 1, F.regexp_extract(gap, _GO_FUNCTION, 2)),
+        ("go method", go & paren, _GO_METHOD, 1, F.lit("")),
+        ("function", ~go & paren, _SCRIPT_FUNCTION, 1, F.regexp_extract(gap, _SCRIPT_FUNCTION, 2)),
+        ("class", ~go & either, _SCRIPT_CLASS, 1, F.regexp_extract(gap, _SCRIPT_CLASS, 2)),
+        ("container", ~go & either, _SCRIPT_CLASS_BODY, 0, F.lit("")),
+        (
+            "member",
+            ~go & paren & ~word.isin(*NOT_A_METHOD),
+            _SCRIPT_METHOD,
+            1,
+            F.regexp_extract(word, r"^[\w$#]+$", 0),
+        ),
+    ]
+    head = F.lit(None).cast("struct<rule:string,text:string,name:string>")
+    for rule, applies, pattern, group, name in reversed(rules):
+        found = F.struct(
+            F.lit(rule).alias("rule"),
+            F.regexp_extract(gap, pattern, group).alias("text"),
+            F.coalesce(F.nullif(name, F.lit("")), F.lit(ANONYMOUS)).alias("name"),
+        )
+        head = F.when(applies & gap.rlike(pattern), found).otherwise(head)
+    rows = rows.withColumn("head", head)
+    before = F.left("gap", F.length("gap") - F.length("head.text"))
+    last_line = F.length(F.regexp_extract(before, r"[^\n]*\z", 0))
+    tail = F.length(F.regexp_extract(piece, r"[^\n]*\z", 0))
+    return rows.select(
         *FILE,
         "go",
         "idx",
-        F.right("piece", F.lit(1)).alias("mark"),
-        F.left("piece", F.length("piece") - 1).alias("gap"),
-        F.length("piece").alias("length"),
-        _newlines(F.col("piece")).alias("breaks"),
-        F.when(F.contains("piece", F.lit("\n")), tail).alias("tail"),
-        F.when(opens, 1).otherwise(-1).alias("step"),
+        "mark",
+        F.length(piece).alias("length"),
+        _newlines(piece).alias("breaks"),
+        F.when(F.contains(piece, F.lit("\n")), tail).alias("tail"),
+        F.col("head.rule").alias("rule"),
+        F.col("head.name").alias("name"),
+        _newlines(F.col("head.text")).alias("head_breaks"),
+        F.length(before).alias("before"),
+        F.when(F.contains(before, F.lit("\n")), last_line).alias("before_tail"),
+        gap.rlike(r"[\n;]").alias("after_break"),
+        gap.rlike(r"[\n;,]").alias("after_comma"),
+        F.when(go, gap.rlike(r"\b(?:interface|struct)\s*$"))
+        .otherwise(gap.rlike(r"[:|&<,=?]\s*$"))
+        .alias("typed"),
+        gap.rlike(r"^\s*(?::(?!.*=>)[^;]*[^:|&\s]\s*)?$").alias("starts_body"),
+        gap.rlike(r"^\s*:[^;]*$").alias("starts_type"),
+        gap.rlike(r"^\s*$").alias("is_blank"),
+        F.regexp_extract(gap, r"^\s*(\w+)", 1).alias("go_name"),
     )
+
+
+def _placed_brackets(facts: DataFrame) -> DataFrame:
+    """Line and column of each bracket, and its level: the depth around its pair, the
+    same for both ends."""
     ordered = Window.partitionBy(*FILE).orderBy("idx")
     running = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    offset = F.sum("length").over(running)
-    depth = F.sum("step").over(running)
+    opens = F.col("mark").isin("{", "(")
+    depth = F.sum(F.when(opens, 1).otherwise(-1)).over(running)
+    last_break = F.when(F.col("tail").isNotNull(), F.col("offset") - F.col("tail"))
     return (
-        rows.withColumn("offset", offset)
-        .withColumn("line", F.sum("breaks").over(running) + 1)
-        .withColumn("level", F.when(F.col("step") > 0, depth - 1).otherwise(depth))
+        facts.withColumns(
+            {
+                "offset": F.sum("length").over(running),
+                "line": F.sum("breaks").over(running) + 1,
+                "level": F.when(opens, depth - 1).otherwise(depth),
+                "previous_mark": F.lag("mark").over(ordered),
+            }
+        )
         .withColumn(
-            "base",
-            F.coalesce(
-                F.last(F.when(F.col("tail").isNotNull(), F.col("offset") - F.col("tail")), True).over(
-                    running
-                ),
-                F.lit(0),
-            ),
+            "col", F.col("offset") - F.coalesce(F.last(last_break, True).over(running), F.lit(0))
         )
-        .withColumn("col", F.col("offset") - F.col("base"))
         .withColumn("previous_col", F.coalesce(F.lag("col").over(ordered), F.lit(0)))
-        .withColumn("previous_mark", F.lag("mark").over(ordered))
-        .drop("length", "breaks", "tail", "step", "base", "offset")
-    )
-
-
-def _header_start(head: Column) -> list[Column]:
-    """Line and column where the matched header text `head` at the end of the gap starts."""
-    before = F.left("gap", F.length("gap") - F.length(head))
-    fresh = F.length(F.regexp_extract(before, r"[^\n]*\z", 0))
-    col = F.when(F.contains(before, F.lit("\n")), fresh).otherwise(
-        F.col("previous_col") + F.length(before)
+        .drop("length", "breaks", "tail", "offset")
     )
-    return [
-        (F.col("line") - _newlines(head)).alias("start_line"),
-        (col + 1).alias("start_col"),
-    ]
 
 
 def _upwards() -> WindowSpec:
@@ -206,61 +241,45 @@ def _nearest(value: Column) -> Column:
     return F.last(value, True).over(_upwards().rowsBetween(Window.unboundedPreceding, -1))
 
 
-def _place(close: Column) -> list[Column]:
-    return [close["line"].alias("end_line"), close["col"].alias("end_col")]
-
-
 def brace_definitions(files: DataFrame) -> DataFrame:
     """Functions, classes and methods of Go, JavaScript and TypeScript files.
 
     Go has top-level functions and methods with receivers; the others have functions,
     classes and the methods of classes and object literals.
     """
-    go, gap, mark, previous = (F.col(c) for c in ("go", "gap", "mark", "previous_mark"))
+    go, mark, previous, rule = (F.col(c) for c in ("go", "mark", "previous_mark", "rule"))
     # Nothing below the top level matters in Go.
-    rows = _brackets(files).where(~go | (F.col("level") == 0))
-    opening = mark == "("
+    rows = _placed_brackets(_bracket_facts(files)).where(~go | (F.col("level") == 0))
     # A header at the very start of the gap follows the previous bracket directly.
     follows = previous.isNull() | previous.isin("{", "}", ")")
-    statement = ~go & (follows | gap.rlike(r"[\n;]"))
-    member = ~go & ((follows & previous.isNotNull()) | gap.rlike(r"[\n;,]"))
-
-    def head_of(condition: Column, pattern: str) -> Column:
-        return F.coalesce(F.when(condition, F.regexp_extract(gap, pattern, 1)), F.lit(""))
-
-    word = F.regexp_extract(gap, _SCRIPT_METHOD, 2)
-    rows = (
-        rows.withColumns(
-            {
-                "go_function": head_of(go & opening, _GO_FUNCTION),
-                "receiver": head_of(go & opening, _GO_METHOD),
-                "function": head_of(statement & opening, _SCRIPT_FUNCTION),
-                "klass": head_of(statement & mark.isin("{", "("), _SCRIPT_CLASS),
-                "method": head_of(
-                    member & opening & ~word.isin(*NOT_A_METHOD), _SCRIPT_METHOD
-                ),
-                "class_body": ~go & mark.isin("{", "(") & gap.rlike(_SCRIPT_CLASS_BODY),
-                "close": _next(1, "idx", "line", "col"),
-            }
-        )
-        .withColumns(
-            {f"n{n}": _next(n, "idx", "line", "col", "mark", "gap", "close") for n in (2, 3, 4)}
-        )
-    )
-    go_function, receiver, function, klass, method = (
-        F.col(c) for c in ("go_function", "receiver", "function", "klass", "method")
+    statement = follows | F.col("after_break")
+    member = (follows & previous.isNotNull()) | F.col("after_comma")
+    rows = rows.withColumns(
+        {
+            # A class that is no statement still tells that its members are methods.
+            "rule": F.when((rule == "class") & ~statement, "container")
+            .when((rule == "function") & ~statement, None)
+            .when((rule == "member") & ~member, None)
+            .otherwise(rule),
+            "close": _next(1, "idx", "line", "col"),
+        }
+    ).withColumns(
+        {
+            f"n{n}": _next(
+                n, "idx", "line", "col", "mark", "starts_body", "starts_type", "is_blank",
+                "go_name", "close",
+            )
+            for n in (2, 3, 4)
+        }
     )
     # The body of a function or class is the next `{` of its level that does not start
     # a type; nothing else may be declared in between.
-    typed = F.when(go, gap.rlike(r"\b(?:interface|struct)\s*$")).otherwise(
-        gap.rlike(r"[:|&<,=?]\s*$")
-    )
-    body = (mark == "{") & ~typed
-    starts = F.concat(go_function, receiver, function, klass) != ""
+    body = (mark == "{") & ~F.col("typed")
+    declares = rule.isin("go function", "go method", "function", "class")
     rows = rows.withColumns(
         {
             "body": _nearest(F.when(body, F.struct("idx", "close"))),
-            "next_head": _nearest(F.when(starts, F.col("idx"))),
+            "next_head": _nearest(F.when(declares, F.col("idx"))),
         }
     )
     reached = F.when(
@@ -269,58 +288,44 @@ def brace_definitions(files: DataFrame) -> DataFrame:
     # A Go declaration without a body ends at its parameter list.
     params_close = F.struct(*[F.col(f"n3.{c}").alias(c) for c in ("idx", "line", "col")])
     go_method_end = F.coalesce(reached, F.when(F.col("n3").isNotNull(), params_close))
-    # The body of a method follows its `)` directly, after a type at most.
+    # The body of a member follows its `)` directly, after a type at most.
     direct = (F.col("n2.mark") == "{") & (F.col("n2.idx") == F.col("close.idx") + 1)
-    plain = direct & F.col("n2.gap").rlike(r"^\s*(?::(?!.*=>)[^;]*[^:|&\s]\s*)?$")
     after_type = (
         direct
-        & F.col("n2.gap").rlike(r"^\s*:[^;]*$")
+        & F.col("n2.starts_type")
         & (F.col("n4.mark") == "{")
         & (F.col("n4.idx") == F.col("n3.idx") + 1)
-        & F.col("n4.gap").rlike(r"^\s*$")
+        & F.col("n4.is_blank")
+    )
+    member_end = F.when(direct & F.col("n2.starts_body"), F.col("n2.close")).when(
+        after_type, F.col("n4.close")
     )
-    method_end = F.when(plain, F.col("n2.close")).when(after_type, F.col("n4.close"))
     class_end = F.when(mark == "{", F.col("close")).otherwise(reached)
-
-    def found(kind: str, text: Column, end: Column, name: Column, emit: bool = True) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            text.alias("text"),
-            end.alias("end"),
-            F.coalesce(F.nullif(name, F.lit("")), F.lit(ANONYMOUS)).alias("name"),
-            F.lit(emit).alias("emit"),
-        )
-
-    def named(pattern: str) -> Column:
-        return F.regexp_extract(gap, pattern, 2)
-
-    go_method_name = F.regexp_extract(F.col("n2.gap"), r"^\s*(\w+)", 1)
-    method_name = F.regexp_extract(word, r"^[\w$#]+$", 0)
-    container = F.regexp_extract(gap, _SCRIPT_CLASS_BODY, 0)
-    head = (
-        F.when(
-            go_function != "",
-            found(
-                "function", go_function, F.coalesce(reached, F.col("close")), named(_GO_FUNCTION)
-            ),
-        )
-        .when(receiver != "", found("method", receiver, go_method_end, go_method_name))
-        .when(function != "", found("function", function, reached, named(_SCRIPT_FUNCTION)))
-        .when(klass != "", found("class", klass, class_end, named(_SCRIPT_CLASS)))
-        .when(F.col("class_body"), found("class", container, class_end, F.lit(""), False))
-        .when(method != "", found("function", method, method_end, method_name))
+    end = (
+        F.when(rule == "go function", F.coalesce(reached, F.col("close")))
+        .when(rule == "go method", go_method_end)
+        .when(rule == "function", reached)
+        .when(rule.isin("class", "container"), class_end)
+        .when(rule == "member", member_end)
     )
-    heads = rows.withColumn("head", head).where(F.col("head.end").isNotNull())
+    kind = (
+        F.when(rule == "go method", "method")
+        .when(rule.isin("class", "container"), "class")
+        .otherwise("function")
+    )
+    go_name = F.coalesce(F.nullif(F.col("n2.go_name"), F.lit("")), F.lit(ANONYMOUS))
+    heads = rows.withColumn("end", end).where(F.col("end").isNotNull())
     spans = heads.select(
         *FILE,
-        *_header_start(F.col("head.text")),
-        *_place(F.col("head.end")),
-        "head.kind",
-        "head.name",
+        (F.col("line") - F.col("head_breaks")).alias("start_line"),
+        (F.coalesce("before_tail", F.col("previous_col") + F.col("before")) + 1).alias("start_col"),
+        F.col("end.line").alias("end_line"),
+        F.col("end.col").alias("end_col"),
+        kind.alias("kind"),
+        F.when(rule == "go method", go_name).otherwise(F.col("name")).alias("name"),
         F.lit(None).cast("int").alias("body_line"),
-        "head.emit",
+        (rule != "container").alias("emit"),
     )
-    # Class expressions and abstract classes only tell that their members are methods.
     return _label_methods(spans).where("emit").drop("emit")
 
 
