@@ -133,12 +133,12 @@ def chunk_files(files: DataFrame) -> DataFrame:
     return cut_chunks(files, plan_chunks(files)).drop("part")
 
 
-def chunk_files_with_positions(files: DataFrame) -> DataFrame:
+def place_chunks(files: DataFrame, plan: DataFrame) -> DataFrame:
     """Chunks with `chunk_pos`: 0-based per repository, by path component, then source order.
 
-    Positions come from the narrow plan (chunks per file), not from the chunk rows.
+    Positions come from the narrow plan (chunks per file), not from the chunk rows. The
+    plan is used twice and should be written already.
     """
-    plan = cut_lineage(plan_chunks(files))
     order = [T.path_parts(F.col("path"))]
     counts = plan.select(*FILE, chunk_count().alias("chunks"))
     offsets = running_offset(counts, ["repo_id"], order, F.col("chunks"), name="first")
@@ -148,3 +148,7 @@ def chunk_files_with_positions(files: DataFrame) -> DataFrame:
         .withColumn("chunk_pos", F.col("first") + F.col("part"))
         .drop("first", "part")
     )
+
+
+def chunk_files_with_positions(files: DataFrame) -> DataFrame:
+    return place_chunks(files, cut_lineage(plan_chunks(files)))

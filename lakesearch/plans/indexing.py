@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from lakesearch.operators import scoring
 from lakesearch.operators.catalog import empty_repos, index_summary
-from lakesearch.operators.chunking import chunk_files_with_positions, decoded
+from lakesearch.operators.chunking import decoded, place_chunks, plan_chunks
 from lakesearch.operators.embedding import embed_chunks
-from lakesearch.session import remove, shared_path
+from lakesearch.session import cut_lineage, remove, shared_path
 from lakesearch.sources.store import IndexStore
 from lakesearch.sources.tables import read_corpus
 from lakesearch.sources.tree import read_source_tree
@@ -20,11 +20,12 @@ def index_files(store: IndexStore, files: DataFrame, repos: DataFrame, embedder)
     before anything is written. Running it again replaces the same partitions.
     `files` is read several times, for the columns each step needs: pass a table.
     """
-    missing = [r.path_or_url for r in empty_repos(repos, files).limit(10).collect()]
+    texts = decoded(files)
+    plan = cut_lineage(plan_chunks(texts))
+    missing = [r.path_or_url for r in empty_repos(repos, plan).limit(10).collect()]
     if missing:
         raise ValueError(f"No indexable code found under {', '.join(missing)}")
-    chunks = chunk_files_with_positions(decoded(files))
-    store.replace("chunks", chunks, sort=["chunk_pos"])
+    store.replace("chunks", place_chunks(texts, plan), sort=["chunk_pos"])
     # Go on from the written chunks: positions are computed once and shared.
     written = store.read_for("chunks", repos)
     store.save_vectors(embed_chunks(written, embedder), embedder.dim, clustered=True)
