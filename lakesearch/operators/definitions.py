@@ -148,14 +148,28 @@ def _bracket_facts(files: DataFrame) -> DataFrame:
         }
     )
     go, piece, gap, mark = (F.col(c) for c in ("go", "piece", "gap", "mark"))
-    paren, either = mark == "(", mark.isin("{", "(")
+    paren, brace = mark == "(", mark == "{"
+    # A word test before a pattern: few gaps hold a keyword.
+    func, klass = F.contains(gap, F.lit("func")), F.contains(gap, F.lit("class"))
     word = F.regexp_extract(gap, _SCRIPT_METHOD, 2)
     rules = [
-        ("go function", go & paren, _GO_FUNCTION, 1, F.regexp_extract(gap, _GO_FUNCTION, 2)),
-        ("go method", go & paren, _GO_METHOD, 1, F.lit("")),
-        ("function", ~go & paren, _SCRIPT_FUNCTION, 1, F.regexp_extract(gap, _SCRIPT_FUNCTION, 2)),
-        ("class", ~go & either, _SCRIPT_CLASS, 1, F.regexp_extract(gap, _SCRIPT_CLASS, 2)),
-        ("container", ~go & either, _SCRIPT_CLASS_BODY, 0, F.lit("")),
+        ("go function", go & paren & func, _GO_FUNCTION, 1, F.regexp_extract(gap, _GO_FUNCTION, 2)),
+        ("go method", go & paren & func, _GO_METHOD, 1, F.lit("")),
+        (
+            "function",
+            ~go & paren & func,
+            _SCRIPT_FUNCTION,
+            1,
+            F.regexp_extract(gap, _SCRIPT_FUNCTION, 2),
+        ),
+        (
+            "class",
+            ~go & (paren | brace) & klass,
+            _SCRIPT_CLASS,
+            1,
+            F.regexp_extract(gap, _SCRIPT_CLASS, 2),
+        ),
+        ("container", ~go & (paren | brace) & klass, _SCRIPT_CLASS_BODY, 0, F.lit("")),
         (
             "member",
             ~go & paren & ~word.isin(*NOT_A_METHOD),
@@ -191,13 +205,14 @@ def _bracket_facts(files: DataFrame) -> DataFrame:
         F.when(F.contains(before, F.lit("\n")), last_line).alias("before_tail"),
         gap.rlike(r"[\n;]").alias("after_break"),
         gap.rlike(r"[\n;,]").alias("after_comma"),
-        F.when(go, gap.rlike(r"\b(?:interface|struct)\s*$"))
-        .otherwise(gap.rlike(r"[:|&<,=?]\s*$"))
+        # What only an opening brace is asked for.
+        F.when(brace & go, gap.rlike(r"\b(?:interface|struct)\s*$"))
+        .when(brace, gap.rlike(r"[:|&<,=?]\s*$"))
         .alias("typed"),
-        gap.rlike(r"^\s*(?::(?!.*=>)[^;]*[^:|&\s]\s*)?$").alias("starts_body"),
-        gap.rlike(r"^\s*:[^;]*$").alias("starts_type"),
-        gap.rlike(r"^\s*$").alias("is_blank"),
-        F.regexp_extract(gap, r"^\s*(\w+)", 1).alias("go_name"),
+        (brace & ~go & gap.rlike(r"^\s*(?::(?!.*=>)[^;]*[^:|&\s]\s*)?$")).alias("starts_body"),
+        (brace & ~go & gap.rlike(r"^\s*:[^;]*$")).alias("starts_type"),
+        (brace & ~go & gap.rlike(r"^\s*$")).alias("is_blank"),
+        F.when(go & paren, F.regexp_extract(gap, r"^\s*(\w+)", 1)).alias("go_name"),
     )
 
 
