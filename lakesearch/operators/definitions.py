@@ -40,6 +40,7 @@ _SCRIPT_METHOD = (
     r"((?:(?:static|async|get|set|public|private|protected|readonly|override)\s+)*\*?\s*"
     rf"([\w$#]+|\[[^\]]*\]|{M.OPEN}{M.FILL}*)\s*\??(?:<[^()]*>)?\s*)$"
 )
+_MEMBER_NAME = rf"([\w$#]+|\[[^\]]*\]|{M.OPEN}{M.FILL}*)\s*\??(?:<[^()]*>)?\s*$"
 _GO_FUNCTION = r"(?:^|\n)(func\s+(\w+)\s*(?:\[[^\]]*\])?\s*)$"
 _GO_METHOD = r"(?:^|\n)(func\s*)$"
 
@@ -151,43 +152,36 @@ def _bracket_facts(files: DataFrame) -> DataFrame:
     paren, brace = mark == "(", mark == "{"
     # A word test before a pattern: few gaps hold a keyword.
     func, klass = F.contains(gap, F.lit("func")), F.contains(gap, F.lit("class"))
-    word = F.regexp_extract(gap, _SCRIPT_METHOD, 2)
-    rules = [
-        ("go function", go & paren & func, _GO_FUNCTION, 1, F.regexp_extract(gap, _GO_FUNCTION, 2)),
-        ("go method", go & paren & func, _GO_METHOD, 1, F.lit("")),
-        (
-            "function",
-            ~go & paren & func,
-            _SCRIPT_FUNCTION,
-            1,
-            F.regexp_extract(gap, _SCRIPT_FUNCTION, 2),
-        ),
-        (
-            "class",
-            ~go & (paren | brace) & klass,
-            _SCRIPT_CLASS,
-            1,
-            F.regexp_extract(gap, _SCRIPT_CLASS, 2),
-        ),
-        ("container", ~go & (paren | brace) & klass, _SCRIPT_CLASS_BODY, 0, F.lit("")),
-        (
-            "member",
-            ~go & paren & ~word.isin(*NOT_A_METHOD),
-            _SCRIPT_METHOD,
-            1,
-            F.regexp_extract(word, r"^[\w$#]+$", 0),
-        ),
-    ]
-    head = F.lit(None).cast("struct<rule:string,text:string,name:string>")
-    for rule, applies, pattern, group, name in reversed(rules):
-        found = F.struct(
-            F.lit(rule).alias("rule"),
-            F.regexp_extract(gap, pattern, group).alias("text"),
-            F.coalesce(F.nullif(name, F.lit("")), F.lit(ANONYMOUS)).alias("name"),
-        )
-        head = F.when(applies & gap.rlike(pattern), found).otherwise(head)
-    rows = rows.withColumn("head", head)
-    before = F.left("gap", F.length("gap") - F.length("head.text"))
+    bound = paren | brace
+    # One pattern per rule on the gap; names are taken from the short header it finds.
+    rules = {
+        "go function": (go & paren & func, _GO_FUNCTION, 1, r"^func\s+(\w+)"),
+        "go method": (go & paren & func, _GO_METHOD, 1, None),
+        "function": (~go & paren & func, _SCRIPT_FUNCTION, 1, r"\bfunction\s+([\w$]+)"),
+        "class": (~go & bound & klass, _SCRIPT_CLASS, 1, r"^class\s+([\w$]+)"),
+        "container": (~go & bound & klass, _SCRIPT_CLASS_BODY, 0, None),
+        "member": (~go & paren, _SCRIPT_METHOD, 1, _MEMBER_NAME),
+    }
+    rows = rows.withColumns(
+        {
+            rule: F.coalesce(F.when(applies, F.regexp_extract(gap, pattern, group)), F.lit(""))
+            for rule, (applies, pattern, group, _) in rules.items()
+        }
+    )
+    rule, head = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name in reversed(rules):
+        rule = F.when(F.col(name) != "", name).otherwise(rule)
+        head = F.when(F.col(name) != "", F.col(name)).otherwise(head)
+    rows = rows.withColumns({"rule": rule, "head": head}).drop(*rules)
+    name = F.lit(None).cast("string")
+    for kind, (_, _, _, pattern) in rules.items():
+        if pattern:
+            found = F.regexp_extract("head", pattern, 1)
+            name = F.when(F.col("rule") == kind, found).otherwise(name)
+    rows = rows.withColumn("name", name)
+    call = (F.col("rule") == "member") & F.col("name").isin(*NOT_A_METHOD)
+    plain = F.when(F.col("name").rlike(r"^[\w$#]+$"), F.col("name"))
+    before = F.left("gap", F.length("gap") - F.length("head"))
     last_line = F.length(F.regexp_extract(before, r"[^\n]*\z", 0))
     tail = F.length(F.regexp_extract(piece, r"[^\n]*\z", 0))
     return rows.select(
@@ -198,9 +192,9 @@ def _bracket_facts(files: DataFrame) -> DataFrame:
         F.length(piece).alias("length"),
         _newlines(piece).alias("breaks"),
         F.when(F.contains(piece, F.lit("\n")), tail).alias("tail"),
-        F.col("head.rule").alias("rule"),
-        F.col("head.name").alias("name"),
-        _newlines(F.col("head.text")).alias("head_breaks"),
+        F.when(~F.coalesce(call, F.lit(False)), F.col("rule")).alias("rule"),
+        F.coalesce(plain, F.lit(ANONYMOUS)).alias("name"),
+        _newlines(F.col("head")).alias("head_breaks"),
         F.length(before).alias("before"),
         F.when(F.contains(before, F.lit("\n")), last_line).alias("before_tail"),
         gap.rlike(r"[\n;]").alias("after_break"),
