@@ -4,11 +4,39 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesearch.llm import exact_dedup, packing, simhash, superkmers, toxicity
+from lakesearch.llm import (
+    bpe,
+    exact_dedup,
+    extraction,
+    langid,
+    packing,
+    perspectives,
+    quality,
+    simhash,
+    superkmers,
+    toxicity,
+)
 from lakesearch.llm.common import remainder, table
 from lakesearch.session import ship_package
 
 
+def op1_perspective_chat(spark: SparkSession, folder: str) -> DataFrame:
+    rendered = perspectives.perspectives(table(spark, folder, "conversations"))
+    spans = F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["end"]))
+    return rendered.select(
+        "conv_id", "participant", "block", "n_turns", "text", F.array_join(spans, ",").alias("mask")
+    )
+
+
+def op2_backoff_language(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = langid.train(docs.where(~held_out))
+    found = langid.identify_languages(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_counterfactual_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     ship_package(spark)
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -26,6 +54,15 @@ def op4_genetic_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_mincut_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    return extraction.extract(table(spark, folder, "pages"))
+
+
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"))
+
+
 def op7_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:
     ship_package(spark)
     return simhash.near_duplicates(table(spark, folder, "documents"))
@@ -35,6 +72,13 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+def op9_numpy_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    return bpe.encode_decode(
+        table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
+
+
 def op10_superkmer_dedup(spark: SparkSession, folder: str) -> DataFrame:
     ship_package(spark)
     kept = superkmers.drop_repeats(table(spark, folder, "documents"))
@@ -46,15 +90,78 @@ def op10_superkmer_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_perspective_chat,
+        op2_backoff_language,
         op3_counterfactual_toxicity,
         op4_genetic_packing,
+        op5_mincut_extraction,
+        op6_quality_rules,
         op7_simhash_trie,
         op8_exact_dedup,
+        op9_numpy_bpe,
         op10_superkmer_dedup,
     )
 }
 
+# Queries without SQL are tested against brute force, the tokenizers library or held-out labels.
 ORACLE = {
+    "op1_perspective_chat": """
+        WITH turns AS (
+            SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST,
+                                      coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS pos
+            FROM conversations),
+        speakers AS (SELECT DISTINCT conv_id, role AS participant FROM conversations
+                     WHERE role IS NOT NULL AND role <> 'system'),
+        segments AS (
+            SELECT t.conv_id, participant, pos // 64 AS block, pos, role = participant AS own,
+                   CASE WHEN role = participant THEN '<|assistant|>'
+                        WHEN role = 'system' THEN '<|system|>'
+                        ELSE '<|user name=' || replace(role, '<|', '<\\|') || '|>'
+                   END || chr(10) AS head,
+                   replace(text, '<|', '<\\|') || '<|end|>' || chr(10) AS body
+            FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+        placed AS (
+            SELECT *, sum(length(head) + length(body)) OVER (
+                          PARTITION BY conv_id, participant, block ORDER BY pos) - length(body) AS start
+            FROM segments)
+        SELECT conv_id, participant, block, CAST(count(*) AS INTEGER) AS n_turns,
+               string_agg(head || body, '' ORDER BY pos) AS text,
+               coalesce(string_agg(CASE WHEN own THEN CAST(start AS VARCHAR) || '-' ||
+                                   CAST(start + length(body) AS VARCHAR) END, ',' ORDER BY pos),
+                        '') AS mask
+        FROM placed GROUP BY conv_id, participant, block""",
+    "op6_quality_rules": f"""
+        WITH parts AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+                   list_filter(string_split(coalesce(text, ''), chr(10)),
+                               lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+            FROM documents),
+        windows AS (
+            SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+            FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM parts)),
+        repeated AS (
+            SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM windows)
+            WHERE n > 1),
+        covered AS (
+            SELECT r, count(DISTINCT i + k) AS n_repeat_words
+            FROM repeated, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+        measured AS (
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+                   CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                   CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+                   CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+                   len(l) AS n_lines,
+                   len(list_filter(w, lambda x: list_contains({quality.STOP_WORDS}, lower(x))))
+                       AS n_stop_words
+            FROM parts LEFT JOIN covered USING (r)),
+        base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+                 FROM measured)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND {quality.rules_sql()} AS kept
+        FROM base""",
     "op8_exact_dedup": """
         WITH normal AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
