@@ -41,8 +41,8 @@ def op3_counterfactual_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     ship_package(spark)
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = remainder(F.col("doc_id"), 5) == 0
-    learnt = docs.where(~held_out)
-    model = toxicity.train(toxicity.labelled(learnt, table(spark, folder, "labels")))
+    learnt = table(spark, folder, "labels").where(remainder(F.col("doc_id"), 5) != 0)
+    model = toxicity.train(toxicity.labelled_sample(docs, learnt))
     scored = toxicity.score_texts(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 

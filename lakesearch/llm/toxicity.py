@@ -4,9 +4,9 @@ Model. A word has features of its own: the word, and its first four, five and si
 logit is a bias plus the weights of all its words' features; a text's is that of its worst sentence,
 so one insult in a long clean text counts in full. Weights are found in three steps:
 
-1. Spark counts, over all labelled rows, in how many texts of either label each feature (hashed to
-   `SLOTS`) occurs; smoothed log ratios are the first weights.
-2. With these, each row of a bounded sample gives the sentences that score highest: what makes a text
+1. In a bounded sample of labelled rows (`SAMPLE` per label) Spark counts in how many texts of either
+   label each feature (hashed to `SLOTS`) occurs; smoothed log ratios are the first weights.
+2. With these, each row of the sample gives the sentences that score highest: what makes a text
    toxic, and what in clean texts comes nearest to it.
 3. Logistic regression on these sentences, repeated for `ROUNDS` rounds with the sentences that score
    highest by then. Each sentence that names a group is paired with the same
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lakesearch.session import cut_lineage
 
 SLOTS = 1 << 18
-#: Labelled rows of either label whose sentences are fitted. A documented bound of the classifier.
+#: Labelled rows of either label that are fitted. A documented bound of the classifier.
 SAMPLE = 3_000
 SENTENCES = 3
 #: Longer sentences are cut for fitting, not for scoring.
@@ -122,28 +122,44 @@ class Model:
         return score
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the rows with a label; an id that `labels` repeats takes its largest one."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(text, toxic) of up to `sample` labelled rows of either label, drawn by a hash of the id.
+
+    The ids are drawn from the labels alone and, `2 * sample` of them at most, sent to where the texts
+    are; no text is shuffled to find its label. An id that `labels` repeats takes its largest label;
+    of texts that share an id the smallest is taken.
+    """
     known = (
         labels.where("doc_id is not null and toxic is not null")
         .groupBy("doc_id")
         .agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     )
-    return docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "text", "toxic")
+    drawn = [
+        known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        for label in (0, 1)
+    ]
+    ids = F.broadcast(drawn[0].unionByName(drawn[1]))
+    return (
+        docs.select("doc_id", "text")
+        .join(ids, "doc_id")
+        .where("text is not null")
+        .groupBy("doc_id")
+        .agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+        .select("text", "toxic")
+    )
 
 
-def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on labelled `rows` (doc_id, text, toxic). Without rows of both labels the score is 0
-    for all (or 1, if all rows are toxic)."""
+def train(rows: DataFrame) -> Model:
+    """Fit on labelled `rows` (text, toxic). Without rows of both labels the score is 0 for all (or
+    1, if all rows are toxic)."""
     spark: SparkSession = rows.sparkSession
-    rows = cut_lineage(rows.where("text is not null"))
+    rows = cut_lineage(rows.where("text is not null").select("text", "toxic"))
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
     if not clean or not toxic:
         return Model(np.zeros(SLOTS), 30.0 if toxic else -30.0)
     counts = (
-        rows.select("text", "toxic")
-        .mapInPandas(_count_features, "slot int, toxic int, n long")
+        rows.mapInPandas(_count_features, "slot int, toxic int, n long")
         .groupBy("slot", "toxic")
         .agg(F.sum("n").alias("n"))
         .toPandas()
@@ -153,19 +169,12 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     # One and a half rows of doubt: what few texts have proves little.
     first = np.log((seen[1] + 0.5) / (toxic + 1)) - np.log((seen[0] + 0.5) / (clean + 1))
     first *= (seen.sum(axis=0) / (seen.sum(axis=0) + 1.5)) / 4
-    share = {0: min(1.0, sample / clean), 1: min(1.0, sample / toxic)}
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000
-    chosen = cut_lineage(
-        rows.where(
-            draw < F.when(F.col("toxic") == 1, F.lit(share[1])).otherwise(F.lit(share[0]))
-        ).select("text", "toxic")
-    )
     model = Model(first, 0.0)
     found: list[pd.DataFrame] = []
     for _ in range(ROUNDS):
         weights = spark.sparkContext.broadcast(model.weights)
         found.append(
-            chosen.mapInPandas(
+            rows.mapInPandas(
                 lambda batches, w=weights: _pick_sentences(batches, w.value),
                 "words array<string>, toxic int",
             ).toPandas()
@@ -298,9 +307,10 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that the model does not reject, with all their columns.
 
-    Fitted on all labelled rows of `docs`. The score is computed beside the row: nothing is shuffled.
+    Fitted on a sample of the labelled rows of `docs`. The score is computed beside the row: nothing
+    is shuffled.
     """
-    model = train(labelled(docs, labels))
+    model = train(labelled_sample(docs, labels))
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     @F.pandas_udf("boolean")
