@@ -7,6 +7,7 @@ from lakesearch.session import remove, shared_path
 
 #: White space between words: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -33,7 +34,14 @@ def write_out(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
     """
     spark = rows.sparkSession
     path = shared_path(spark, name)
-    rows.write.parquet(path)
+    # What was shuffled for this file is of no use after it; otherwise it stays on the executors'
+    # disks until the driver happens to collect its garbage.
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        rows.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(rows.schema).parquet(path), path
 
 

@@ -242,6 +242,7 @@ def repeated_spans(docs: DataFrame, split: int = SPLIT) -> DataFrame:
         .agg(F.collect_set(F.struct("start", "n", "v")).alias("runs"))
     )
     wanted, wanted_path = write_out(wanted, "wanted")
+    discard(spark, runs_path)
     texts = _keyed(docs).select("k1", "k2", "text")
     strings, strings_path = write_out(
         texts.join(wanted.hint("shuffle_hash"), _KEY).mapInPandas(
@@ -250,6 +251,7 @@ def repeated_spans(docs: DataFrame, split: int = SPLIT) -> DataFrame:
         ),
         "strings",
     )
+    discard(spark, wanted_path)
     distinct = strings.groupBy("v", "digest", "packed").agg(F.count("*").alias("copies"))
     distinct, distinct_path = write_out(distinct, "distinct")
     sizes = distinct.groupBy("v").agg(F.count("*").alias("c"))
@@ -276,7 +278,7 @@ def repeated_spans(docs: DataFrame, split: int = SPLIT) -> DataFrame:
         .groupBy(*_KEY)
         .agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
     )
-    discard(spark, runs_path, wanted_path, strings_path, distinct_path)
+    discard(spark, strings_path, distinct_path)
     return spans
 
 
@@ -312,12 +314,15 @@ def cut_repeats(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, found in batches:
             yield pd.Series(
-                [b" ".join(_kept_words(split_words(t), s)).decode("utf-8", "surrogatepass") for t, s in zip(texts, found)],
+                [
+                    None if s is None else b" ".join(_kept_words(split_words(t), s)).decode()
+                    for t, s in zip(texts, found)
+                ],
                 dtype="object",
             )
 
     joined = keyed.join(spans, ["__k1", "__k2"], "left").withColumn(
-        "__cut", F.when(F.col("__spans").isNotNull(), cut("text", "__spans"))
+        "__cut", cut("text", "__spans")
     )
     text = F.coalesce("__cut", "text")
     changed = {"text": text}
