@@ -13,14 +13,19 @@ from lakesearch.session import local_session  # noqa: E402
 HEADLINE = [
     "q_topk_batch",
     "q_topk_grouped",
+    "q_topk_passes",
+    "q_topk_whole_ranking",
     "q_hits_join_docs",
     "q_positions",
+    "q_append_positions",
     "q_source_files",
     "q_doc_segments",
+    "q_page_elements",
     "q_py_chunks",
     "q_brace_chunks",
     "q_code_positions",
     "q_hash_embed",
+    "q_term_statistics",
     "q_hash_search",
     "q_rerank",
     "q_search_e2e",

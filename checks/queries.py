@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import inputs as I
@@ -75,6 +75,27 @@ def q_topk_whole_ranking(spark, folder):
     return hits.select("query_id", "repo_id", "chunk_pos", "rank", _rounded("retrieval_score"))
 
 
+@query
+def q_topk_shared_ids(spark, folder):
+    """The same query ids asked in every repository."""
+    vectors = I.label_vectors(spark, folder)
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy("chunk_pos"))
+    queries = vectors.select(
+        place.cast("bigint").alias("query_id"), "repo_id", "embedding", F.lit(3).alias("k")
+    )
+    hits = topk.top_k(vectors, queries)
+    return hits.select("query_id", "repo_id", "chunk_pos", "rank", _rounded("retrieval_score"))
+
+
+@query
+def q_lookup_positions(spark, folder):
+    """Literal positions in one repository, where others use them too, and an empty list."""
+    rows = I.label_vectors(spark, folder).withColumn("chunk_pos", F.col("chunk_pos") % 40)
+    found = catalog.lookup_positions(rows, 3, [1, 5, 39, 77])
+    none = catalog.lookup_positions(rows, 4, [])
+    return found.unionByName(none).groupBy("repo_id", "chunk_pos").agg(F.count("*").alias("found"))
+
+
 @query
 def q_normalize(spark, folder):
     raw = I.one_repo_vectors(spark, folder).withColumn(

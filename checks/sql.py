@@ -251,6 +251,19 @@ ORACLE: dict[str, str] = {
     "q_topk_whole_ranking": f"""
       SELECT query_id, repo_id, chunk_pos, rank, round(retrieval_score, 6) AS retrieval_score
       FROM ({best('label', 1000)})""",
+    "q_topk_shared_ids": """
+      WITH v AS (SELECT label::BIGINT AS repo_id, vec_id AS chunk_pos, embedding::DOUBLE[] AS e,
+                        row_number() OVER (PARTITION BY label ORDER BY vec_id) AS query_id
+                 FROM embeddings),
+      s AS (SELECT q.query_id, repo_id, v.chunk_pos, list_dot_product(v.e, q.e) AS score
+            FROM v AS q JOIN v USING (repo_id))
+      SELECT query_id, repo_id, chunk_pos, rank, round(score, 6) AS retrieval_score
+      FROM (SELECT *, row_number() OVER (PARTITION BY query_id, repo_id
+                                         ORDER BY score DESC, chunk_pos) AS rank FROM s)
+      WHERE rank <= 3""",
+    "q_lookup_positions": """
+      SELECT label::BIGINT AS repo_id, vec_id % 40 AS chunk_pos, count(*) AS found
+      FROM embeddings WHERE label = 3 AND vec_id % 40 IN (1, 5, 39, 77) GROUP BY 1, 2""",
     "q_normalize": unnested(
         """(SELECT vec_id, raw, sqrt(list_dot_product(raw, raw)) AS n FROM (
               SELECT vec_id, [x::DOUBLE * (vec_id % 9) for x in embedding] AS raw

@@ -40,10 +40,20 @@ def unit(vector: Column) -> Column:
     return once(vector, scale)
 
 
+def finite(vector: Column) -> Column:
+    """True if every entry is a number; NaN, infinity and NULL are not."""
+    bound = F.lit(float("inf"))
+    return F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < bound, F.lit(False)))
+
+
 def checked_dim(vector: Column, dim: int) -> Column:
-    """The vector itself; the job fails on a row of another dimension."""
+    """The vector itself; the job fails on a row of another dimension or with a value that is
+    not finite. One such value would outrank, or hide, all others."""
     message = F.concat(
         F.lit(f"vector dimension mismatch: expected {dim}, got "), F.size(vector).cast("string")
     )
     guard = F.assert_true(F.coalesce(F.size(vector) == dim, F.lit(False)), message)
-    return F.when(guard.isNull(), vector)
+    numbers = F.assert_true(
+        F.coalesce(finite(vector), F.lit(False)), F.lit("embedding has a value that is not finite")
+    )
+    return F.when(guard.isNull() & numbers.isNull(), vector)

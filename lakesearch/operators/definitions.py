@@ -24,7 +24,7 @@ NOT_A_METHOD = (
 ).split()
 
 _SPACE = " \t\f\r\u000b"
-_PY_HEADER = r"(?U)^(?:async[ \t]+)?(def|class)[ \t]+(\w+)"
+_PY_HEADER = r"(?U)^\uFEFF?(?:async[ \t]+)?(def|class)[ \t]+(\w+)"
 _PY_DOC = rf"^[A-Za-z]{{0,2}}{M.OPEN}{M.FILL}*[ \t]*(?:;.*)?$"
 
 _SCRIPT_FUNCTION = (

@@ -5,6 +5,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakesearch.functions import vectors as V
 from lakesearch.functions import text as T
 from lakesearch.schemas import NOT_NULL
 
@@ -63,10 +64,11 @@ def source_files(
 
 
 def dimension_mismatches(vectors: DataFrame, dim: int) -> DataFrame:
-    """Vectors that an index of dimension `dim` would reject."""
+    """Vectors that an index of dimension `dim` would reject: other sizes, and values that are
+    not finite."""
     size = F.size("embedding")
     return vectors.withColumn("found_dim", size).where(
-        F.col("embedding").isNull() | (size != dim)
+        F.col("embedding").isNull() | (size != dim) | ~V.finite(F.col("embedding"))
     )
 
 

@@ -16,12 +16,28 @@ _SINGLE = r"'(?:[^'\\\n]++|\\.)*+'"
 _BLOCK_COMMENT = r"/\*(?:[^*]++|\*(?!/))*+\*/"
 _LINE_COMMENT = r"//[^\n]*+"
 _RAW = r"`[^`]*+`"
-_TEMPLATE = (
-    r"`(?:[^`\\$]++|\\.|\$(?!\{)"
-    r"|\$\{(?:[^`{}]++|`[^`]*+`|\{[^{}]*+\})*+\})*+`"
-)
+#: Templates and braces inside `${}` are followed this deep.
+_DEPTH = 6
+#: Blanks that may stand before a regular expression literal; a look-behind needs a bound.
+_BLANKS = 1000
+
+
+def _inside(depth: int) -> str:
+    """What may stand between the braces of a `${}`: code, strings, templates and blocks."""
+    parts = r"[^`{}\"'/]++|/\*(?:[^*]++|\*(?!/))*+\*/|/|" + _DOUBLE + "|" + _SINGLE
+    if depth:
+        within = _inside(depth - 1)
+        parts += rf"|\{{(?:{within})*+\}}|{_template(within)}"
+    return parts + r"|[\"']"
+
+
+def _template(within: str) -> str:
+    return rf"`(?:[^`\\$]++|\\.|\$(?!\{{)|\$\{{(?:{within})*+\}})*+`"
+
+
+_TEMPLATE = _template(_inside(_DEPTH))
 _REGEX = (
-    r"(?<=(?:^|[(,=:\[!&|?{};\n]|\breturn)[ \t]{0,16})/(?![/*])"
+    rf"(?<=(?:^|[(,=:\[!&|?{{}};\n]|\breturn)[ \t]{{0,{_BLANKS}}})/(?![/*])"
     r"(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/"
 )
 

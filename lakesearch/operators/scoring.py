@@ -10,6 +10,8 @@ from pyspark.sql.types import FloatType
 from lakesearch.functions import text as T
 
 SHORTLIST = 10
+#: One id may ask several repositories.
+QUERY = ["query_id", "repo_id"]
 
 
 def term_statistics(chunks: DataFrame) -> DataFrame:
@@ -42,10 +44,10 @@ def term_weights(queries: DataFrame, terms: DataFrame, sizes: DataFrame) -> Data
     weighted = (
         words.join(known, ["repo_id", "term"], "left")
         .join(sizes, "repo_id", "left")
-        .select("query_id", "term", F.log1p((n - df + 0.5) / (df + 0.5)).alias("weight"))
+        .select("query_id", "repo_id", "term", F.log1p((n - df + 0.5) / (df + 0.5)).alias("weight"))
     )
     # One row per distinct word of a query text.
-    return weighted.groupBy("query_id").agg(
+    return weighted.groupBy("query_id", "repo_id").agg(
         F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("weights")
     )
 
@@ -97,8 +99,8 @@ class LexicalScorer:
         words = T.tokens(F.col("candidate_text"))
         # What depends on the query alone is worked out once per query.
         weights = queries.select(
-            "query_id", bigrams(T.tokens(F.col("text"))).alias("query_pairs")
-        ).join(term_weights(queries, self._terms, self._sizes), "query_id", "left")
+            *QUERY, bigrams(T.tokens(F.col("text"))).alias("query_pairs")
+        ).join(term_weights(queries, self._terms, self._sizes), QUERY, "left")
 
         def coverage(w: Column) -> Column:
             return term_coverage(F.col("weights"), w) + bigram_coverage(
@@ -107,7 +109,7 @@ class LexicalScorer:
 
         none = F.array().cast("array<struct<term:string,weight:double>>")
         return (
-            pairs.join(weights, "query_id")
+            pairs.join(weights, QUERY)
             .withColumn("weights", F.coalesce("weights", none))
             .withColumn(
                 "score",
@@ -132,15 +134,15 @@ class ModelScorer:
 
 def pair_up(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """Each candidate with its query text; `hits` already carries the chunk columns."""
-    texts = queries.select("query_id", F.col("text").alias("query_text"))
+    texts = queries.select(*QUERY, F.col("text").alias("query_text"))
     text = T.retrieval_text(F.col("name"), F.col("docstring"), F.col("source_text"))
-    return hits.join(texts, "query_id").withColumn("candidate_text", text)
+    return hits.join(texts, QUERY).withColumn("candidate_text", text)
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, scorer) -> DataFrame:
     """Score every candidate and rank per query; equal scores keep their retrieval order."""
     scored = scorer.score(pair_up(candidates, queries), queries)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("rank"))
+    order = Window.partitionBy(*QUERY).orderBy(F.desc("score"), F.asc("rank"))
     return scored.withColumn("final_rank", F.row_number().over(order)).drop(
         "query_text", "candidate_text"
     )

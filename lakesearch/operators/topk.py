@@ -4,7 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesearch.functions import vectors as V
@@ -23,11 +23,13 @@ PARTIAL_HITS = HITS + ", wanted bigint"
 
 
 def rank_hits(hits: DataFrame, k: int, name: str = "rank") -> DataFrame:
-    """Rank by score, ties by position, and keep the first `k` of each query.
+    """Rank by score, ties by position, and keep the first `k` of each query of a repository.
 
     The literal bound lets Spark keep only k rows per query before the shuffle.
     """
-    order = Window.partitionBy("query_id").orderBy(F.desc("retrieval_score"), "chunk_pos")
+    order = Window.partitionBy("query_id", "repo_id").orderBy(
+        F.desc("retrieval_score"), "chunk_pos"
+    )
     return hits.withColumn(name, F.row_number().over(order)).where(F.col(name) <= k)
 
 
@@ -45,6 +47,8 @@ def top_k_bounded(
     `vectors` (repo_id, chunk_pos, embedding) is read once per pass and never
     shuffled: a task keeps k rows per query and only those go on.
     `queries` has (query_id, repo_id, embedding, k); a NULL k means DEFAULT_K.
+    A query is known by (query_id, repo_id), so one id may ask several repositories. Vectors of
+    another dimension or with values that are not finite fail the job, for any k.
     Also gives an upper bound of the number of hits.
     """
     asked = F.coalesce(F.col("k").cast("bigint"), F.lit(DEFAULT_K))
@@ -71,7 +75,7 @@ def top_k_bounded(
     if stats.k <= most:
         return _in_passes(vectors, wanted, stats, pass_bytes), stats.n * stats.k
     # A k whose rows alone fill a pass asks for a sorted table, not for a short list.
-    wide = _sorted_scores(vectors, wanted.where(F.col("wanted") > most))
+    wide = _sorted_scores(vectors, wanted.where(F.col("wanted") > most), stats.dim)
     narrow = wanted.where(F.col("wanted") <= most)
     return top_k(vectors, _as_queries(narrow), 1, pass_bytes).unionByName(wide), stats.n * stats.k
 
@@ -90,16 +94,20 @@ def _in_passes(vectors: DataFrame, wanted: DataFrame, stats, pass_bytes: int) ->
     return ranked.where(F.col("rank") <= F.col("wanted")).drop("wanted")
 
 
-def _sorted_scores(vectors: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sorted_scores(vectors: DataFrame, wanted: DataFrame, dim: int) -> DataFrame:
     """Ranks of whole score lists, spread over range partitions instead of one task each."""
+
+    def checked(column: str) -> Column:
+        return V.checked_dim(V.as_float(F.col(column)), dim)
+
     scored = (
-        vectors.select("repo_id", "chunk_pos", F.col("embedding").alias("stored"))
-        .join(wanted, "repo_id")
+        vectors.select("repo_id", "chunk_pos", checked("embedding").alias("stored"))
+        .join(wanted.withColumn("embedding", checked("embedding")), "repo_id")
         .withColumn("retrieval_score", V.inner_product(F.col("stored"), F.col("embedding")))
         .select("query_id", "repo_id", "chunk_pos", "retrieval_score", "wanted")
     )
     order = [-F.col("retrieval_score"), F.col("chunk_pos")]
-    placed = dense_positions(scored, ["query_id"], order, name="place")
+    placed = dense_positions(scored, ["query_id", "repo_id"], order, name="place")
     return (
         placed.where(F.col("place") < F.col("wanted"))
         .withColumn("rank", (F.col("place") + 1).cast("int"))
@@ -111,7 +119,7 @@ def _blocks(queries: DataFrame, count: int, rows: int) -> list[DataFrame]:
     """Slices of at most `rows` queries each."""
     if count <= rows:
         return [queries]
-    numbered = dense_positions(queries, [], [F.col("query_id")], name="n")
+    numbered = dense_positions(queries, [], [F.col("query_id"), F.col("repo_id")], name="n")
     return [
         numbered.where(F.col("n").between(start, start + rows - 1)).drop("n")
         for start in range(0, count, rows)
@@ -174,7 +182,10 @@ def _matrix(column, dim: int | None) -> np.ndarray:
     if (lengths != expected).any():
         found = int(lengths[lengths != expected][0])
         raise ValueError(f"vector dimension mismatch: expected {expected}, got {found}")
-    return np.asarray(column.flatten(), dtype=np.float32).reshape(len(column), expected)
+    matrix = np.asarray(column.flatten(), dtype=np.float32).reshape(len(column), expected)
+    if not np.isfinite(matrix).all():
+        raise ValueError("embedding has a value that is not finite")
+    return matrix
 
 
 def _best_in_partition(batches, query_ids, query_repos, ks, queries) -> Iterator[pa.RecordBatch]:

@@ -17,19 +17,32 @@ def index_files(store: IndexStore, files: DataFrame, repos: DataFrame, embedder)
     """Index `files` (repo_id, path, content) of the repositories in `repos`.
 
     Returns (repo_id, chunks_indexed). Repositories without any file raise an error
-    before anything is written. Running it again replaces the same partitions.
+    before anything is written. Running it again replaces the same partitions; files of
+    repositories that `repos` does not name are left out, and so are their stored rows.
     `files` is read several times, for the columns each step needs: pass a table.
     """
-    texts = decoded(files)
+    named = repos.select("repo_id").distinct()
+    texts = decoded(files.join(named, "repo_id", "left_semi"))
     plan = cut_lineage(plan_chunks(texts))
     missing = [r.path_or_url for r in empty_repos(repos, plan).limit(10).collect()]
     if missing:
-        raise ValueError(f"No indexable code found under {', '.join(missing)}")
+        more = " and perhaps others" if len(missing) == 10 else ""
+        raise ValueError(f"repositories without a file to index: {', '.join(missing)}{more}")
     store.replace("chunks", place_chunks(texts, plan), sort=["chunk_pos"])
     # Go on from the written chunks: positions are computed once and shared.
     written = store.read_for("chunks", repos)
     store.save_vectors(embed_chunks(written, embedder), embedder.dim, clustered=True)
-    store.replace("terms", scoring.term_statistics(written), sort=["term"])
+    statistics = scoring.term_statistics(written)
+    # A repository that has no terms any more gets no new partition in place of its old one.
+    stale = (
+        store.read_for("terms", repos)
+        .select("repo_id")
+        .distinct()
+        .join(statistics.select("repo_id").distinct(), "repo_id", "left_anti")
+    )
+    for row in stale.toLocalIterator():
+        store.drop_partition("terms", row.repo_id)
+    store.replace("terms", statistics, sort=["term"])
     store.append("repos", repos.join(store.read("repos"), "repo_id", "left_anti"))
     return index_summary(written)
 

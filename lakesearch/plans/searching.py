@@ -10,6 +10,7 @@ from lakesearch.operators.scoring import SHORTLIST
 from lakesearch.operators.topk import DEFAULT_K, top_k_bounded
 from lakesearch.sources.store import IndexStore
 
+# The result columns of a search; the last two are our own.
 RESULTS = [
     "query_id",
     "rank",
@@ -21,6 +22,7 @@ RESULTS = [
     "score",
     "snippet",
     "retrieval_score",
+    "repo_id",
 ]
 
 
@@ -48,8 +50,8 @@ def search_tables(
     asked = queries.withColumn("k", F.coalesce("k", F.lit(DEFAULT_K)))
     ranked = scoring.rerank(shortlist(vectors, chunks, asked, embedder), asked, scorer)
     if cut:
-        limits = asked.select("query_id", "k")
-        ranked = ranked.join(limits, "query_id").where(F.col("final_rank") <= F.col("k"))
+        limits = asked.select(*scoring.QUERY, "k")
+        ranked = ranked.join(limits, scoring.QUERY).where(F.col("final_rank") <= F.col("k"))
     ranked = ranked.drop("rank").withColumnRenamed("final_rank", "rank")
     return ranked.withColumn("snippet", F.col("source_text")).select(*RESULTS)
 
@@ -63,7 +65,8 @@ def search_index(
     if on_unknown == "raise":
         lost = [r.repo_id for r in unknown_repos(queries, repos).limit(10).collect()]
         if lost:
-            raise LookupError(f"no index found for repo_id {sorted(set(lost))}")
+            more = " and perhaps others" if len(lost) == 10 else ""
+            raise LookupError(f"repositories not in the index: {sorted(set(lost))}{more}")
     elif on_unknown != "skip":
         raise ValueError("on_unknown must be 'raise' or 'skip'")
     asked = known_repos(queries, repos)

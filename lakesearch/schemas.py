@@ -69,7 +69,9 @@ TERMS = StructType(
 )
 
 NOT_NULL = {
-    "repos": ["path_or_url"],
+    "repos": ["repo_id", "path_or_url"],
+    "vectors": ["repo_id", "chunk_pos", "embedding"],
+    "terms": ["repo_id", "term", "chunks_with_term"],
     "chunks": [
         "repo_id",
         "chunk_pos",

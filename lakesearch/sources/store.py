@@ -128,7 +128,8 @@ class IndexStore:
     def add_vectors(self, vectors: DataFrame, dim: int, order: list) -> None:
         """Append (repo_id, embedding, …) rows, numbered after the stored ones in `order`."""
         checked = vectors.withColumn("embedding", V.checked_dim(F.col("embedding"), dim))
-        placed = continue_positions(self.read("vectors"), checked, order)
+        stored = self.read_for("vectors", vectors).select("repo_id", "chunk_pos")
+        placed = continue_positions(stored, checked, order)
         self.append("vectors", placed, sort=["chunk_pos"])
 
     def dim(self, repo_id: int) -> int | None:
@@ -142,10 +143,11 @@ class IndexStore:
         self._rewrite_repos(kept)
         for table in ("vectors", "terms", "chunks"):
             for repo_id in repo_ids:
-                self._drop_partition(table, int(repo_id))
+                self.drop_partition(table, int(repo_id))
 
     def _rewrite_repos(self, rows: DataFrame) -> None:
         cut_lineage(rows).write.mode("overwrite").parquet(self.path("repos"))
 
-    def _drop_partition(self, table: str, repo_id: int) -> None:
+    def drop_partition(self, table: str, repo_id: int) -> None:
+        """Remove the rows of one repository from one table."""
         remove(self.spark, f"{self.path(table)}/repo_id={repo_id}")
