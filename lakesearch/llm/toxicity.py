@@ -1,11 +1,12 @@
 """Toxicity scores by a counterfactual-regularised classifier.
 
 Model. A word has features of its own: the word, and its first four, five and six letters. A sentence's
-logit is a bias plus the weights of all its words' features; a text's is that of its worst sentence,
+logit is a bias plus the weights of its distinct words' features; a text's is that of its worst sentence,
 so one insult in a long clean text counts in full. Weights are found in three steps:
 
 1. In a bounded sample of labelled rows (`SAMPLE` per label) Spark counts in how many texts of either
-   label each feature (hashed to `SLOTS`) occurs; smoothed log ratios are the first weights.
+   label each feature (hashed to `SLOTS`) occurs; smoothed log ratios are the first weights. A feature
+   of fewer than `SUPPORT` texts has none: it would only learn that one text's label by heart.
 2. With these, each row of the sample gives the sentences that score highest: what makes a text
    toxic, and what in clean texts comes nearest to it.
 3. Logistic regression on these sentences, repeated for `ROUNDS` rounds with the sentences that score
@@ -13,6 +14,8 @@ so one insult in a long clean text counts in full. Weights are found in three st
    sentence naming other groups, and the squared change of the logit is penalised, so the names
    themselves, and what only occurs beside them, cannot carry the verdict.
 
+No weight falls below `LEAST`: clean words, however many, do not outweigh an insult beside them.
+
 The model is `SLOTS` numbers and a bias, whatever the corpus.
 """
 
@@ -31,6 +34,9 @@ SLOTS = 1 << 18
 #: Labelled rows of either label that are fitted. A documented bound of the classifier.
 SAMPLE = 3_000
 SENTENCES = 3
+SUPPORT = 2
+#: Least weight of a feature: clean words around an insult speak against it only so much.
+LEAST = 0.0
 #: Longer sentences are cut for fitting, not for scoring.
 FITTED_WORDS = 200
 ROUNDS = 3
@@ -85,24 +91,31 @@ def ends_sentence(token: str) -> bool:
 
 
 class _Scores(dict):
-    """Weight of a token, plus whether a sentence ends with it."""
+    """Weight of a token, whether a sentence ends with it, and its bare form."""
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights
 
-    def __missing__(self, token: str) -> tuple[float, bool]:
+    def __missing__(self, token: str) -> tuple[float, bool, str]:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        weight = float(sum(self.weights[s] for s in slots(bare(token))))
-        value = self[token] = (weight, ends_sentence(token))
+        word = bare(token)
+        weight = float(sum(self.weights[s] for s in slots(word)))
+        value = self[token] = (weight, ends_sentence(token), word)
         return value
 
 
 def sentence_logits(tokens: list[str], scores: dict) -> tuple[np.ndarray, np.ndarray]:
-    """First token and summed weight of each sentence."""
-    pairs = np.array([scores[t] for t in tokens])
-    starts = np.concatenate(([0], np.flatnonzero(pairs[:-1, 1]) + 1))
-    return starts, np.add.reduceat(pairs[:, 0], starts)
+    """First token of each sentence, and the summed weight of its distinct words.
+
+    Said often, a word counts once, so that repetition alone makes nothing toxic.
+    """
+    weights, ends, words = zip(*[scores[t] for t in tokens])
+    after = np.array(ends[:-1], bool)
+    sentence = np.concatenate(([0], np.cumsum(after)))
+    once = dict(zip(zip(sentence.tolist(), words), weights))
+    sums = np.bincount([k for k, _ in once], weights=list(once.values()))
+    return np.concatenate(([0], np.flatnonzero(after) + 1)), sums
 
 
 class Model:
@@ -168,7 +181,11 @@ def train(rows: DataFrame) -> Model:
     seen[counts["toxic"], counts["slot"]] = counts["n"]
     # One and a half rows of doubt: what few texts have proves little.
     first = np.log((seen[1] + 0.5) / (toxic + 1)) - np.log((seen[0] + 0.5) / (clean + 1))
-    first *= (seen.sum(axis=0) / (seen.sum(axis=0) + 1.5)) / 4
+    texts = seen.sum(axis=0)
+    first *= (texts / (texts + 1.5)) / 4
+    known = texts >= SUPPORT
+    first[~known] = 0.0
+    first = np.maximum(first, LEAST)
     model = Model(first, 0.0)
     found: list[pd.DataFrame] = []
     for _ in range(ROUNDS):
@@ -180,17 +197,17 @@ def train(rows: DataFrame) -> Model:
             ).toPandas()
         )
         weights.destroy()
-        model = fit_rounds(found, first)
+        model = fit_rounds(found, first, known)
     return model
 
 
-def fit_rounds(found: list[pd.DataFrame], first: np.ndarray) -> Model:
+def fit_rounds(found: list[pd.DataFrame], first: np.ndarray, known: np.ndarray) -> Model:
     """Fit on what all rounds found in clean texts and the last one found in toxic texts."""
     fitted = pd.concat([f[f["toxic"] == 0] for f in found] + [found[-1][found[-1]["toxic"] == 1]])
     # The same sentence may have been found before; the order decides nothing but the last digits.
     fitted["key"] = [" ".join(w) for w in fitted["words"]]
     fitted = fitted.drop_duplicates(["key", "toxic"]).sort_values(["toxic", "key"])
-    return _fit(fitted["words"].tolist(), fitted["toxic"].to_numpy(), first)
+    return _fit(fitted["words"].tolist(), fitted["toxic"].to_numpy(), first, known)
 
 
 def _count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,19 +251,22 @@ def counterfactuals(words: list[str]) -> list[list[str]]:
     return [[GROUPS[w][k % len(GROUPS[w])] if w in GROUPS else w for w in words] for k in range(SWAPS)]
 
 
-def _rows(sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+def _rows(sentences: list[list[str]], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Known features of the distinct words of all sentences, and the sentence of each."""
     cache: dict[str, list[int]] = {}
     flat, owner = [], []
     for k, words in enumerate(sentences):
-        for w in words:
+        for w in dict.fromkeys(words):
             if w not in cache:
-                cache[w] = slots(w)
+                cache[w] = [s for s in slots(w) if known[s]]
             flat.extend(cache[w])
             owner.extend([k] * len(cache[w]))
     return np.array(flat, np.int64), np.array(owner, np.int64)
 
 
-def _fit(sentences: list[list[str]], toxic: np.ndarray, first: np.ndarray) -> Model:
+def _fit(
+    sentences: list[list[str]], toxic: np.ndarray, first: np.ndarray, known: np.ndarray
+) -> Model:
     """Adam on the weights of the features that occur, from the log ratios on."""
     sentences = [list(s) for s in sentences]
     swapped, source = [], []
@@ -254,7 +274,7 @@ def _fit(sentences: list[list[str]], toxic: np.ndarray, first: np.ndarray) -> Mo
         for other in counterfactuals(words):
             swapped.append(other)
             source.append(k)
-    flat, owner = _rows(sentences + swapped)
+    flat, owner = _rows(sentences + swapped, known)
     used, column = np.unique(flat, return_inverse=True)
     w, bias = first[used].copy(), 0.0
     n, m = len(sentences), len(sentences) + len(swapped)
@@ -276,7 +296,7 @@ def _fit(sentences: list[list[str]], toxic: np.ndarray, first: np.ndarray) -> Mo
         mean = 0.9 * mean + 0.1 * slope
         spread = 0.99 * spread + 0.01 * slope**2
         move = 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-8)
-        w -= move[:-1]
+        w = np.maximum(w - move[:-1], LEAST)
         bias -= move[-1]
     weights = np.zeros(len(first))
     weights[used] = w

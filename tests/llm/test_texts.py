@@ -214,6 +214,26 @@ def test_counterfactuals_swap_every_name():
     assert toxicity.counterfactuals(["calm", "words"]) == []
 
 
+def test_toxicity_counts_a_word_once_in_a_sentence():
+    weights = np.zeros(toxicity.SLOTS)
+    weights[toxicity.slots("ugly")] = 1.0
+    scores = toxicity._Scores(weights)
+    starts, sums = toxicity.sentence_logits("ugly, ugly! a day. so ugly ugly".split(), scores)
+    assert starts.tolist() == [0, 2, 4]
+    assert sums.tolist() == [scores["ugly"][0], 0.0, scores["ugly"][0]]
+    starts, sums = toxicity.sentence_logits(["!!!"], scores)
+    assert (starts.tolist(), sums.tolist()) == ([0], [0.0])
+
+
+def test_toxicity_learns_nothing_from_words_of_one_text(toxic_rows):
+    shown = toxic_rows.where("doc_id < 300").selectExpr(
+        "concat(text, ' onlyhere', cast(doc_id as string), '.') as text", "toxic"
+    )
+    score = toxicity.train(shown).scorer()
+    toxic = [r.text.split()[-1] for r in shown.where("toxic = 1").limit(20).collect()]
+    assert all(score(f"A calm day. Then {w}") < 0.5 for w in toxic)
+
+
 def test_toxicity_without_labels(toxic_rows, docs):
     none = toxicity.train(toxic_rows.where("false"))
     assert none.scorer()("anything") < 0.5
