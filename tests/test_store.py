@@ -55,7 +55,7 @@ def test_reindexing_an_id_replaces_only_its_partition(spark, store):
 
 def test_empty_repository_is_an_error(spark, store):
     some = files(spark, (1, "a.py", "x = 1\n"))
-    with pytest.raises(ValueError, match="No indexable code"):
+    with pytest.raises(ValueError, match="without a file to index: r2"):
         index_files(store, some, repos(spark, 1, 2), EMBEDDER)
     assert store.read("chunks").count() == 0
 
