@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from lakesearch.functions import vectors as V
 from lakesearch.operators.positions import dense_positions
+from lakesearch.session import cut_lineage
 
 DEFAULT_K = 10
-# Queries of one pass are sent to every worker: their vectors and the running
-# top-k state of a task stay below this size. Larger query tables take more passes.
+# The vectors of the queries that a task holds, and its running top-k state, stay about this
+# size. Query tables of this size are sent to every worker; larger ones are shuffled in blocks.
 PASS_BYTES = 64 * 1024 * 1024
 # Score cells computed at a time, and pairs rescored at a time.
 TILE_CELLS = 2_000_000
@@ -44,8 +45,9 @@ def top_k_bounded(
 ) -> tuple[DataFrame, int]:
     """The best greatest(k, minimum) vectors of each query's repository, ranked.
 
-    `vectors` (repo_id, chunk_pos, embedding) is read once per pass and never
-    shuffled: a task keeps k rows per query and only those go on.
+    `vectors` (repo_id, chunk_pos, embedding) is read once. A task keeps k rows per query and only
+    those go on; the vectors themselves are shuffled only where the queries fill several blocks.
+    The queries are written once, so that a model sees each of them once.
     `queries` has (query_id, repo_id, embedding, k); a NULL k means DEFAULT_K.
     A query is known by (query_id, repo_id), so one id may ask several repositories. Vectors of
     another dimension or with values that are not finite fail the job, for any k.
@@ -59,6 +61,7 @@ def top_k_bounded(
         asked.alias("asked"),
         F.greatest(asked, F.lit(minimum)).alias("wanted"),
     )
+    wanted = cut_lineage(wanted)
     stats = wanted.agg(
         F.count("*").alias("n"),
         F.max("wanted").alias("k"),
@@ -73,7 +76,7 @@ def top_k_bounded(
     wanted = wanted.drop("asked")
     most = pass_bytes // 24
     if stats.k <= most:
-        return _in_passes(vectors, wanted, stats, pass_bytes), stats.n * stats.k
+        return _short_lists(vectors, wanted, stats, pass_bytes), stats.n * stats.k
     # A k whose rows alone fill a pass asks for a sorted table, not for a short list.
     wide = _sorted_scores(vectors, wanted.where(F.col("wanted") > most), stats.dim)
     narrow = wanted.where(F.col("wanted") <= most)
@@ -84,16 +87,66 @@ def _as_queries(wanted: DataFrame) -> DataFrame:
     return wanted.withColumnRenamed("wanted", "k")
 
 
-def _in_passes(vectors: DataFrame, wanted: DataFrame, stats, pass_bytes: int) -> DataFrame:
+def _short_lists(vectors: DataFrame, wanted: DataFrame, stats, pass_bytes: int) -> DataFrame:
     rows = max(1, pass_bytes // (24 * stats.k + 4 * max(stats.dim, 0)))
-    hits = None
-    for block in _blocks(wanted, stats.n, rows):
-        part = _one_pass(vectors, block)
-        hits = part if hits is None else hits.unionByName(part)
+    if stats.n <= rows:
+        hits = _one_block(vectors, wanted)
+    else:
+        hits = _in_blocks(vectors, wanted, stats.dim, rows, pass_bytes)
     ranked = rank_hits(hits, stats.k)
     return ranked.where(F.col("rank") <= F.col("wanted")).drop("wanted")
 
 
+def _in_blocks(
+    vectors: DataFrame, wanted: DataFrame, dim: int, rows: int, pass_bytes: int
+) -> DataFrame:
+    """Best hits of each block of queries in each split of its repository's vectors.
+
+    A repository's queries are dealt over blocks of about `rows`, its vectors over splits of about
+    `pass_bytes`; each split meets each block in a group of its own. So neither a repository that
+    most queries ask nor one that holds most vectors fills a task, and no query passes the driver.
+    """
+    held = max(1, pass_bytes // (4 * max(dim, 1)))
+    asked = wanted.groupBy("repo_id").agg(F.ceil(F.count("*") / rows).alias("blocks"))
+    stored = vectors.groupBy(F.col("repo_id").cast("bigint").alias("repo_id")).agg(
+        F.ceil(F.count("*") / held).alias("splits")
+    )
+    plan = cut_lineage(asked.join(stored, "repo_id"))
+
+    def each(parts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+    cell = ["repo_id", "block", "split"]
+    left = (
+        vectors.select(
+            F.col("repo_id").cast("bigint"),
+            F.col("chunk_pos").cast("bigint"),
+            V.as_float(F.col("embedding")).alias("embedding"),
+        )
+        .join(plan, "repo_id")
+        .withColumn("split", F.pmod(F.xxhash64("chunk_pos"), "splits"))
+        .withColumn("block", each("blocks"))
+        .select(*cell, "chunk_pos", "embedding")
+    )
+    right = (
+        wanted.join(plan, "repo_id")
+        .withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks"))
+        .withColumn("split", each("splits"))
+        .select(*cell, "query_id", "wanted", "embedding")
+    )
+
+    def best(stored: pa.Table, asked: pa.Table) -> pa.Table:
+        queries = (
+            asked.column("query_id").to_numpy(),
+            asked.column("repo_id").to_numpy(),
+            asked.column("wanted").to_numpy(),
+            _matrix(asked.column("embedding"), dim),
+        )
+        return pa.Table.from_batches(_best_in_partition(stored.to_batches(), *queries))
+
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(best, PARTIAL_HITS)
+
+
 def _sorted_scores(vectors: DataFrame, wanted: DataFrame, dim: int) -> DataFrame:
     """Ranks of whole score lists, spread over range partitions instead of one task each."""
 
@@ -115,17 +168,6 @@ def _sorted_scores(vectors: DataFrame, wanted: DataFrame, dim: int) -> DataFrame
     )
 
 
-def _blocks(queries: DataFrame, count: int, rows: int) -> list[DataFrame]:
-    """Slices of at most `rows` queries each."""
-    if count <= rows:
-        return [queries]
-    numbered = dense_positions(queries, [], [F.col("query_id"), F.col("repo_id")], name="n")
-    return [
-        numbered.where(F.col("n").between(start, start + rows - 1)).drop("n")
-        for start in range(0, count, rows)
-    ]
-
-
 def top_k_single(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     """One query vector: a scan with a score column, then a bounded top-k per partition."""
     if k < 1:
@@ -139,7 +181,8 @@ def top_k_single(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     )
 
 
-def _one_pass(vectors: DataFrame, block: DataFrame) -> DataFrame:
+def _one_block(vectors: DataFrame, block: DataFrame) -> DataFrame:
+    """Hits of so few queries that every task can hold them all; nothing is shuffled."""
     spark = vectors.sparkSession
     table = block.toArrow()
     matrix = _matrix(table.column("embedding"), None)

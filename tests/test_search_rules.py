@@ -45,6 +45,39 @@ def test_one_query_id_in_two_repositories(spark):
         assert got == sorted((r, n, p) for r, p, n in want)
 
 
+def test_many_queries_do_not_pass_the_driver(spark, monkeypatch):
+    rows = [(1 if k % 3 else 2, k, [k / 50, 1 - k / 50]) for k in range(50)]
+    vectors = spark.createDataFrame(rows, VECTORS)
+    queries = spark.createDataFrame([(k, 1 + k % 2, [1.0, k / 9], 2) for k in range(40)], ASKED)
+    key = ["query_id", "repo_id", "rank", "chunk_pos"]
+    want = sorted(map(tuple, topk.top_k(vectors, queries).select(key).collect()))
+
+    def refuse(*_):
+        raise AssertionError("a query table came to the driver")
+
+    monkeypatch.setattr(type(vectors), "toArrow", refuse)
+    monkeypatch.setattr(type(vectors), "toPandas", refuse)
+    hits = topk.top_k(vectors, queries, pass_bytes=400)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert sorted(map(tuple, hits.select(key).collect())) == want and len(want) == 80
+
+
+def test_a_model_sees_each_query_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def model(text):
+        seen.add(1)
+        return [1.0, float(len(text))]
+
+    texts = spark.createDataFrame([(k, 1, "x" * k, 2) for k in range(10)], "query_id bigint, repo_id bigint, text string, k int")
+    queries = texts.withColumn("embedding", model("text"))
+    vectors = spark.createDataFrame([(1, k, [1.0, float(k)]) for k in range(5)], VECTORS)
+    assert topk.top_k(vectors, queries).count() == 20
+    assert seen.value == 10
+
+
 def corpus(spark, texts):
     rows = [(r, f"f{i}.txt", t.encode()) for i, (r, t) in enumerate(texts)]
     return spark.createDataFrame(rows, "repo_id bigint, path string, content binary")
