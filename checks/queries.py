@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +11,12 @@ from lakesearch.functions import text as T
 from lakesearch.functions import vectors as V
 from lakesearch.operators import catalog, chunking, filters, masking, metrics, positions
 from lakesearch.operators import scoring, segments, topk
-from lakesearch.operators.embedding import HashedEmbedder, embed_chunks, embed_queries
+from lakesearch.operators.embedding import (
+    HashedEmbedder,
+    ModelEmbedder,
+    embed_chunks,
+    embed_queries,
+)
 from lakesearch.plans import indexing, searching, workload
 from lakesearch.session import shared_path, ship_package
 from lakesearch.sources.store import IndexStore
@@ -539,6 +545,56 @@ def q_rerank(spark, folder):
     return found.select("query_id", "rank", "file_path", _rounded("score"))
 
 
+def _models():
+    """A text model and a pair model that SQL can repeat; they travel to the workers by value."""
+
+    def sizes():
+        def predict(texts):
+            counts = [(len(t), t.count("a"), t.count("e"), 1) for t in texts]
+            return np.array(counts, dtype="float32")
+
+        return predict
+
+    def closeness():
+        def predict(asked, texts):
+            gaps = [abs(q.count("e") - t.count("e")) for q, t in zip(asked, texts)]
+            return np.array([-g for g in gaps], dtype="float32")
+
+        return predict
+
+    return sizes, closeness
+
+
+@query
+def q_model_embed(spark, folder):
+    """All documents through a plugged-in text model."""
+    embedded = embed_chunks(I.document_chunks(spark, folder), ModelEmbedder(_models()[0], dim=4))
+    values = F.transform("embedding", lambda x: F.round(x.cast("double"), 6))
+    return embedded.select("chunk_pos", F.posexplode(values).alias("bucket", "x"))
+
+
+@query
+def q_model_score(spark, folder):
+    """Candidates of all benchmark texts, scored and ranked by a plugged-in pair model."""
+    chunks = I.document_chunks(spark, folder)
+    scorer = scoring.ModelScorer(_models()[1])
+    queries = I.benchmark_queries(spark, folder)
+    vectors = embed_chunks(chunks, EMBEDDER)
+    found = searching.search_tables(vectors, chunks, queries, EMBEDDER, scorer, cut=False)
+    return found.select("query_id", "rank", "file_path", "score")
+
+
+@query
+def q_stored_vectors(spark, folder):
+    """One repository of a stored index, with the dimension that the store reports."""
+    store = _new_store(spark, "stored")
+    store.save_vectors(I.label_vectors(spark, folder), 64)
+    own = V.inner_product(F.col("embedding"), F.col("embedding"))
+    return store.read("vectors", [3]).select(
+        "repo_id", "chunk_pos", F.lit(store.dim(3)).alias("dim"), F.round(own, 6).alias("own")
+    )
+
+
 @query
 def q_display_rows(spark, folder):
     found = _document_search(spark, folder)

@@ -443,6 +443,24 @@ ORACLE: dict[str, str] = {
     "q_rerank": f"""
       {search(DOCS, BENCH)}
       SELECT query_id, final_rank AS rank, file_path, round(score, 6) AS score FROM ranked""",
+    "q_model_embed": """
+      WITH t AS (SELECT doc_id, source || chr(10) || text AS t FROM documents),
+      c AS (SELECT doc_id, [length(t), length(t) - length(replace(t, 'a', '')),
+                            length(t) - length(replace(t, 'e', '')), 1]::DOUBLE[] AS c FROM t)
+      SELECT doc_id AS chunk_pos, b AS bucket,
+             round((c[b + 1] / sqrt(list_dot_product(c, c)))::FLOAT::DOUBLE, 6) AS x
+      FROM c, range(4) r(b)""",
+    "q_model_score": f"""
+      {search(DOCS, BENCH)},
+      e AS (SELECT h.query_id, h.rank, d.file_path,
+                   -abs((length(q.text) - length(replace(q.text, 'e', '')))
+                        - (length(d.body) - length(replace(d.body, 'e', ''))))::DOUBLE AS score
+            FROM hits h JOIN q USING (query_id) JOIN d USING (chunk_pos))
+      SELECT query_id, file_path, score,
+             row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank FROM e""",
+    "q_stored_vectors": f"""
+      SELECT label::BIGINT AS repo_id, vec_id AS chunk_pos, 64 AS dim,
+             round({dot('embedding', 'embedding')}, 6) AS own FROM embeddings WHERE label = 3""",
     "q_display_rows": f"""
       {search(DOCS, BENCH)}
       SELECT query_id, final_rank AS rank, printf('%.3f', score) AS score_text,
