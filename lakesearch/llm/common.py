@@ -1,6 +1,6 @@
 """Pieces that several operators of this package share."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakesearch.session import remove, shared_path
@@ -26,6 +26,21 @@ def remainder(ids: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(ids.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def one_row_each(docs: DataFrame, digest: Column, winners: DataFrame) -> DataFrame:
+    """One row of `docs`, with all its columns, for each pair in `winners` (doc_id, digest).
+
+    `digest` is the one of a row of `docs`. Rows of one pair are told apart by nothing that matters;
+    all but one of each task go before the shuffle, so a row given often does not fill a task.
+    """
+    id_of = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    stay = winners.select(id_of.alias("__id"), F.col("digest").alias("__digest")).distinct()
+    hashed = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    keyed = docs.withColumn("__id", id_of).withColumn("__digest", digest)
+    order = Window.partitionBy("__id", "__digest").orderBy(F.xxhash64(*hashed))
+    single = keyed.withColumn("__row", F.row_number().over(order)).where("__row = 1")
+    return single.join(stay, ["__id", "__digest"], "left_semi").select(docs.columns)
+
+
 def write_out(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write `rows` below the shared checkpoint folder; returns them as read back, and the path.
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesearch.llm.common import lower_ascii
+from lakesearch.llm.common import lower_ascii, one_row_each
 
 
 def content_hash(normalised: Column) -> Column:
@@ -65,6 +65,7 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    stay = exact_groups(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
+    """One row of `docs` per group, with all its columns: of a row given twice only one stays."""
+    stay = exact_groups(docs).where("kept").select("doc_id", F.col("text_sha256").alias("digest"))
+    digest = F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256)
+    return one_row_each(docs, digest, stay)

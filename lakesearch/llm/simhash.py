@@ -16,9 +16,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakesearch.llm.common import one_row_each
 from lakesearch.llm.components import components
 from lakesearch.llm.trie import Forest, pairs_within
 from lakesearch.session import cut_lineage
@@ -57,15 +58,15 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp as a signed long. The text goes no further."""
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, fp) of every row, and `more`; fp as a signed long. The text goes no further."""
 
     @F.pandas_udf("long")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", prints("text").alias("fp"))
+    return docs.select("doc_id", prints("text").alias("fp"), *more)
 
 
 def _bands() -> list[int]:
@@ -151,6 +152,14 @@ def _forest(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": signed[hung], "b": signed[forest.root[hung]]})
 
 
+def _placed(reps: DataFrame) -> DataFrame:
+    """(fp, root, rep) of `reps` (fp, rep); root names the component."""
+    roots = components(links(reps.select("fp")))
+    return reps.join(roots, reps["fp"] == roots["node"], "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), "rep"
+    )
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, fingerprint (hex), component_id.
 
@@ -160,11 +169,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Other columns are ignored; an empty table gives an empty result.
     """
     rows = cut_lineage(fingerprints(docs))
-    reps = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = components(links(reps.select("fp")))
-    placed = reps.join(roots, reps["fp"] == roots["node"], "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "rep"
-    )
+    placed = _placed(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     found = placed.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return rows.join(found, "fp").select(
@@ -173,11 +178,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose id is their component's id, with all their columns."""
-    stay = (
-        near_duplicates(docs)
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("__id"))
-        .distinct()
-    )
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
+    """One row of `docs` per component, with all its columns: one that has the component's id.
+
+    Of several texts with that id one stays, and of a row given twice only one.
+    """
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    rows = cut_lineage(fingerprints(docs, digest.alias("digest")))
+    # A null id stays only where there is no other.
+    rep = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    placed = _placed(rows.groupBy("fp").agg(F.min(rep).alias("rep")))
+    stay = placed.groupBy("root").agg(F.min("rep").alias("rep")).select("rep.doc_id", "rep.digest")
+    return one_row_each(docs, digest, stay)

@@ -40,6 +40,21 @@ def test_exact_copies_go_and_columns_stay(docs, no_docs):
     assert exact_dedup.exact_groups(no_docs).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Rows given twice, null ids and ids of several texts, through both stages and the passage cut."""
+    lone, other, third = prose(501, 80), prose(502, 80), prose(503, 80)
+    rows = [(1, lone), (1, lone), (None, other), (None, other), (None, third), (4, third)]
+    rows += [(5, third), (5, prose(504, 80)), (6, prose(505, 80)), (6, prose(506, 80))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(1, lone), (None, other), (5, third), (5, rows[7][1]), (6, rows[8][1]), (6, rows[9][1])]
+    exact = exact_dedup.drop_exact_copies(table)
+    assert Counter(map(tuple, exact.collect())) == Counter(want)
+    near = Counter(map(tuple, simhash.drop_near_copies(table).collect()))
+    assert near == Counter([(4, third) if w == (5, third) else w for w in want])
+    cut = superkmers.cut_repeats(simhash.drop_near_copies(exact))
+    assert Counter(map(tuple, cut.collect())) == Counter(want)
+
+
 def brute_print(text):
     words = (text or "").encode().lower().split()
     if not words:
