@@ -2,7 +2,9 @@
 
 Model. A word has features of its own: the word, and its first four, five and six letters. A sentence's
 logit is a bias plus the weights of its distinct words' features; a text's is that of its worst sentence,
-so one insult in a long clean text counts in full. Weights are found in three steps:
+so one insult in a long clean text counts in full. Sentences end at stops of any script; one of more than
+`WINDOW` words is read in windows of so many words, each half over the one before, so that length alone
+makes nothing toxic. The fit sees the same sentences and windows, whole. Weights are found in three steps:
 
 1. In a bounded sample of labelled rows (`SAMPLE` per label) Spark counts in how many texts of either
    label each feature (hashed to `SLOTS`) occurs; smoothed log ratios are the first weights. A feature
@@ -21,7 +23,7 @@ The model is `SLOTS` numbers and a bias, whatever the corpus.
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -37,8 +39,8 @@ SENTENCES = 3
 SUPPORT = 2
 #: Least weight of a feature: clean words around an insult speak against it only so much.
 LEAST = 0.0
-#: Longer sentences are cut for fitting, not for scoring.
-FITTED_WORDS = 200
+#: Words of a window of a longer sentence, in fitting and in scoring; even.
+WINDOW = 64
 ROUNDS = 3
 EPOCHS = 80
 SWAPS = 3
@@ -71,6 +73,15 @@ IDENTITY_TERMS = (
 )
 GROUPS = {t: [u for u in line.split() if u != t] for line in IDENTITY_TERMS for t in line.split()}
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+STOPS = frozenset(".!?…。．！？｡؟۔।॥።")
+#: Stops of scripts that put no blank after them, with the marks that close a quotation.
+_UNSPACED = re.compile("[。．！？｡]+[」』）】〉》”’\"')]*")
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-case tokens of a text."""
+    text = text.lower()
+    return (text if text.isascii() else _UNSPACED.sub(r"\g<0> ", text)).split()
 
 
 def bare(token: str) -> str:
@@ -87,7 +98,13 @@ def slots(word: str) -> list[int]:
 
 
 def ends_sentence(token: str) -> bool:
-    return token.rstrip("\"')]»”")[-1:] in (".", "!", "?", "…")
+    """Whether it has a stop among the marks behind its last letter, digit or comma."""
+    for c in reversed(token):
+        if c in STOPS:
+            return True
+        if c.isalnum() or c in ",;:":
+            return False
+    return False
 
 
 class _Scores(dict):
@@ -105,17 +122,28 @@ class _Scores(dict):
         return value
 
 
+def windows(ends: Sequence[bool]) -> list[tuple[int, int]]:
+    """First and last token (exclusive) of each sentence, or of each window of a long one."""
+    found = []
+    start = 0
+    for stop in [k + 1 for k, end in enumerate(ends[:-1]) if end] + [len(ends)]:
+        while stop - start > WINDOW:
+            found.append((start, start + WINDOW))
+            start += WINDOW // 2
+        found.append((start, stop))
+        start = stop
+    return found
+
+
 def sentence_logits(tokens: list[str], scores: dict) -> tuple[np.ndarray, np.ndarray]:
-    """First token of each sentence, and the summed weight of its distinct words.
+    """First token of each sentence or window, and the summed weight of its distinct words.
 
     Said often, a word counts once, so that repetition alone makes nothing toxic.
     """
     weights, ends, words = zip(*[scores[t] for t in tokens])
-    after = np.array(ends[:-1], bool)
-    sentence = np.concatenate(([0], np.cumsum(after)))
-    once = dict(zip(zip(sentence.tolist(), words), weights))
-    sums = np.bincount([k for k, _ in once], weights=list(once.values()))
-    return np.concatenate(([0], np.flatnonzero(after) + 1)), sums
+    bounds = windows(ends)
+    sums = [sum(dict(zip(words[a:b], weights[a:b])).values()) for a, b in bounds]
+    return np.array([a for a, _ in bounds]), np.array(sums, np.float64)
 
 
 class Model:
@@ -126,7 +154,7 @@ class Model:
         scores = _Scores(self.weights)
 
         def score(text: str | None) -> float:
-            tokens = text.lower().split() if text else []
+            tokens = words_of(text) if text else []
             logit = self.bias
             if tokens:
                 logit += float(sentence_logits(tokens, scores)[1].max())
@@ -214,7 +242,7 @@ def _count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         seen = np.zeros((2, SLOTS), np.int64)
         for text, toxic in zip(batch["text"], batch["toxic"]):
-            words = {bare(t) for t in set(text.lower().split())}
+            words = {bare(t) for t in set(words_of(text))}
             seen[toxic, list({s for w in words for s in slots(w)})] += 1
         toxic, slot = np.nonzero(seen)
         yield pd.DataFrame(
@@ -227,20 +255,18 @@ def _pick_sentences(batches: Iterator[pd.DataFrame], weights: np.ndarray) -> Ite
     for batch in batches:
         out = []
         for text, toxic in zip(batch["text"], batch["toxic"]):
-            tokens = text.lower().split()
+            tokens = words_of(text)
             if not tokens:
                 continue
-            starts, sums = sentence_logits(tokens, scores)
-            ends = np.append(starts[1:], len(tokens))
+            sums = sentence_logits(tokens, scores)[1]
+            bounds = windows([scores[t][1] for t in tokens])
+            parts = [[bare(t) for t in tokens[a:b]] for a, b in bounds]
             # Only the worst sentence is surely what made a text toxic.
             for k in np.argsort(-sums, kind="stable")[: 1 if toxic else SENTENCES]:
-                words = [bare(t) for t in tokens[starts[k] : ends[k]]]
-                if len(words) > FITTED_WORDS:
-                    words = sorted(words, key=lambda w: -scores[w][0])[:FITTED_WORDS]
+                out.append((parts[k], toxic))
+            named = [words for words in parts if any(w in GROUPS for w in words)]
+            for words in named[:SENTENCES] if not toxic else []:
                 out.append((words, toxic))
-            named = [k for k in range(len(starts)) if any(bare(t) in GROUPS for t in tokens[starts[k] : ends[k]])]
-            for k in named[:SENTENCES] if not toxic else []:
-                out.append(([bare(t) for t in tokens[starts[k] : ends[k]]][:FITTED_WORDS], toxic))
         yield pd.DataFrame(out, columns=["words", "toxic"])
 
 

@@ -234,6 +234,27 @@ def test_toxicity_learns_nothing_from_words_of_one_text(toxic_rows):
     assert all(score(f"A calm day. Then {w}") < 0.5 for w in toxic)
 
 
+def test_toxicity_fits_on_what_it_scores(toxic_rows):
+    """Long clean texts without full stops are no more toxic than the same words in sentences."""
+    ended = "one。」two！ three。\nlist word.%%% etc., end 3.5 x"
+    tokens = toxicity.words_of(ended)
+    starts = [a for a, _ in toxicity.windows([toxicity.ends_sentence(t) for t in tokens])]
+    assert [tokens[a] for a in starts] == ["one。」", "two！", "three。", "list", "etc.,"]
+    bounds = toxicity.windows([False] * 1000)
+    assert bounds[0][0] == 0 and bounds[-1][1] == 1000
+    assert all(b - a <= toxicity.WINDOW for a, b in bounds)
+    assert all(later[0] < earlier[1] for earlier, later in zip(bounds, bounds[1:]))
+    score = toxicity.train(toxic_rows.where("doc_id < 300")).scorer()
+    weights = np.zeros(toxicity.SLOTS)
+    for k in range(500):
+        weights[toxicity.slots(f"w{k}")[0]] = 0.01
+    mild = toxicity.Model(weights, -2.0).scorer()
+    long = " ".join(f"w{k}" for k in range(500))
+    assert mild(long) < 0.5 and mild(long.replace(" ", "\n")) < 0.5
+    calm = " ".join("garden window letter music bread summer travel paper".split() * 60)
+    assert score(calm) < 0.5 and score(calm + " snarkwit muslims " + calm) >= 0.5
+
+
 def test_toxicity_without_labels(toxic_rows, docs):
     none = toxicity.train(toxic_rows.where("false"))
     assert none.scorer()("anything") < 0.5
