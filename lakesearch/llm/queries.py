@@ -8,12 +8,15 @@ from lakesearch.llm import (
     bpe,
     exact_dedup,
     extraction,
+    importance,
     langid,
     packing,
     perspectives,
     quality,
     simhash,
+    spelling,
     superkmers,
+    token_files,
     toxicity,
 )
 from lakesearch.llm.common import remainder, table
@@ -87,6 +90,25 @@ def op10_superkmer_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_pivotal_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+def op12_arrow_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    return token_files.token_digests(
+        table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    return importance.resample(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,9 +122,37 @@ QUERIES = {
         op8_exact_dedup,
         op9_numpy_bpe,
         op10_superkmer_dedup,
+        op11_pivotal_spelling,
+        op12_arrow_token_files,
+        op13_importance_resampling,
     )
 }
 
+#: CRC-32 of a list of bytes, by its table; the macros' bodies, for use inside the SQL below.
+_CRC_TABLE = """
+        crc_table AS (
+            SELECT list(c ORDER BY i) AS crcs
+            FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+                         CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+                  FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def _crc32(code_units: str) -> str:
+    """SQL for the CRC-32 of a list of byte values; `crcs` is the table's list."""
+    return (
+        f"xor(4294967295, list_reduce(list_prepend(4294967295, {code_units}), "
+        "lambda c, b: xor(c // 256, crcs[xor(c % 256, b) + 1])))"
+    )
+
+
+def _bytes(text: str) -> str:
+    """SQL for the UTF-8 bytes of a text, as a list of numbers."""
+    return (
+        f"list_transform(range(0, octet_length(encode({text}))), "
+        f"lambda k: CAST('0x' || substr(hex(encode({text})), 2 * k + 1, 2) AS BIGINT))"
+    )
+
+
 # Queries without SQL are tested against brute force, the tokenizers library or held-out labels.
 ORACLE = {
     "op1_perspective_chat": """
@@ -171,4 +221,88 @@ ORACLE = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY t) AS kept,
                sha256(t) AS text_sha256
         FROM normal""",
+    "op11_pivotal_spelling": f"""
+        WITH {_CRC_TABLE},
+        runs AS (
+            SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r,
+                   count(*) AS n
+            FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) AS r
+                  FROM documents)
+            WHERE length(r) >= 7 GROUP BY ALL),
+        hashed AS (
+            SELECT r, n, {_crc32(_bytes("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r"))} AS h
+            FROM runs, crc_table),
+        words AS (
+            SELECT w, CAST(sum(n) AS BIGINT) AS n
+            FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2)
+                              ELSE r END AS w, n FROM hashed)
+            WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2),
+        less AS (
+            SELECT w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) AS d
+            FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM words)),
+        near AS (
+            SELECT a.w, b.w AS v, b.n FROM less a JOIN less b ON a.i = b.i AND a.d = b.d AND a.w <> b.w
+            UNION SELECT less.w, words.w, words.n FROM less JOIN words ON d = words.w
+            UNION SELECT words.w, less.w, less.n FROM less JOIN words ON d = words.w),
+        best AS (SELECT w, count(*) AS n_near, max(n) AS most FROM near GROUP BY w),
+        formed AS (
+            SELECT w, words.n, coalesce(n_near, 0) AS n_near,
+                   CASE WHEN most >= 10 * words.n
+                        THEN (SELECT min(v) FROM near WHERE near.w = words.w AND near.n = most) END AS form,
+                   CASE WHEN most >= 10 * words.n THEN most END AS form_n
+            FROM words LEFT JOIN best USING (w)),
+        hops AS (
+            WITH RECURSIVE hop AS (
+                SELECT w, form AS onward, 1 AS k FROM formed WHERE form IS NOT NULL
+                UNION ALL
+                SELECT hop.w, formed.form, k + 1 FROM hop JOIN formed ON hop.onward = formed.w
+                WHERE formed.form IS NOT NULL)
+            SELECT w, arg_max(onward, k) AS root FROM hop GROUP BY w)
+        SELECT w AS word, form, coalesce(root, w) AS root, n, n_near, form_n
+        FROM formed LEFT JOIN hops USING (w)""",
+    "op13_importance_resampling": f"""
+        WITH {_CRC_TABLE},
+        texts AS (
+            SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS r, text FROM documents
+            UNION ALL SELECT 'b', item_id, row_number() OVER (), text FROM benchmark),
+        listed AS (
+            SELECT kind, id, r, regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM texts),
+        found AS (
+            SELECT kind, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))
+                   AS f FROM listed),
+        counted AS (SELECT kind, r, f, count(*) AS n FROM found GROUP BY ALL),
+        hashed AS (
+            SELECT f, {_crc32(_bytes("f"))} % 10000 AS bucket
+            FROM (SELECT DISTINCT f FROM counted), crc_table),
+        placed AS (SELECT kind, r, bucket, CAST(sum(n) AS BIGINT) AS n
+                   FROM counted JOIN hashed USING (f) GROUP BY ALL),
+        shares AS (
+            SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (kind = 'b'), 0) AS t
+            FROM placed GROUP BY bucket),
+        totals AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM shares),
+        gains AS (
+            SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(all_s + 10000 AS DOUBLE)
+                       / (CAST(s + 1 AS DOUBLE) * CAST(all_t + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+            FROM shares, totals),
+        weighed AS (
+            SELECT r, CAST(sum(n) AS BIGINT) AS n_features,
+                   CAST(floor(CAST(sum(n * gain) AS DOUBLE) / sum(n)) AS BIGINT) AS weight
+            FROM placed JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY r),
+        scored AS (
+            SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features,
+                   coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256(
+                       '7:' || coalesce(CAST(id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+                       / 4294967296))) AS BIGINT) AS score
+            FROM listed LEFT JOIN weighed USING (r) WHERE kind = 'd'),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+                   25 * count(*) FILTER (n_words >= 20) OVER () // 100 AS drawn
+            FROM scored)
+        SELECT doc_id, n_features, weight, score,
+               CASE WHEN n_words >= 20 AND place <= drawn THEN place END AS rank
+        FROM ranked""",
 }
