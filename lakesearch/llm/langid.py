@@ -5,9 +5,16 @@ word the longest n-grams (six characters down to one, word ends included) of whi
 are scored instead, on average, so that an unseen word weighs as much as a seen one. A text's
 language is the one with the largest sum; the score is its posterior probability.
 
-Fitting. Spark counts words per language over a bounded sample of labelled rows (`SAMPLE` per
-language, drawn by a hash of the row, all of a smaller language), and n-grams over the counted words.
-The model keeps the `WORDS` and `GRAMS` most frequent; what falls out backs off like any unseen word.
+Fitting. Spark counts words per language over a bounded sample of labelled rows: of every language about
+`SAMPLE` different texts, drawn by their hashes, all of a smaller language; a text given many times
+counts once. N-grams are counted over the counted words. Every language has a share of its own in the
+model, of words and of n-grams of each length: `WORDS` and `GRAMS` divided by the number of languages, but
+`LEAST_WORDS` and `LEAST_GRAMS` at least. What falls out backs off like any unseen word.
+
+Size. The model holds counts of words and n-grams in the languages that have them, not a table of all by
+all: with four languages at most 60,000 words and 60,000 n-grams, with 1,000 at most 1,000,000 words and
+1,200,000 n-grams, about 500 MB in a worker. Vectors over all languages are made for the words met,
+and kept up to `KEPT_BYTES`.
 """
 
 import re
@@ -16,19 +23,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesearch.session import cut_lineage
 
 SAMPLE = 4_000
-WORDS = 60_000
-GRAMS = 60_000
+WORDS, LEAST_WORDS = 60_000, 1_000
+#: Of all lengths together; at least, of each length.
+GRAMS, LEAST_GRAMS = 60_000, 200
 LONGEST = 6
 UNKNOWN = "und"
 #: Added to every count.
 SMOOTHING = 0.5
-KEPT_WORDS = 100_000
+KEPT_BYTES = 64 << 20
+_ENTRY = 250  # bytes of a dictionary entry, its word and its vector, without the numbers, about
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -43,34 +52,55 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+class Table:
+    """Counts of words, or of n-grams of one length, by language.
+
+    The log frequency of a key in a language is that of a key it does not have, plus
+    log((count + SMOOTHING) / SMOOTHING) where it has it.
+    """
+
+    def __init__(self, counts: pd.DataFrame, key: str, languages: list[str]):
+        column = {name: i for i, name in enumerate(languages)}
+        totals = np.zeros(len(languages))
+        at = counts["lang"].map(column).to_numpy(np.int64)
+        np.add.at(totals, at, counts["c"].to_numpy(np.float64))
+        gain = np.log((counts["c"].to_numpy(np.float64) + SMOOTHING) / SMOOTHING)
+        self.seen: dict[str, list[tuple[int, float]]] = {}
+        for name, where, more in zip(counts[key], at.tolist(), gain.tolist()):
+            self.seen.setdefault(name, []).append((where, more))
+        self.base = np.log(SMOOTHING) - np.log(totals + SMOOTHING * max(1, len(self.seen)))
+
+    def __contains__(self, key: str) -> bool:
+        return key in self.seen
+
+    def __getitem__(self, key: str) -> np.ndarray:
+        found = self.base.copy()
+        for where, more in self.seen[key]:
+            found[where] += more
+        return found
+
+
 class Model:
-    """Log frequencies per language: one row for every known word and n-gram."""
+    """Log frequencies per language, of words and of n-grams."""
 
     def __init__(self, languages: list[str], words: pd.DataFrame, parts: pd.DataFrame):
         self.languages = languages
-        self.words = self._table(words, "word")
+        self.words = Table(words, "word", languages)
         self.parts = {
-            n: self._table(parts[parts["n"] == n], "gram") for n in range(1, LONGEST + 1)
+            n: Table(parts[parts["n"] == n], "gram", languages) for n in range(1, LONGEST + 1)
         }
         self.kept: dict[str, np.ndarray] = {}
-
-    def _table(self, counts: pd.DataFrame, key: str) -> dict[str, np.ndarray]:
-        names = sorted(counts[key].unique())
-        row = {name: i for i, name in enumerate(names)}
-        column = {name: i for i, name in enumerate(self.languages)}
-        seen = np.full((len(names), len(self.languages)), SMOOTHING)
-        np.add.at(seen, (counts[key].map(row), counts["lang"].map(column)), counts["c"])
-        return dict(zip(names, np.log(seen / seen.sum(axis=0))))
+        self.held = 0
 
     def word_scores(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
         known = self.kept.get(word)
         if known is None:
-            if len(self.kept) >= KEPT_WORDS:
+            if self.held > KEPT_BYTES:
                 self.kept.clear()
-            known = self.kept[word] = self._backed_off(word)
+                self.held = 0
+            known = self.words[word] if word in self.words else self._backed_off(word)
+            self.kept[word] = known
+            self.held += len(word) + known.nbytes + _ENTRY
         return known
 
     def _backed_off(self, word: str) -> np.ndarray:
@@ -92,16 +122,19 @@ class Model:
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on `rows` (text, lang); rows with a null text or language teach nothing."""
-    known = rows.where("lang is not null").select("text", "lang")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("rows"))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
-    chosen = known.join(F.broadcast(sizes.limit(10_000)), "lang").where(
-        draw < F.lit(float(sample)) / F.col("rows")
+    """Fit on `rows` (text, lang); rows with a null text or language teach nothing, and a language
+    without a word in its sample is not learnt."""
+    known = rows.where("lang is not null and text is not null").select("lang", "text")
+    hashed = known.withColumn("h", F.xxhash64("text"))
+    sizes = hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("texts"))
+    draw = F.pmod(F.xxhash64("h"), F.lit(1 << 40)) / float(1 << 40)
+    chosen = (
+        hashed.join(sizes, "lang")
+        .where(draw < F.lit(float(sample)) / F.col("texts"))
+        .dropDuplicates(["lang", "h"])
     )
     words = cut_lineage(
-        chosen.where("text is not null")
-        .select("text", "lang")
+        chosen.select("text", "lang")
         .mapInPandas(_count_words, "lang string, word string, c long")
         .groupBy("lang", "word")
         .agg(F.sum("c").alias("c"))
@@ -111,22 +144,19 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
         .groupBy("lang", "n", "gram")
         .agg(F.sum("c").alias("c"))
     )
-    kept_words = _most_frequent(words, ["word"], WORDS).toPandas()
-    kept_parts = _most_frequent(parts, ["n", "gram"], GRAMS).toPandas()
-    languages = sorted(set(kept_words["lang"]))
-    return Model(languages, kept_words, kept_parts)
-
-
-def _most_frequent(counts: DataFrame, key: list[str], size: int) -> DataFrame:
-    """The counts of the `size` keys that are most frequent in all languages together."""
-    top = (
-        counts.groupBy(*key)
-        .agg(F.sum("c").alias("all"))
-        .orderBy(F.desc("all"), *key)
-        .limit(size)
-        .select(*key)
+    languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+    shares = max(1, len(languages))
+    kept_words = _most_frequent(words, ["lang"], "word", max(LEAST_WORDS, WORDS // shares))
+    kept_parts = _most_frequent(
+        parts, ["lang", "n"], "gram", max(LEAST_GRAMS, GRAMS // (LONGEST * shares))
     )
-    return counts.join(top, key, "left_semi")
+    return Model(languages, kept_words.toPandas(), kept_parts.toPandas())
+
+
+def _most_frequent(counts: DataFrame, group: list[str], key: str, size: int) -> DataFrame:
+    """The counts of the `size` keys of each group that are most frequent in it."""
+    order = Window.partitionBy(*group).orderBy(F.desc("c"), key)
+    return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size).drop("place")
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
