@@ -5,16 +5,19 @@ blocks of up to `BLOCK` pieces. Every block is evolved on several islands, each
 whole packings: crossover injects well-filled bins of one parent into the other, takes out the bins that
 now hold a piece twice, and puts the displaced pieces back by best fit, largest first. Between epochs
 each island's elite packing migrates to the next island (a shuffle of packings, not of documents). The
-best packing of a block wins. An island whose best packing meets the lower bound stops at once.
+best packing of a block wins. An island whose best packing meets the lower bound stops at once; epochs
+go on while the last `PATIENCE` of them lowered the number of sequences.
 
 Pieces with slack left over get a second chance in other company: the bins that are not full are taken
-apart, their pieces dealt into new blocks across the table, and packed again, until that gains nothing.
+apart, their pieces dealt into new blocks across the table, and packed again, until that gains nothing or
+their number of sequences is the least that their ids fill.
 """
 
 import random
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,13 +30,17 @@ CAPACITY = 1024
 END = 2
 BLOCK = 32_768
 ISLANDS = 3
-EPOCHS = 2
 POPULATION = 4
 CROSSOVERS = 6
-#: Rounds of packing in new company, at most.
-ROUNDS = 3
-#: Chunks whose ids a task keeps.
-KEPT_CHUNKS = 200_000
+#: Epochs that may pass without a gain before the evolution ends.
+PATIENCE = 1
+#: Rows of states (some MB each) that one task evolves, about.
+STATES = 12
+#: Bytes of chunks and ids that a Python worker keeps.
+KEPT_BYTES = 96 << 20
+_ENTRY = 200  # bytes of a dictionary entry and its two objects, about
+#: A run of white space of so many characters goes through the tokenizer itself.
+LONG_BLANK = 1_000
 #: Fixed value: the split pattern of byte-level BPE files with `use_regex`.
 WORD_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,9 +54,10 @@ class ByteTokens(dict):
     """Ids of a byte-level BPE file as little-endian 32-bit bytes, for whole texts.
 
     A text is cut at single blanks, where the tokenizer's own pattern always cuts; ids of such
-    chunks are kept. They come from the same vocabulary as ranks, which is faster for short strings.
+    chunks are kept, up to `KEPT_BYTES`: then those go that were not met again since the last time. They
+    come from the same vocabulary as ranks, which is faster for short strings.
     Texts with runs of white space, which the pattern treats as a whole, go through uncut; texts with
-    special tokens go through the tokenizer itself.
+    special tokens or very long runs of one kind go through the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -78,21 +86,37 @@ class ByteTokens(dict):
         self.whole.no_truncation()
         self.whole.no_padding()
         self.runs = re.compile(r"\s\s|\s\Z|\x00").search
+        # The faster library looks ahead through such runs with a stack of its own, and fails on it.
+        self.long_blank = re.compile(rf"\s{{{LONG_BLANK}}}").search
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= KEPT_CHUNKS:
+        value = self.older.get(chunk)
+        if value is None:
+            value = array("I", self.ranked.encode_ordinary(chunk)).tobytes()
+        self.held += len(chunk) + len(value) + _ENTRY
+        if self.held > KEPT_BYTES:
+            self.older = dict(self)
             self.clear()
-        value = self[chunk] = array("I", self.ranked.encode_ordinary(chunk)).tobytes()
+            self.held = 0
+        self[chunk] = value
         return value
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or self.long_blank(text):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         if self.runs(text):
             return array("I", self.ranked.encode_ordinary(text)).tobytes()
         return b"".join([self[c] for c in text.replace(" ", "\x00 ").split("\x00")])
 
 
+@lru_cache(maxsize=2)
+def byte_tokens(path: str) -> ByteTokens:
+    """One per Python worker: later tasks find the chunks of earlier ones."""
+    return ByteTokens(path)
+
+
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -110,7 +134,7 @@ def token_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece; an end id closes each document."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = ByteTokens(tokenizer)
+        tokens = byte_tokens(tokenizer)
         end = array("I", [END]).tobytes()
         for batch in batches:
             out = []
@@ -302,19 +326,31 @@ def _placed(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame
 
 
-def evolve_blocks(blocks: DataFrame) -> DataFrame:
-    """`blocks` (block, lengths) with the best packing of each: (block, best)."""
+def _bins(states: DataFrame) -> tuple[int, int]:
+    """Sequences of the best packings of all blocks, and of those that may be packed better."""
+    best = states.groupBy("block").agg(F.min("n_bins").alias("n"), F.max("done").alias("done"))
+    total = best.agg(F.sum("n"), F.sum(F.when(~F.col("done"), F.col("n")))).first()
+    return total[0] or 0, total[1] or 0
+
+
+def evolve_blocks(blocks: DataFrame, count: int, turn: int = 0) -> DataFrame:
+    """`blocks` (block, lengths), `count` of them, with the best packing of each: (block, best).
+
+    `turn` makes another round's random choices others.
+    """
     states = blocks.select(
         "block",
         F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"),
-        F.lit(0).alias("epoch"),
+        F.lit(turn * 1_000).alias("epoch"),
         "lengths",
         F.array().cast("array<array<int>>").alias("packings"),
     )
-    spread = states.repartition("block", "island")
+    tasks = max(ISLANDS, count * ISLANDS // STATES)
+    spread = states.repartition(tasks, "block", "island")
     states = cut_lineage(spread.mapInPandas(_epoch, _STATE))
-    finished = []
-    for _ in range(1, EPOCHS):
+    finished, waited = [], 0
+    open_bins = _bins(states)[1]
+    while open_bins and waited < PATIENCE:
         solved = states.where("done").select("block").distinct()
         finished.append(states.join(solved, "block", "left_semi"))
         going = states.join(solved, "block", "left_anti")
@@ -328,6 +364,9 @@ def evolve_blocks(blocks: DataFrame) -> DataFrame:
             "block", "island", "epoch", "lengths", F.concat("packings", "guests").alias("packings")
         )
         states = cut_lineage(met.mapInPandas(_epoch, _STATE))
+        bins, still = _bins(states)
+        waited = 0 if bins < open_bins else waited + 1
+        open_bins = still
     for more in finished:
         states = states.unionByName(more)
     return states.groupBy("block").agg(
@@ -340,7 +379,7 @@ def evolve_blocks(blocks: DataFrame) -> DataFrame:
 # The table
 
 
-def _pack_round(pieces: DataFrame, count: int) -> DataFrame:
+def _pack_round(pieces: DataFrame, count: int, turn: int) -> DataFrame:
     """Pack pieces in blocks: piece columns, block, bin, offset and fill of its bin.
 
     Blocks are dealt by row number, not by id, so repeated ids spread like any others; the rows
@@ -353,7 +392,7 @@ def _pack_round(pieces: DataFrame, count: int) -> DataFrame:
     sized = blocks.select(
         "block", F.transform("pieces", lambda p: p["length"].cast("int")).alias("lengths")
     )
-    best = evolve_blocks(sized)
+    best = evolve_blocks(sized, n_blocks, turn)
     whole = blocks.join(best, "block").select(
         "block",
         "pieces",
@@ -386,26 +425,30 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     )
     rest = pieces.where(F.col("length") < CAPACITY)
     done = own
-    count = rest.count()
-    for turn in range(ROUNDS):
-        if not count:
-            break
-        placed = cut_lineage(_pack_round(rest, count))
-        n_left = placed.where(F.col("fills") < CAPACITY).count()
-        # Another round needs pieces of more than one block to bring into new company.
-        last = turn == ROUNDS - 1 or count <= BLOCK or n_left == 0
-        final = placed if last else placed.where(F.col("fills") == CAPACITY)
-        done = done.unionByName(
-            final.select(
-                *pieces.columns,
-                (F.lit(turn << 58) + F.col("block") * (4 * BLOCK) + F.col("bins")).alias(
-                    "sequence_id"
-                ),
-                F.col("offsets").alias("offset"),
-            )
+
+    def placed_for_good(bins: DataFrame, turn: int) -> DataFrame:
+        number = F.lit(turn << 54) + F.col("block") * (4 * BLOCK) + F.col("bins")
+        return bins.select(
+            *pieces.columns, number.alias("sequence_id"), F.col("offsets").alias("offset")
         )
-        if last:
-            break
-        rest = placed.where(F.col("fills") < CAPACITY).select(*pieces.columns)
-        count = n_left
+
+    count, turn = rest.count(), 0
+    held, n_held = None, 0  # the open sequences of the round before, which are packed anew
+    while count:
+        placed = cut_lineage(_pack_round(rest, count, turn))
+        is_open = F.col("fills") < CAPACITY
+        bins = placed.groupBy("block", "bins").agg(F.max("fills").alias("fills"), F.count("*").alias("n"))
+        found = bins.agg(
+            F.count("*").alias("bins"),
+            F.count_if(is_open).alias("open"),
+            F.sum(F.when(is_open, F.col("fills"))).alias("ids"),
+            F.sum(F.when(is_open, F.col("n"))).alias("pieces"),
+        ).first()
+        if held is not None and found.bins >= n_held:
+            return done.unionByName(placed_for_good(held, turn - 1))
+        done = done.unionByName(placed_for_good(placed.where(~is_open), turn))
+        held, n_held = placed.where(is_open), found.open
+        if found.open <= -(-(found.ids or 0) // CAPACITY):
+            return done.unionByName(placed_for_good(held, turn))
+        rest, count, turn = held.select(*pieces.columns), found.pieces, turn + 1
     return done
