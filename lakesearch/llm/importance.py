@@ -6,8 +6,9 @@ of the block emits the payloads of all words in order. The bucket of a word foll
 that of a pair from the payloads of two words in a row: the CRC of a concatenation is the first part's
 CRC, moved on by the length of the second, exclusive-or the second's. So no pair is ever built as text.
 
-The table is scanned twice, with the same code: to count the buckets, and to score each document against the
-gain of every bucket. Between the scans only a table of `BUCKETS` rows passes the driver.
+The table is scanned once; the buckets of every document, two bytes for each feature, are written to the
+shared folder. Counting them, and scoring each document against the gain of every bucket, read that
+file. Between the two only a table of `BUCKETS` rows passes the driver.
 """
 
 import zlib
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesearch.llm.common import write_out
+from lakesearch.llm.common import discard, write_out
 from lakesearch.operators.positions import dense_positions
 
 BUCKETS = 10_000
@@ -117,28 +118,59 @@ def features(texts: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np
     return at, np.concatenate([crcs[found[is_word]], pairs]) % np.uint32(buckets)
 
 
-def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """bucket, n: how many features of the column `text` fall into each bucket that has any."""
+def _dtype(buckets: int) -> np.dtype:
+    return np.dtype("<u2" if buckets <= 1 << 16 else "<u4")
+
+
+def bucketed(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of `texts` (id, text) with the buckets of their features, as little-endian numbers,
+    instead of the text."""
+    dtype = _dtype(buckets)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for block in _blocks(batch["text"].cast(pa.binary()).to_pylist()):
+                at, found = features(block, buckets)
+                order = np.argsort(at, kind="stable")
+                ends = np.cumsum(np.bincount(at, minlength=len(block))) * dtype.itemsize
+                packed = found[order].astype(dtype).tobytes()
+                offsets = np.concatenate([[0], ends]).astype(np.int64)
+                lists = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), len(block), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]
+                )
+                ids = batch["id"].slice(done, len(block))
+                yield pa.RecordBatch.from_arrays([ids, lists.cast(pa.binary())], names=["id", "buckets"])
+                done += len(block)
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "text").mapInArrow(scan, f"id {kind}, buckets binary")
+
+
+def bucket_counts(scanned: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """bucket, n: how many features of the `scanned` rows fall into each bucket that has any."""
+    dtype = _dtype(buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for block in _blocks(batch["text"].cast(pa.binary()).to_pylist()):
-                total += np.bincount(features(block, buckets)[1], minlength=buckets)
+            for one in batch["buckets"]:
+                total += np.bincount(np.frombuffer(one.as_buffer(), dtype), minlength=buckets)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(used), "n": pa.array(total[used])})
 
-    counted = texts.select("text").mapInArrow(count, "bucket long, n long")
+    counted = scanned.select("buckets").mapInArrow(count, "bucket long, n long")
     return counted.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def gains(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Thousandfold log ratio of each bucket's smoothed share in the target and in the documents."""
-    spark = docs.sparkSession
+def gains(scanned: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Thousandfold log ratio of each bucket's smoothed share in the target and in the documents, both
+    as `bucketed` rows."""
+    spark = scanned.sparkSession
     both = (
         spark.range(buckets)
         .withColumnRenamed("id", "bucket")
-        .join(bucket_counts(docs, buckets).withColumnRenamed("n", "s"), "bucket", "left")
+        .join(bucket_counts(scanned, buckets).withColumnRenamed("n", "s"), "bucket", "left")
         .join(bucket_counts(target, buckets).withColumnRenamed("n", "t"), "bucket", "left")
         .fillna(0, ["s", "t"])
     )
@@ -152,34 +184,24 @@ def gains(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.ndar
     return scored.toPandas().sort_values("bucket")["gain"].to_numpy(np.int64)
 
 
-def weights(docs: DataFrame, gain: np.ndarray) -> DataFrame:
-    """doc_id, n_features, weight: the floored mean gain of a document's features, 0 without any."""
-    buckets = len(gain)
+def weights(scanned: DataFrame, gain: np.ndarray) -> DataFrame:
+    """id, n_features, weight: the floored mean gain of a document's features, 0 without any."""
+    dtype = _dtype(len(gain))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, means = [], []
-            for block in _blocks(batch["text"].cast(pa.binary()).to_pylist()):
-                at, found = features(block, buckets)
-                n = np.bincount(at, minlength=len(block))
-                # Sums of whole numbers, exact in doubles far beyond any text's length.
-                sums = np.bincount(at, weights=gain[found], minlength=len(block)).astype(np.int64)
-                counts.append(n)
-                means.append(sums // np.maximum(n, 1))
-            empty = [np.empty(0, np.int64)]
+            for one in batch["buckets"]:
+                found = np.frombuffer(one.as_buffer(), dtype)
+                counts.append(len(found))
+                means.append(int(gain[found].sum()) // max(1, len(found)))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"],
-                    pa.array(np.concatenate(counts or empty)),
-                    pa.array(np.concatenate(means or empty)),
-                ],
-                names=["doc_id", "n_features", "weight"],
+                [batch["id"], pa.array(counts, pa.int64()), pa.array(means, pa.int64())],
+                names=["id", "n_features", "weight"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        weigh, f"doc_id {kind}, n_features long, weight long"
-    )
+    kind = scanned.schema["id"].dataType.simpleString()
+    return scanned.mapInArrow(weigh, f"id {kind}, n_features long, weight long")
 
 
 # The draw
@@ -202,11 +224,17 @@ def resample(
     Repeated rows are drawn one by one. `target` has a column text; an empty one, like empty `docs`, counts
     nothing. Other columns are ignored.
     """
-    weighed = weights(docs, gains(docs, target, buckets))
-    named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    h = F.conv(F.substring(F.sha2(named, 256), 1, 8), 16, 10).cast("double")
-    noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0))).cast("long")
-    scored, _ = write_out(weighed.withColumn("score", F.col("weight") + noise), "importance")
+    spark = docs.sparkSession
+    scanned, path = write_out(bucketed(docs.select(F.col("doc_id").alias("id"), "text"), buckets), "buckets")
+    try:
+        aimed = bucketed(target.select(F.lit(0).alias("id"), "text"), buckets)
+        weighed = weights(scanned, gains(scanned, aimed, buckets)).withColumnRenamed("id", "doc_id")
+        named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+        h = F.conv(F.substring(F.sha2(named, 256), 1, 8), 16, 10).cast("double")
+        noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0))).cast("long")
+        scored, _ = write_out(weighed.withColumn("score", F.col("weight") + noise), "importance")
+    finally:
+        discard(spark, path)
     # n words have n - 1 pairs.
     enough = F.col("n_features") >= 2 * least_words - 1
     drawn = scored.where(enough).count() * share // 100

@@ -8,8 +8,8 @@ pivot among the other's gram prefix, the grams up to its own third rarest.
 
 Position limits. The edit lies on one side of a pivot that it leaves whole. With the edit behind it, pivot
 and letters before it stand unchanged at the same place; with the edit before it, pivot and letters after
-it do, at the same place from the end. The rest of the word is cut into pieces of `PIECE` letters; the edit
-lies in one of them, and what is on both sides of that piece stands unchanged. A join key is a hash of the
+it do, at the same place from the end. The rest of the word is cut into pieces of `PIECE` letters, longer ones
+in very long words; the edit lies in one of them, and what is on both sides of that piece stands unchanged. A join key is a hash of the
 pivot's side and place, the shorter word's length, the piece, and the unchanged letters. So groups of the
 join are words that share all but a few letters, not all words of a gram. Candidates are verified by their
 edit distance.
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesearch.llm.common import write_out
+from lakesearch.llm.common import discard, write_out
 
 #: The letters of words, as a class of a regular expression.
 LETTERS = "A-Za-z\u00C0-\u00FF"
@@ -39,8 +39,11 @@ RATIO = 10
 NOISE = 31
 #: One edit destroys two bigrams at most; one more than that.
 PREFIX = 3
-#: Letters of a piece in which an edit may lie: fewer make more keys and fewer candidates.
-PIECE = 2
+#: An edit makes two bigrams at most, which may come before a pivot that it leaves whole.
+PROBED = PREFIX + 2
+#: Letters of a piece in which an edit may lie, at least, and pieces of a side, at most: smaller pieces make
+#: more keys and fewer candidates.
+PIECE, PIECES = 2, 16
 #: Different words that a task counts before it hands their counts on.
 COUNTED = 400_000
 _LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -92,8 +95,9 @@ def bigram_rarity(words: DataFrame) -> dict[str, int]:
 
 
 def ordered_grams(word: str, order: dict[str, int]) -> list[tuple[int, int]]:
-    """(rank, place) of the word's bigrams, rarest first."""
-    return sorted((order[word[i : i + 2]], i) for i in range(len(word) - 1))
+    """(rank, place) of the word's `PROBED` rarest bigrams, rarest first."""
+    ranks = [order[word[i : i + 2]] for i in range(len(word) - 1)]
+    return sorted(zip(ranks, range(len(ranks))))[:PROBED]
 
 
 def pivots(grams: list[tuple[int, int]], rarity: list[int]) -> list[tuple[int, int]]:
@@ -128,8 +132,9 @@ def side_keys(word: str, at: int, least_letters: int) -> list[int]:
     for side, same in (("<", at + 2), (">", size - at)):
         for shorter in range(max(least_letters, size - 1, same), size + 1):
             rest = shorter - same
-            for near in range(0, max(rest, 1), PIECE):
-                far = max(0, rest - near - PIECE)
+            piece = max(PIECE, -(-rest // PIECES))
+            for near in range(0, max(rest, 1), piece):
+                far = max(0, rest - near - piece)
                 if side == "<":
                     kept = f"{word[: same + near]},{word[size - far :]}"
                 else:
@@ -139,8 +144,12 @@ def side_keys(word: str, at: int, least_letters: int) -> list[int]:
 
 
 def keyed(words: DataFrame, rarity: dict[str, int], of_pivots: bool, least_letters: int) -> DataFrame:
-    """key, word, n, last: one row per key of the word's pivots, or of its prefix (the grams not less
-    rare than the third rarest, at all their places); last is the rank of the third rarest."""
+    """key, word, n, last: one row per key of the word's pivots, or of its prefix; last is the rank of
+    its third rarest gram.
+
+    The prefix has the grams not less rare than that, but no more than the first `PROBED` by rarity
+    and place: at most two grams come before a pivot in its own word, and an edit adds two.
+    """
     ranked = sorted(rarity, key=lambda g: (rarity[g], g))
     order = {gram: rank for rank, gram in enumerate(ranked)}
     costs = [rarity[g] for g in ranked]
@@ -174,20 +183,20 @@ def keyed(words: DataFrame, rarity: dict[str, int], of_pivots: bool, least_lette
 
 
 def near_words(words: DataFrame, least_letters: int = LEAST_LETTERS) -> DataFrame:
-    """word, near, near_n: every ordered pair of `words` (word, n; distinct, of `least_letters` letters
-    and more) that differ by exactly one inserted, deleted or replaced code point."""
+    """word, near, near_n: ordered pairs of `words` (word, n; distinct, of `least_letters` letters and
+    more) that differ by exactly one inserted, deleted or replaced code point. A pair may come several
+    times: equal last grams let it be found from both of its words, and it may share several keys."""
     rarity = bigram_rarity(words)
     left = keyed(words, rarity, True, least_letters).toDF("key", "a", "an", "al")
     right = keyed(words, rarity, False, least_letters).toDF("key", "b", "bn", "bl")
     met = left.join(right, "key").where(
         "al <= bl and abs(length(a) - length(b)) <= 1 and levenshtein(a, b, 1) = 1"
     )
-    # Equal last grams let a pair be found from both of its words, and by several keys.
     ways = F.array(
         F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("bn").alias("near_n")),
         F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("an").alias("near_n")),
     )
-    return met.select(F.explode(ways).alias("pair")).select("pair.*").distinct()
+    return met.select(F.explode(ways).alias("pair")).select("pair.*")
 
 
 def variants(
@@ -203,22 +212,36 @@ def variants(
     """
     if least_letters < PREFIX + 3:
         raise ValueError("pivotal grams need words of six letters and more")
-    words, _ = write_out(word_counts(docs, least_letters).where(F.col("n") >= least_count), "spelling-words")
-    found = near_words(words, least_letters)
-    best = found.groupBy("word").agg(
-        F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("n"), "near")).alias("best")
-    )
-    near_n = -F.col("best.n")
-    formed = words.join(best, "word", "left").select(
-        "word",
-        "n",
-        F.coalesce("n_near", F.lit(0)).alias("n_near"),
-        F.when(near_n >= ratio * F.col("n"), F.col("best.near")).alias("form"),
-        F.when(near_n >= ratio * F.col("n"), near_n).alias("form_n"),
-    )
-    table, _ = write_out(formed, "spelling-forms")
-    rooted = table.join(roots(table, ratio), "word", "left")
-    return rooted.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    spark, written = docs.sparkSession, []
+
+    def step(rows: DataFrame, name: str) -> DataFrame:
+        kept, path = write_out(rows, f"spelling-{name}")
+        written.append(path)
+        return kept
+
+    try:
+        counted = word_counts(docs, least_letters)
+        words = step(counted.where(F.col("n") >= least_count), "words")
+        # Written, so that the shuffled keys go before the pairs are shuffled.
+        found = step(near_words(words, least_letters), "pairs").distinct()
+        best = found.groupBy("word").agg(
+            F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("n"), "near")).alias("best")
+        )
+        near_n = -F.col("best.n")
+        enough = near_n >= ratio * F.col("n")
+        formed = words.join(best, "word", "left").select(
+            "word",
+            "n",
+            F.coalesce("n_near", F.lit(0)).alias("n_near"),
+            F.when(enough, F.col("best.near")).alias("form"),
+            F.when(enough, near_n).alias("form_n"),
+        )
+        table = step(formed, "forms")
+        rooted = table.join(roots(table, ratio), "word", "left")
+        columns = ["word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"]
+        return write_out(rooted.select(*columns), "spelling")[0]
+    finally:
+        discard(spark, *written)
 
 
 def roots(table: DataFrame, ratio: int = RATIO) -> DataFrame:
