@@ -35,7 +35,7 @@ def test_bpe_equals_the_library_on_odd_texts():
         ids, shown = mine.encode_all([text])[0]
         want = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want, text
-        assert shown == library.decode(want, skip_special_tokens=False)
+        assert shown.decode() == library.decode(want, skip_special_tokens=False)
 
 
 def test_bpe_query_rows(docs, texts, no_docs):
