@@ -16,8 +16,11 @@ repeated or runs twice leaves one whole file. The manifest is written last: with
 """
 
 import json
+import re
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lakesearch.llm.common import discard
+from lakesearch.llm.packing import byte_letters
 from lakesearch.session import shared_path
 
 #: Ids in a sequence, sequences in a record batch, and UTF-8 bytes of text that one shard is planned for.
@@ -37,8 +41,13 @@ SEQUENCE = 2_048
 BATCH = 64
 SHARD_BYTES = 64 << 20
 #: Bytes of chunks and ids that a Python worker keeps.
-KEPT_BYTES = 96 << 20
-_ENTRY = 200  # bytes of a dictionary entry and its two objects, about
+KEPT_BYTES = 128 << 20
+_ENTRY = 170  # bytes of a dictionary entry and its two objects, about
+#: Rows that a task encodes before it hands them on.
+ROWS = 1_000
+#: Control characters, and letters beyond Latin, where versions of Unicode differ: the library itself
+#: prepares and splits such chunks.
+_ODD = re.compile("[\x00-\x1f\x7f-\x9f\u0250-\U0010ffff]").search
 _LEAST = -(1 << 63)
 
 DOCS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -51,9 +60,9 @@ class ChunkTokens(dict):
     """Ids, as little-endian bytes, of chunks of UTF-8 between white space.
 
     Where the tokenizer drops white space before it splits, the ids of a text are those of its chunks.
-    A task meets most chunks again, so their ids are kept, those of the words of new chunks too; when
-    they outgrow `KEPT_BYTES`, what was not met again since the last time goes. Other tokenizers get
-    whole texts.
+    A task meets most chunks again, so their ids are kept, those of the words of new chunks too (a word by
+    itself is a chunk); when they outgrow `KEPT_BYTES`, what was not met again since the last time goes.
+    Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
@@ -64,10 +73,10 @@ class ChunkTokens(dict):
         self.library.no_padding()
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.special = [t["content"].encode() for t in stored["added_tokens"]]
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in stored["added_tokens"]) or r"\Z.")
         self.pattern = _word_pattern(stored)
         self.lowers = any(n["type"] == "Lowercase" for n in _parts(stored["normalizer"], "normalizers"))
-        self.words: dict[str, bytes] = {}
+        self.letters = byte_letters()
         self.older: dict[bytes, bytes] = {}
         self.held = 0
 
@@ -80,35 +89,42 @@ class ChunkTokens(dict):
         ids = self.older.get(chunk)
         if ids is None:
             ids = self._ids(chunk)
-        self.held += len(chunk) + len(ids) + _ENTRY
+        self.held += len(chunk) + _ENTRY
         if self.held > KEPT_BYTES:
             self.older = dict(self)
             self.clear()
-            self.words.clear()
             self.held = 0
         self[chunk] = ids
         return ids
 
     def _ids(self, chunk: bytes) -> bytes:
-        plain = chunk.isascii() and chunk.decode().isprintable()
-        if not plain or any(s in chunk for s in self.special):
-            return self._whole(chunk)
         text = chunk.decode()
-        found = []
-        for word in self.pattern.findall(text.lower() if self.lowers else text):
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self._packed([t.id for t in self.library.model.tokenize(word)])
-                self.words[word] = ids
-                self.held += len(word) + len(ids) + _ENTRY
-            found.append(ids)
-        return b"".join(found)
+        if chunk.isalpha():  # ASCII letters
+            word = chunk.lower() if self.lowers else chunk
+            return self[word] if word != chunk else self._tokens(text)
+        if _ODD(text) or self.special.search(text):
+            return self._whole(chunk)
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        if self.lowers:
+            text = text.lower()
+        if not text.isalpha():
+            words = self.pattern.findall(text)
+            if len(words) != 1 or words[0] != text:
+                return b"".join([self[w.encode()] for w in words])
+        word = text.encode()
+        if word != chunk:
+            return self[word]
+        return self._tokens(text if text.isascii() else word.decode("latin-1").translate(self.letters))
+
+    def _tokens(self, shown: str) -> bytes:
+        return self._packed([t.id for t in self.library.model.tokenize(shown)])
 
     def _whole(self, text: bytes) -> bytes:
         return self._packed(self.library.encode(text.decode(), add_special_tokens=False).ids)
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.dtype.char, ids).tobytes()
 
 
 def _parts(step: dict | None, key: str) -> list[dict]:
@@ -128,7 +144,7 @@ def _word_pattern(stored: dict) -> "regex.Pattern | None":
     if not drops or second["use_regex"] or second["add_prefix_space"]:
         return None
     pattern = regex.compile(first["pattern"]["Regex"])
-    return None if pattern.search(" ") or pattern.search("a b")[0] != "a" else pattern
+    return pattern if pattern.findall("ab é") == ["ab", "é"] and not pattern.search(" ") else None
 
 
 @lru_cache(maxsize=2)
@@ -172,14 +188,12 @@ def encoded(docs: DataFrame, tokenizer: str, end: int, bounds: np.ndarray) -> Da
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = chunk_tokens(tokenizer)
         last = np.array([end], tokens.dtype).tobytes()
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             shards = shard_of(
                 batch["key"].to_numpy(), batch["draw"].to_numpy().view(np.uint64), bounds
             )
-            ids = [
-                tokens.encode(text or b"") + last
-                for text in batch["text"].cast(pa.binary()).to_pylist()
-            ]
+            texts = batch["text"].cast(pa.binary())
+            ids = [tokens.encode(text.as_py() or b"") + last for text in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(shards.astype(np.int32)),
