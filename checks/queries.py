@@ -605,12 +605,7 @@ def q_display_rows(spark, folder):
 def q_search_e2e(spark, folder):
     store = _new_store(spark, "search")
     files = I.document_files(spark, folder)
-    repos = files.select("repo_id").distinct().select(
-        "repo_id",
-        F.concat(F.lit("docs/"), F.col("repo_id").cast("string")).alias("path_or_url"),
-        F.current_timestamp().alias("indexed_at"),
-    )
-    indexing.index_files(store, files, repos, EMBEDDER)
+    indexing.index_files(store, files, _language_repos(files), EMBEDDER)
     queries = I.table(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"),
         (F.col("item_id") % 4 + 1).alias("repo_id"),
@@ -624,6 +619,62 @@ def q_search_e2e(spark, folder):
     )
 
 
+def _language_repos(files: DataFrame) -> DataFrame:
+    return files.select("repo_id").distinct().select(
+        "repo_id",
+        F.concat(F.lit("docs/"), F.col("repo_id").cast("string")).alias("path_or_url"),
+        F.current_timestamp().alias("indexed_at"),
+    )
+
+
+def _contents(index) -> DataFrame:
+    """What each repository of a version holds, in every table."""
+    chunks = index.read("chunks").groupBy("repo_id").agg(
+        F.count("*").alias("chunks"), F.sum(F.length("source_text")).alias("chars")
+    )
+    vectors = index.read("vectors").groupBy("repo_id").agg(
+        F.count("*").alias("vectors"), F.sum("chunk_pos").alias("positions")
+    )
+    terms = index.read("terms").groupBy("repo_id").agg(
+        F.count("*").alias("terms"), F.sum("chunks_with_term").alias("uses")
+    )
+    repos = index.read("repos").select("repo_id", "path_or_url")
+    return repos.join(chunks, "repo_id", "left").join(vectors, "repo_id", "left").join(terms, "repo_id", "left")
+
+
+@query
+def q_reindex(spark, folder):
+    """Two of four repositories indexed again with other texts: the version before, which a reader may
+    still hold, and the one after."""
+    store = _new_store(spark, "reindex")
+    files = I.document_files(spark, folder)
+    indexing.index_files(store, files, _language_repos(files), EMBEDDER)
+    before = store.snapshot()
+    changed = files.where("repo_id in (1, 3)").withColumn(
+        "content", F.encode(F.concat(F.lit("again "), F.decode("content", "utf-8")), "utf-8")
+    )
+    indexing.index_files(store, changed, _language_repos(changed), EMBEDDER)
+    both = _contents(before).withColumn("version", F.lit("before"))
+    return both.unionByName(_contents(store.snapshot()).withColumn("version", F.lit("after")))
+
+
+@query
+def q_delete_repos(spark, folder):
+    """Repositories with fewer vectors than the mean go, with all that belongs to them, in one commit."""
+    store = _new_store(spark, "delete")
+    vectors = I.label_vectors(spark, folder)
+    counts = vectors.groupBy("repo_id").agg(F.count("*").alias("n"))
+    marked = counts.select(
+        "repo_id", F.concat(F.lit("label/"), "repo_id").alias("path_or_url"), F.current_timestamp().alias("indexed_at")
+    )
+    with store.writing() as write:
+        write.replace("vectors", vectors, ["chunk_pos"])
+        write.replace("repos", marked)
+    store.delete(counts.join(counts.agg(F.avg("n").alias("mean")), F.col("n") < F.col("mean")))
+    index = store.snapshot()
+    return index.read("repos").join(index.read("vectors"), "repo_id").select("repo_id", "path_or_url", "chunk_pos")
+
+
 @query
 def q_index_summary(spark, folder):
     store = _new_store(spark, "index")

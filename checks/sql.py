@@ -472,6 +472,27 @@ ORACLE: dict[str, str] = {
              len(string_split(source_text, chr(10))) AS end_line, round(score, 6) AS score,
              md5(source_text) AS snippet_md5
       FROM ranked WHERE final_rank <= k""",
+    "q_reindex": f"""
+      WITH d AS ({LANG_DOCS}),
+      versions AS (
+        SELECT 'before' AS version, repo_id, chunk_pos, source_text, body FROM d
+        UNION ALL
+        SELECT 'after', repo_id, chunk_pos,
+               CASE WHEN repo_id IN (1, 3) THEN 'again ' ELSE '' END || source_text,
+               name || chr(10) || CASE WHEN repo_id IN (1, 3) THEN 'again ' ELSE '' END || source_text
+        FROM d),
+      words AS (
+        SELECT DISTINCT version, repo_id, chunk_pos, unnest(regexp_extract_all(lower(body), '[a-z0-9_]+', 0)) AS t
+        FROM versions),
+      terms AS (SELECT version, repo_id, count(DISTINCT t) AS terms, count(*) AS uses FROM words GROUP BY ALL)
+      SELECT version, repo_id, 'docs/' || repo_id AS path_or_url, count(*) AS chunks,
+             sum(length(source_text))::BIGINT AS chars, count(*) AS vectors,
+             sum(chunk_pos)::BIGINT AS positions, any_value(terms) AS terms, any_value(uses) AS uses
+      FROM versions JOIN terms USING (version, repo_id) GROUP BY version, repo_id""",
+    "q_delete_repos": """
+      WITH s AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
+      SELECT label::BIGINT AS repo_id, 'label/' || label AS path_or_url, vec_id AS chunk_pos FROM embeddings
+      WHERE label NOT IN (SELECT label FROM s WHERE n < (SELECT avg(n) FROM s))""",
     "q_index_summary": f"""
       SELECT repo_id, count(*) AS chunks_indexed FROM ({ALL_CHUNKS}) GROUP BY 1""",
     "q_workload": f"""

@@ -64,13 +64,33 @@ def continue_positions(
     name: str = "chunk_pos",
 ) -> DataFrame:
     """Positions for `new` rows that go on after the last position of their group."""
-    ends = existing.groupBy(group).agg((F.max(name) + 1).alias("__next"))
-    placed = dense_positions(new, [group], order, name="__pos")
-    return (
-        placed.join(ends, group, "left")
-        .withColumn(name, F.col("__pos") + F.coalesce("__next", F.lit(0)))
-        .drop("__pos", "__next")
+    ends = existing.groupBy(group).agg((F.max(name) + 1).alias("next"))
+    return continue_after(ends, new, order, group, name)
+
+
+def continue_after(
+    ends: DataFrame,
+    new: DataFrame,
+    order: list[Column],
+    group: str = "repo_id",
+    name: str = "chunk_pos",
+) -> DataFrame:
+    """Positions for `new` rows that begin, in each group, with the `next` one of `ends`.
+
+    Only the order keys are range-partitioned and written; wide rows meet their position in a join
+    on these keys, which therefore must tell the rows of a group apart.
+    """
+    keys = [f"__k{i}" for i in range(len(order))]
+    keyed = new.select("*", *[o.alias(k) for o, k in zip(order, keys)])
+    ranked = dense_positions(keyed.select(group, *keys), [group], [F.col(k) for k in keys], name="__pos")
+    names = {c: f"__r{i}" for i, c in enumerate([group, *keys])}
+    ranked = ranked.join(ends.withColumnRenamed("next", "__next"), group, "left").select(
+        *[F.col(c).alias(r) for c, r in names.items()],
+        (F.col("__pos") + F.coalesce("__next", F.lit(0))).alias("__place"),
     )
+    same = [F.col(c).eqNullSafe(F.col(r)) for c, r in names.items()]
+    placed = keyed.join(ranked, same).withColumn(name, F.col("__place"))
+    return placed.select(*[c for c in new.columns if c != name], name)
 
 
 def _ranged(

@@ -1,14 +1,14 @@
-"""Index a corpus: chunk, place, write, embed, write, and mark as done."""
+"""Index a corpus: chunk, place, write, embed, write, and commit everything at once."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesearch.operators import scoring
-from lakesearch.operators.catalog import empty_repos, index_summary
+from lakesearch.operators.catalog import empty_repos
 from lakesearch.operators.chunking import decoded, place_chunks, plan_chunks
 from lakesearch.operators.embedding import embed_chunks
 from lakesearch.session import cut_lineage, remove, shared_path
-from lakesearch.sources.store import IndexStore
+from lakesearch.sources.store import IndexStore, checked_vectors
 from lakesearch.sources.tables import read_corpus
 from lakesearch.sources.tree import read_source_tree
 
@@ -17,8 +17,9 @@ def index_files(store: IndexStore, files: DataFrame, repos: DataFrame, embedder)
     """Index `files` (repo_id, path, content) of the repositories in `repos`.
 
     Returns (repo_id, chunks_indexed). Repositories without any file raise an error
-    before anything is written. Running it again replaces the same partitions; files of
-    repositories that `repos` does not name are left out, and so are their stored rows.
+    before anything is written. Running it again replaces the repositories' chunks, vectors, terms
+    and `repos` rows, all in one commit: a search sees the old index or the new one, and a run that
+    fails leaves the old one. Files of repositories that `repos` does not name are left out.
     `files` is read several times, for the columns each step needs: pass a table.
     """
     named = repos.select("repo_id").distinct()
@@ -28,23 +29,14 @@ def index_files(store: IndexStore, files: DataFrame, repos: DataFrame, embedder)
     if missing:
         more = " and perhaps others" if len(missing) == 10 else ""
         raise ValueError(f"repositories without a file to index: {', '.join(missing)}{more}")
-    store.replace("chunks", place_chunks(texts, plan), sort=["chunk_pos"])
-    # Go on from the written chunks: positions are computed once and shared.
-    written = store.read_for("chunks", repos)
-    store.save_vectors(embed_chunks(written, embedder), embedder.dim, clustered=True)
-    statistics = scoring.term_statistics(written)
-    # A repository that has no terms any more gets no new partition in place of its old one.
-    stale = (
-        store.read_for("terms", repos)
-        .select("repo_id")
-        .distinct()
-        .join(statistics.select("repo_id").distinct(), "repo_id", "left_anti")
-    )
-    for row in stale.toLocalIterator():
-        store.drop_partition("terms", row.repo_id)
-    store.replace("terms", statistics, sort=["term"])
-    store.append("repos", repos.join(store.read("repos"), "repo_id", "left_anti"))
-    return index_summary(written)
+    with store.writing() as write:
+        # The rest goes on from the written chunks: positions are computed once and shared.
+        chunks = write.replace("chunks", place_chunks(texts, plan), sort=["chunk_pos"], scope=named)
+        vectors = checked_vectors(embed_chunks(chunks, embedder), embedder.dim)
+        write.replace("vectors", vectors, sort=["chunk_pos"], clustered=True, scope=named)
+        write.replace("terms", scoring.term_statistics(chunks), sort=["term"], scope=named)
+        write.replace("repos", repos)
+    return write.counts("chunks").select("repo_id", F.col("rows").alias("chunks_indexed"))
 
 
 def index_location(store: IndexStore, location: str, embedder) -> DataFrame:

@@ -59,9 +59,10 @@ def search_tables(
 def search_index(
     store: IndexStore, queries: DataFrame, embedder, scorer=None, on_unknown: str = "raise"
 ) -> DataFrame:
-    """Search the stored index. A query of a repository that is not indexed is an error,
-    or is left out with `on_unknown="skip"`."""
-    repos = store.read("repos")
+    """Search the stored index, all tables in the version that is the last one now. A query of a
+    repository that is not indexed is an error, or is left out with `on_unknown="skip"`."""
+    index = store.snapshot()
+    repos = index.read("repos")
     if on_unknown == "raise":
         lost = [r.repo_id for r in unknown_repos(queries, repos).limit(10).collect()]
         if lost:
@@ -70,9 +71,9 @@ def search_index(
     elif on_unknown != "skip":
         raise ValueError("on_unknown must be 'raise' or 'skip'")
     asked = known_repos(queries, repos)
-    chunks = store.read_for("chunks", asked)
+    chunks = index.read_for("chunks", asked)
     if scorer is None:
         scorer = scoring.LexicalScorer(
-            store.read_for("terms", asked), scoring.repo_sizes(chunks)
+            index.read_for("terms", asked), scoring.repo_sizes(chunks)
         )
-    return search_tables(store.read_for("vectors", asked), chunks, asked, embedder, scorer)
+    return search_tables(index.read_for("vectors", asked), chunks, asked, embedder, scorer)

@@ -5,6 +5,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -81,3 +82,32 @@ def remove(spark: SparkSession, path: str) -> None:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the checkpoint folder."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder; none if it does not exist."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(context._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        return []
+    return [status.getPath().getName() for status in files.listStatus(target)]
+
+
+def rename_folder(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder, without replacing anything; false if the target exists."""
+    context = spark.sparkContext
+    fs = context._jvm.org.apache.hadoop.fs
+    old, new = fs.Path(source), fs.Path(target)
+    files = old.getFileSystem(context._jsc.hadoopConfiguration())
+    qualified = files.makeQualified(old)
+    options = context._gateway.new_array(fs.Options.Rename, 0)
+    try:
+        fs.FileContext.getFileContext(qualified.toUri(), context._jsc.hadoopConfiguration()).rename(
+            qualified, files.makeQualified(new), options
+        )
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getName() == "org.apache.hadoop.fs.FileAlreadyExistsException":
+            return False
+        raise
+    return True

@@ -1,11 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lakesearch.operators import catalog, filters
+from lakesearch.operators import catalog, filters, positions
 from lakesearch.operators.embedding import HashedEmbedder
 from lakesearch.plans.indexing import index_files, index_location
 from lakesearch.plans.searching import search_index
-from lakesearch.sources.store import IndexStore
+from lakesearch.sources import store as S
+from lakesearch.sources.store import IndexStore, Transaction, WriteConflict
 
 EMBEDDER = HashedEmbedder(32)
 QUERIES = "query_id bigint, repo_id bigint, text string, k int"
@@ -128,3 +129,133 @@ def test_new_ids_follow_the_last_one(spark, store):
     more = store.new_repos(spark.createDataFrame([("c",)], "path_or_url string")).collect()
     assert {(r.repo_id, r.path_or_url) for r in store.read("repos").collect()} == {(1, "a"), (2, "b")}
     assert [r.repo_id for r in more] == [3]
+
+
+# Versions
+
+
+def contents(index):
+    return {
+        table: sorted(map(repr, index.read(table).drop("indexed_at").collect()))
+        for table in ("repos", "chunks", "vectors", "terms")
+    }
+
+
+def search_text(spark, store, text):
+    queries = spark.createDataFrame([(1, 1, text, 3)], QUERIES)
+    return sorted(tuple(r) for r in search_index(store, queries, EMBEDDER).collect())
+
+
+OLD = "def alpha(): pass\n\ndef beta(): pass\n"
+NEW = "def gamma(): pass\n"
+
+
+@pytest.mark.parametrize("stops_at", ["chunks", "vectors", "terms", "repos", "commit", "rename"])
+def test_a_write_that_stops_leaves_the_old_index(spark, store, monkeypatch, stops_at):
+    index_files(store, files(spark, (1, "a.py", OLD)), repos(spark, 1), EMBEDDER)
+    before, found = contents(store), search_text(spark, store, "alpha")
+    known = store.versions()
+    write, commit, rename = Transaction._write, Transaction.commit, S.rename_folder
+
+    def failing_write(self, table, *args):
+        done = write(self, table, *args)  # what is written already stays behind a failure too
+        if table == stops_at:
+            raise RuntimeError("stopped")
+        return done
+
+    def failing(*args):
+        raise RuntimeError("stopped")
+
+    if stops_at == "commit":
+        monkeypatch.setattr(Transaction, "commit", failing)
+    elif stops_at == "rename":
+        monkeypatch.setattr(S, "rename_folder", failing)
+    else:
+        monkeypatch.setattr(Transaction, "_write", failing_write)
+    with pytest.raises(RuntimeError, match="stopped"):
+        index_files(store, files(spark, (1, "a.py", NEW)), repos(spark, 1), EMBEDDER)
+    assert store.versions() == known and contents(store) == before
+    assert search_text(spark, store, "alpha") == found
+    # No draft and no run of the failed write stays.
+    assert all(n.isdigit() for n in S.child_names(spark, f"{store.location}/versions"))
+    assert len(S.child_names(spark, f"{store.location}/data/chunks")) <= 2
+    monkeypatch.undo()
+    index_files(store, files(spark, (1, "a.py", NEW)), repos(spark, 1), EMBEDDER)
+    assert {r.name for r in store.read("chunks").collect()} == {"gamma"}
+
+
+def test_a_reader_keeps_its_version(spark, store):
+    index_files(store, files(spark, (1, "a.py", OLD)), repos(spark, 1), EMBEDDER)
+    pinned = store.snapshot()
+    held = contents(pinned)
+    index_files(store, files(spark, (1, "a.py", NEW)), repos(spark, 1), EMBEDDER)
+    store.delete([1])
+    assert contents(pinned) == held and contents(store.snapshot(pinned.version)) == held
+    assert store.read("repos").count() == store.read("chunks").count() == 0
+    with pytest.raises(LookupError):
+        store.snapshot(99)
+
+
+def test_of_two_writers_one_commits(spark, store):
+    rows = spark.createDataFrame([(1, 0, [1.0])], "repo_id bigint, chunk_pos bigint, embedding array<float>")
+    with pytest.raises(WriteConflict):
+        with store.writing() as slow:
+            slow.replace("vectors", rows)
+            store.replace("vectors", rows.withColumn("repo_id", F.lit(2)))
+    assert [r.repo_id for r in store.read("vectors").collect()] == [2]
+    assert len(S.child_names(spark, f"{store.location}/data/vectors")) == 1
+
+
+def test_many_repositories_go_in_one_commit(spark, store, monkeypatch):
+    vectors = spark.range(60).selectExpr("id AS repo_id", "0L AS chunk_pos", "array(cast(id AS float)) AS embedding")
+    with store.writing() as write:
+        write.replace("vectors", vectors)
+        write.replace("repos", repos(spark, *range(60)))
+    calls = []
+    monkeypatch.setattr(S, "remove", lambda *a: calls.append(a))
+    store.delete(spark.range(10_000).selectExpr("id * 2 AS repo_id"))
+    assert not calls  # nothing is done per repository
+    for table in ("repos", "vectors"):
+        assert {r.repo_id for r in store.read(table).collect()} == set(range(1, 60, 2))
+
+
+def test_many_parts_are_read_by_a_join(spark, store, monkeypatch):
+    vectors = spark.range(12).selectExpr("id % 4 AS repo_id", "id AS chunk_pos", "array(cast(id AS float)) AS embedding")
+    store.replace("vectors", vectors)
+    store.replace("vectors", vectors.where("repo_id = 2 and chunk_pos > 5"))
+    few = sorted(map(repr, store.read("vectors").collect()))
+    assert len(few) == 11
+    monkeypatch.setattr(S, "NAMED_PARTS", 1)
+    assert sorted(map(repr, store.read("vectors").collect())) == few
+    wanted = spark.createDataFrame([(2,), (2,), (7,)], "repo_id bigint")
+    assert {r.chunk_pos for r in store.read_for("vectors", wanted).collect()} == {6, 10}
+
+
+def test_vacuum_and_compact(spark, store):
+    index_files(store, files(spark, (1, "a.py", OLD), (2, "b.py", OLD)), repos(spark, 1, 2), EMBEDDER)
+    index_files(store, files(spark, (1, "a.py", NEW)), repos(spark, 1), EMBEDDER)
+    store.delete([2])
+    before = contents(store)
+    store.compact()
+    store.vacuum()
+    assert contents(store) == before and len(store.versions()) == 1
+    for table in ("chunks", "vectors", "terms"):
+        assert len(S.child_names(spark, f"{store.location}/data/{table}")) == 1
+    index_files(store, files(spark, (3, "c.py", OLD)), repos(spark, 3), EMBEDDER)
+    assert {r.repo_id for r in store.read("repos").collect()} == {1, 3}
+
+
+def test_append_shuffles_keys_and_reads_no_stored_row(spark, store, monkeypatch):
+    rows = [(1 + i % 2, i, [float(i), 1.0]) for i in range(10)]
+    named = spark.createDataFrame(rows, "repo_id bigint, vec_id bigint, embedding array<float>")
+    store.add_vectors(named, 2, [F.col("vec_id")])
+    ranged = []
+    cut = positions.cut_lineage
+    monkeypatch.setattr(positions, "cut_lineage", lambda df: ranged.append(df.columns) or cut(df))
+    monkeypatch.setattr(S.Snapshot, "read", lambda *a: pytest.fail("stored rows were read"))
+    monkeypatch.setattr(S.Snapshot, "read_for", lambda *a: pytest.fail("stored rows were read"))
+    store.add_vectors(named, 2, [F.col("vec_id")])
+    assert ranged and all("embedding" not in columns for columns in ranged)
+    monkeypatch.undo()
+    got = sorted((r.repo_id, r.chunk_pos, r.embedding[0]) for r in store.read("vectors").collect())
+    assert got == sorted((1 + i % 2, i // 2 + 5 * k, float(i)) for i in range(10) for k in (0, 1))
