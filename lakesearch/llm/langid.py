@@ -34,6 +34,8 @@ WORDS, LEAST_WORDS = 60_000, 1_000
 GRAMS, LEAST_GRAMS = 60_000, 200
 LONGEST = 6
 UNKNOWN = "und"
+#: Languages whose sizes are sent to every task; beyond, they are joined like any table.
+SENT = 100_000
 #: Added to every count.
 SMOOTHING = 0.5
 KEPT_BYTES = 64 << 20
@@ -126,7 +128,12 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     without a word in its sample is not learnt."""
     known = rows.where("lang is not null and text is not null").select("lang", "text")
     hashed = known.withColumn("h", F.xxhash64("text"))
-    sizes = hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("texts"))
+    sizes = cut_lineage(
+        hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("texts"))
+    )
+    # A row per language; texts that are not drawn are not shuffled.
+    if sizes.count() <= SENT:
+        sizes = F.broadcast(sizes)
     draw = F.pmod(F.xxhash64("h"), F.lit(1 << 40)) / float(1 << 40)
     chosen = (
         hashed.join(sizes, "lang")
