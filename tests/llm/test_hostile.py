@@ -193,3 +193,12 @@ def test_language_of_ties_long_texts_and_clashing_columns(spark):
     assert [(r.doc_id, r.lang_pred) for r in got] == [(1, "aa"), (2, "aa"), (None, "aa"), (3, "und")]
     assert abs(got[0].score - 0.5) < 1e-9
     assert langid.identify_languages(asked.where("false"), model).count() == 0
+
+
+def test_sampling_does_not_depend_on_how_sizes_are_joined(spark, monkeypatch):
+    rows = [(k, f"kol tam {k % 90} re{'sh' * (k % 7)}", "ab"[k % 2]) for k in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sent = langid.train(table, sample=30)
+    monkeypatch.setattr(langid, "SENT", 0)
+    joined = langid.train(table, sample=30)
+    assert sent.languages == joined.languages and sent.words.seen == joined.words.seen
