@@ -14,6 +14,10 @@ minimisers, so each bucket counts its windows exactly, on the words themselves.
    strings is dealt out window by window instead, so it never meets in one task.
 4. The repeated windows go back to their row, which drops the words that they cover.
 
+Hot keys. A minimiser, a window or a string that holds more than one in `HOT` of a table's rows is known
+from the counts before a join; there are fewer than `HOT` such keys, which are sent to all tasks, and
+their rows are joined where they are. Only the others are shuffled.
+
 A row is known by two 64-bit hashes of (id, text): repeated rows then share a key, and as their contents
 are equal, so are their windows.
 """
@@ -33,15 +37,21 @@ from lakesearch.session import cut_lineage
 WINDOW = 35
 SEED_WORDS = 5
 SPLIT = 5_000
-#: Word hashes that a task keeps.
-KEPT_WORDS = 200_000
+HOT = 1_000
+#: Bytes of words, with their hashes, that a task keeps.
+KEPT_BYTES = 40 << 20
+_ENTRY = 150  # bytes of a dictionary entry and its objects, about
 _KEY = ["k1", "k2"]
 
 
 class _WordHashes(dict):
+    held = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
+        if self.held > KEPT_BYTES:
             self.clear()
+            self.held = 0
+        self.held += len(word) + _ENTRY
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
@@ -226,60 +236,93 @@ def _kept_frame(rows: list[tuple]) -> pd.DataFrame:
 _KEPT = ["doc_id", "n_words", "n_removed", "kept_text"]
 
 
+def hot_keys(counts: DataFrame, n: str, total: int) -> DataFrame:
+    """The rows of `counts` whose `n` is more than one in `HOT` of `total`, the sum of all `n`: fewer
+    than `HOT` rows, which can be sent to every task."""
+    return F.broadcast(counts.where(F.col(n) > F.lit(total // HOT)))
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """The inner join of `rows` with `keys`, one row per key; rows of the keys in `hot` are not shuffled.
+    `rows` and `keys` are read twice."""
+    named = hot.select(*on)
+    met = rows.join(F.broadcast(keys.join(named, on, "left_semi")), on)
+    return met.unionByName(rows.join(named, on, "left_anti").join(keys.join(named, on, "left_anti"), on))
+
+
 def repeated_spans(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """(k1, k2, spans) of the rows that have repeated windows; a span is (start, windows)."""
     spark: SparkSession = docs.sparkSession
-    runs, runs_path = write_out(
-        _keyed(docs)
-        .select("k1", "k2", "text")
-        .mapInPandas(_runs, "k1 long, k2 long, start int, n int, v long"),
-        "runs",
-    )
-    shared = runs.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
-    wanted = (
-        runs.join(shared, "v")
-        .groupBy(*_KEY)
-        .agg(F.collect_set(F.struct("start", "n", "v")).alias("runs"))
-    )
-    wanted, wanted_path = write_out(wanted, "wanted")
-    discard(spark, runs_path)
-    texts = _keyed(docs).select("k1", "k2", "text")
-    strings, strings_path = write_out(
-        texts.join(wanted.hint("shuffle_hash"), _KEY).mapInPandas(
-            _packed,
-            "k1 long, k2 long, start int, n int, v long, digest binary, packed binary",
-        ),
-        "strings",
-    )
-    discard(spark, wanted_path)
-    distinct = strings.groupBy("v", "digest", "packed").agg(F.count("*").alias("copies"))
-    distinct, distinct_path = write_out(distinct, "distinct")
-    sizes = distinct.groupBy("v").agg(F.count("*").alias("c"))
-    large = sizes.where(F.col("c") > split).select("v")
-    usual = (
-        distinct.join(large, "v", "left_anti")
-        .repartition("v")
-        .sortWithinPartitions("v")
-        .mapInPandas(_count_buckets, "v long, digest binary, windows array<int>")
-    )
-    dealt = distinct.join(large, "v").mapInPandas(
-        _windows, "v long, digest binary, i int, w binary, copies long"
-    )
-    often = dealt.groupBy("v", "w").agg(F.sum("copies").alias("c")).where("c > 1").select("v", "w")
-    split_up = (
-        dealt.join(often, ["v", "w"])
-        .groupBy("v", "digest")
-        .agg(F.collect_set("i").alias("windows"))
-    )
-    repeated = usual.unionByName(split_up)
-    spans = cut_lineage(
-        strings.select("k1", "k2", "start", "v", "digest")
-        .join(repeated, ["v", "digest"])
-        .groupBy(*_KEY)
-        .agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
-    )
-    discard(spark, strings_path, distinct_path)
-    return spans
+    kept: dict[str, str] = {}
+
+    def step(rows: DataFrame, name: str, *done: str) -> DataFrame:
+        written, kept[name] = write_out(rows, name)
+        discard(spark, *[kept.pop(d) for d in done])
+        return written
+
+    try:
+        runs = step(
+            _keyed(docs)
+            .select("k1", "k2", "text")
+            .mapInPandas(_runs, "k1 long, k2 long, start int, n int, v long"),
+            "runs",
+        )
+        shared = step(runs.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+        found = join_counted(runs, shared.select("v"), ["v"], hot_keys(shared, "c", runs.count()))
+        wanted = step(
+            found.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "n", "v")).alias("runs")),
+            "wanted",
+            "runs",
+            "shared",
+        )
+        texts = _keyed(docs).select("k1", "k2", "text")
+        strings = step(
+            texts.join(wanted, _KEY).mapInPandas(
+                _packed,
+                "k1 long, k2 long, start int, n int, v long, digest binary, packed binary",
+            ),
+            "strings",
+            "wanted",
+        )
+        distinct = step(
+            strings.groupBy("v", "digest", "packed").agg(F.count("*").alias("copies")), "distinct"
+        )
+        sizes = distinct.groupBy("v").agg(F.count("*").alias("c"))
+        large = sizes.where(F.col("c") > split)
+        usual = (
+            distinct.join(large, "v", "left_anti")
+            .repartition("v")
+            .sortWithinPartitions("v")
+            .mapInPandas(_count_buckets, "v long, digest binary, windows array<int>")
+        )
+        held = distinct.count()
+        dealt = step(
+            join_counted(distinct, large.select("v"), ["v"], hot_keys(large, "c", held)).mapInPandas(
+                _windows, "v long, digest binary, i int, w binary, copies long"
+            ),
+            "dealt",
+        )
+        often = step(
+            dealt.groupBy("v", "w")
+            .agg(F.sum("copies").alias("c"), F.count("*").alias("n"))
+            .where("c > 1"),
+            "often",
+        )
+        split_up = (
+            join_counted(dealt, often.select("v", "w"), ["v", "w"], hot_keys(often, "n", dealt.count()))
+            .groupBy("v", "digest")
+            .agg(F.collect_set("i").alias("windows"))
+        )
+        repeated = step(usual.unionByName(split_up), "repeated", "dealt", "often")
+        copied = hot_keys(distinct.select("v", "digest", "copies"), "copies", strings.count())
+        places = strings.select("k1", "k2", "start", "v", "digest")
+        return cut_lineage(
+            join_counted(places, repeated, ["v", "digest"], copied)
+            .groupBy(*_KEY)
+            .agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
+        )
+    finally:
+        discard(spark, *kept.values())
 
 
 def drop_repeats(docs: DataFrame, split: int = SPLIT) -> DataFrame:
@@ -292,7 +335,7 @@ def drop_repeats(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """
     return (
         _keyed(docs)
-        .join(repeated_spans(docs, split).hint("shuffle_hash"), _KEY, "left")
+        .join(repeated_spans(docs, split), _KEY, "left")
         .select("doc_id", "text", "spans")
         .mapInPandas(_kept, "doc_id long, n_words long, n_removed long, kept_text string")
     )
@@ -308,7 +351,7 @@ def cut_repeats(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     spans = repeated_spans(docs, split)
     columns, k1, k2 = docs.columns, *(c for c in _keys(docs))
     keyed = docs.select("*", k1.alias("__k1"), k2.alias("__k2"))
-    spans = spans.toDF("__k1", "__k2", "__spans").hint("shuffle_hash")
+    spans = spans.toDF("__k1", "__k2", "__spans")
 
     @F.pandas_udf("string")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
