@@ -15,19 +15,25 @@ from lakesearch.operators.positions import dense_positions
 TURNS = 64
 #: Roles that speak in every perspective as themselves and have none of their own.
 NARRATORS = ("system",)
-NAMELESS = "unknown"
+#: What is escaped in a text, and in a role besides, by a backslash; that itself first, so that it can be
+#: undone.
+ESCAPED = (("\\", "\\\\"), ("<|", "<\\|"))
+ESCAPED_IN_ROLES = (*ESCAPED, ("|>", "|\\>"), ("\n", "\\n"), ("\r", "\\r"))
 
 
-def _safe(value: Column) -> Column:
-    """Text that cannot be taken for a marker."""
-    return F.replace(value, F.lit("<|"), F.lit("<\\|"))
+def _escaped(value: Column, pairs: tuple) -> Column:
+    """Text that cannot be taken for a marker or leave one."""
+    for plain, written in pairs:
+        value = F.replace(value, F.lit(plain), F.lit(written))
+    return value
 
 
 def _head(role: Column, participant: Column) -> Column:
     return (
         F.when(role == participant, F.lit("<|assistant|>\n"))
         .when(role.isin(*NARRATORS), F.concat(F.lit("<|"), role, F.lit("|>\n")))
-        .otherwise(F.concat(F.lit("<|user name="), _safe(role), F.lit("|>\n")))
+        .when(role.isNull(), F.lit("<|user|>\n"))
+        .otherwise(F.concat(F.lit("<|user name="), _escaped(role, ESCAPED_IN_ROLES), F.lit("|>\n")))
     )
 
 
@@ -36,7 +42,7 @@ def _blocks(turns: DataFrame) -> DataFrame:
     rows = turns.select(
         "conv_id",
         F.col("turn").cast("long").alias("turn"),
-        F.coalesce("role", F.lit(NAMELESS)).alias("role"),
+        "role",
         F.coalesce("text", F.lit("")).alias("text"),
     )
     long_ones = (
@@ -44,7 +50,8 @@ def _blocks(turns: DataFrame) -> DataFrame:
     ).select(F.col("conv_id").alias("__c"))
     same = F.col("conv_id").eqNullSafe(F.col("__c"))
     short = rows.join(long_ones, same, "left_anti").withColumn("pos", F.lit(0).cast("long"))
-    order = [F.isnull("turn"), F.coalesce("turn", F.lit(0)), F.col("role"), F.col("text")]
+    named = [F.isnotnull("role"), F.coalesce("role", F.lit(""))]
+    order = [F.isnull("turn"), F.coalesce("turn", F.lit(0)), *named, F.col("text")]
     # Numbered in range partitions, so a dialogue of any length is spread over tasks.
     numbered = dense_positions(
         rows.join(long_ones, same, "left_semi"), ["conv_id"], order, name="pos"
@@ -58,12 +65,13 @@ def _blocks(turns: DataFrame) -> DataFrame:
 
 
 def perspectives(turns: DataFrame) -> DataFrame:
-    """One row per participant, dialogue and block of `turns` (conv_id, turn, role, text):
+    r"""One row per participant, dialogue and block of `turns` (conv_id, turn, role, text):
     conv_id, participant, block, n_turns, text, mask (spans of code points in text).
 
-    Turns stand in the order of turn, role, text; null turns come last, repeated rows stay. A null
-    role speaks as the user "unknown" and has no perspective, as narrators have none; a null text is
-    empty. Rows with a null conv_id are one dialogue. A dialogue without participants gives no row.
+    Turns stand in the order of turn, role, text; null turns come last, null roles first, repeated rows
+    stay. A turn without a role is a user's without a name, which no role can write, and has no
+    perspective, as narrators have none; a null text is empty. In texts `\` and `<|` are escaped by a
+    backslash, in roles `|>` and line ends too. Rows with a null conv_id are one dialogue. A dialogue without participants gives no row.
     Other columns are ignored; an empty table gives an empty result.
     """
     speakers = (
@@ -80,9 +88,9 @@ def perspectives(turns: DataFrame) -> DataFrame:
         F.transform(
             "turns",
             lambda t: F.struct(
-                (t["role"] == F.col("participant")).alias("own"),
+                t["role"].eqNullSafe(F.col("participant")).alias("own"),
                 _head(t["role"], F.col("participant")).alias("head"),
-                F.concat(_safe(t["text"]), end).alias("body"),
+                F.concat(_escaped(t["text"], ESCAPED), end).alias("body"),
             ),
         ).alias("segments"),
     )

@@ -157,19 +157,23 @@ def _bytes(text: str) -> str:
 ORACLE = {
     "op1_perspective_chat": """
         WITH turns AS (
-            SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+            SELECT conv_id, role, coalesce(text, '') AS text,
                    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST,
-                                      coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS pos
+                                      role NULLS FIRST, coalesce(text, '')) - 1 AS pos
             FROM conversations),
         speakers AS (SELECT DISTINCT conv_id, role AS participant FROM conversations
                      WHERE role IS NOT NULL AND role <> 'system'),
         segments AS (
-            SELECT t.conv_id, participant, pos // 64 AS block, pos, role = participant AS own,
+            SELECT t.conv_id, participant, pos // 64 AS block, pos,
+                   role IS NOT DISTINCT FROM participant AS own,
                    CASE WHEN role = participant THEN '<|assistant|>'
                         WHEN role = 'system' THEN '<|system|>'
-                        ELSE '<|user name=' || replace(role, '<|', '<\\|') || '|>'
+                        WHEN role IS NULL THEN '<|user|>'
+                        ELSE '<|user name=' || replace(replace(replace(replace(replace(role,
+                             '\\', '\\\\'), '<|', '<\\|'), '|>', '|\\>'), chr(10), '\\n'), chr(13), '\\r')
+                             || '|>'
                    END || chr(10) AS head,
-                   replace(text, '<|', '<\\|') || '<|end|>' || chr(10) AS body
+                   replace(replace(text, '\\', '\\\\'), '<|', '<\\|') || '<|end|>' || chr(10) AS body
             FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
         placed AS (
             SELECT *, sum(length(head) + length(body)) OVER (
