@@ -371,13 +371,23 @@ def test_quality_plan_has_no_python_and_no_shuffle(docs):
 # Perspectives
 
 
+def escaped(text, role=False):
+    out = text.replace("\\", "\\\\").replace("<|", "<\\|")
+    return out.replace("|>", "|\\>").replace("\n", "\\n").replace("\r", "\\r") if role else out
+
+
 def render(turns, who):
     text, spans = "", []
     for role, said in turns:
-        head = "<|assistant|>\n" if role == who else f"<|{role}|>\n" if role == "system" else f"<|user name={role}|>\n"
+        if role is None:
+            head = "<|user|>\n"
+        elif role == who:
+            head = "<|assistant|>\n"
+        else:
+            head = "<|system|>\n" if role == "system" else f"<|user name={escaped(role, True)}|>\n"
         text += head
         start = len(text)
-        text += said.replace("<|", "<\\|") + "<|end|>\n"
+        text += escaped(said) + "<|end|>\n"
         if role == who:
             spans.append((start, len(text)))
     return text, spans
@@ -386,19 +396,20 @@ def render(turns, who):
 def test_perspectives_equal_a_plain_rendering(spark):
     rows = [
         (1, 0, "system", "rules"), (1, 1, "ann", "hi é🙂"), (1, 2, "bob", "<|assistant|> no"), (1, 3, "cy", None),
-        (1, 4, "ann", ""), (1, 4, "ann", ""), (1, None, None, "late"),
+        (1, 4, "ann", ""), (1, 4, "ann", ""), (1, None, None, "late"), (1, 5, "unknown", "is a name"), (1, 5, None, "has none"),
         (2, 0, "system", "alone"), (None, 0, "dee", "x"), (3, 0, None, "nameless"),
+        (5, 0, "bob|>\nX", "a\\b <\\| <|"), (5, 1, "ann", "x" * 300_000), (5, 2, "", "no letters in the name"), (5, 3, "<|\\\r", "y"),
     ]
-    rows += [(4, k, f"p{k % 3}", f"turn {k} " + "y" * (k % 5)) for k in range(200)]
+    rows += [(4, k, f"p{k % 3}" if k % 11 else None, f"turn {k} " + "y" * (k % 5)) for k in range(200)]
     table = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn int, role string, text string, block string")
     got = {}
     for r in perspectives.perspectives(table).collect():
         got[r.conv_id, r.participant, r.block] = (r.text, [(m.start, m.end) for m in r.mask], r.n_turns)
-    order = lambda r: (r[1] is None, r[1] or 0, r[2] or "unknown", r[3] or "")
+    order = lambda r: (r[1] is None, r[1] or 0, r[2] is not None, r[2] or "", r[3] or "")
     want = {}
-    for conv in (1, 2, 3, 4, None):
+    for conv in (1, 2, 3, 4, 5, None):
         turns = sorted((r for r in rows if r[0] == conv), key=order)
-        said = [(r[2] or "unknown", r[3] or "") for r in turns]
+        said = [(r[2], r[3] or "") for r in turns]
         for who in {r[2] for r in turns} - {None, "system"}:
             for b in range(0, len(said), 64):
                 part = said[b : b + 64]
