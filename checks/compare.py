@@ -39,11 +39,11 @@ def _rows(columns: list[str], rows) -> list[tuple]:
     return sorted((tuple(_cell(row[i]) for i in order) for row in rows), key=repr)
 
 
-def differences(spark, connection, folder: str, name: str) -> list[str]:
+def differences(spark, connection, folder: str, name: str, queries=REGISTERED, sql=ORACLE) -> list[str]:
     """Empty when the query and its SQL give the same columns and rows."""
-    result = REGISTERED[name](spark, folder)
+    result = queries[name](spark, folder)
     got = _rows(result.columns, [tuple(r) for r in result.collect()])
-    cursor = connection.execute(ORACLE[name])
+    cursor = connection.execute(sql[name])
     columns = [c[0] for c in cursor.description]
     expected = _rows(columns, cursor.fetchall())
     if sorted(columns) != sorted(result.columns):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lakesearch.llm import exact_dedup, packing, simhash, superkmers, toxicity
-from lakesearch.llm.common import table, write_out
+from lakesearch.llm.common import discard, table, write_out
 from lakesearch.session import ship_package
 
 
@@ -54,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = write_out(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        try:
+            docs, path = write_out(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        finally:
+            if before:  # what a stage has read, or failed on, is of no use any more
+                discard(spark, before)
+        before = path
     return docs
