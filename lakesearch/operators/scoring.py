@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
 from lakesearch.functions import text as T
+from lakesearch.operators.positions import dense_positions
+from lakesearch.session import cut_lineage
 
 SHORTLIST = 10
+#: Longest list that one task sorts.
+RANKED = 100_000
 #: One id may ask several repositories.
 QUERY = ["query_id", "repo_id"]
 
@@ -140,7 +144,25 @@ def pair_up(hits: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, scorer) -> DataFrame:
-    """Score every candidate and rank per query; equal scores keep their retrieval order."""
+    """Score every candidate and rank per query; equal scores keep their retrieval order.
+
+    The lists of queries with k up to `RANKED` are sorted one by one. Longer ones are numbered in
+    range partitions, so a query with any number of candidates is spread over tasks.
+    """
+    if not queries.where(F.col("k") > RANKED).limit(1).count():
+        return _ranked(candidates, queries, scorer)
+    long = queries.where(F.col("k") > RANKED).select(*QUERY)
+    short = _ranked(candidates.join(long, QUERY, "left_anti"), queries, scorer)
+    scored = scorer.score(pair_up(candidates.join(long, QUERY, "left_semi"), queries), queries)
+    order = [-F.col("score"), F.col("rank")]
+    keyed = cut_lineage(scored.drop("query_text", "candidate_text"))
+    places = dense_positions(keyed.select(*QUERY, "score", "rank"), QUERY, order, name="place")
+    numbered = keyed.join(places.select(*QUERY, "rank", "place"), [*QUERY, "rank"])
+    placed = numbered.withColumn("final_rank", (F.col("place") + 1).cast("int")).drop("place")
+    return short.unionByName(placed)
+
+
+def _ranked(candidates: DataFrame, queries: DataFrame, scorer) -> DataFrame:
     scored = scorer.score(pair_up(candidates, queries), queries)
     order = Window.partitionBy(*QUERY).orderBy(F.desc("score"), F.asc("rank"))
     return scored.withColumn("final_rank", F.row_number().over(order)).drop(

@@ -6,9 +6,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lakesearch.functions import vectors as V
-from lakesearch.operators.positions import dense_positions
+from lakesearch.operators.positions import dense_positions, running_offset
 from lakesearch.session import cut_lineage
 
 DEFAULT_K = 10
@@ -18,9 +20,12 @@ PASS_BYTES = 64 * 1024 * 1024
 # Score cells computed at a time, and pairs rescored at a time.
 TILE_CELLS = 2_000_000
 RESCORE_PAIRS = 50_000
+# Order statistics of a batch's scores that bound the k-th score of a query with a large k.
+SKETCH = 64
 
 HITS = "query_id bigint, repo_id bigint, chunk_pos bigint, retrieval_score double"
 PARTIAL_HITS = HITS + ", wanted bigint"
+SKETCHES = "query_id bigint, repo_id bigint, score double, weight bigint"
 
 
 def rank_hits(hits: DataFrame, k: int, name: str = "rank") -> DataFrame:
@@ -78,7 +83,7 @@ def top_k_bounded(
     if stats.k <= most:
         return _short_lists(vectors, wanted, stats, pass_bytes), stats.n * stats.k
     # A k whose rows alone fill a pass asks for a sorted table, not for a short list.
-    wide = _sorted_scores(vectors, wanted.where(F.col("wanted") > most), stats.dim)
+    wide = _long_lists(vectors, wanted.where(F.col("wanted") > most), stats.dim, pass_bytes)
     narrow = wanted.where(F.col("wanted") <= most)
     return top_k(vectors, _as_queries(narrow), 1, pass_bytes).unionByName(wide), stats.n * stats.k
 
@@ -89,18 +94,59 @@ def _as_queries(wanted: DataFrame) -> DataFrame:
 
 def _short_lists(vectors: DataFrame, wanted: DataFrame, stats, pass_bytes: int) -> DataFrame:
     rows = max(1, pass_bytes // (24 * stats.k + 4 * max(stats.dim, 0)))
-    if stats.n <= rows:
-        hits = _one_block(vectors, wanted)
-    else:
-        hits = _in_blocks(vectors, wanted, stats.dim, rows, pass_bytes)
+    hits = _over_vectors(
+        vectors, wanted, stats.n, stats.dim, rows, pass_bytes, _best_in_partition, PARTIAL_HITS
+    )
     ranked = rank_hits(hits, stats.k)
     return ranked.where(F.col("rank") <= F.col("wanted")).drop("wanted")
 
 
+def _long_lists(vectors: DataFrame, wanted: DataFrame, dim: int, pass_bytes: int) -> DataFrame:
+    """Hits of queries whose k is large, by selection: a bound of each k-th score first, then only the
+    rows that reach it.
+
+    Of every batch's scores of a query, `SKETCH` evenly spaced order statistics stand for as many
+    rows each. In descending order, the one at which they stand for k rows is a score that k rows
+    reach at least; no more than k and one batch's share per batch do. Ranks are those of range
+    partitions, so no list of hits meets in one task.
+    """
+    n = wanted.count()
+    rows = max(1, pass_bytes // (4 * max(dim, 1) + 8 * SKETCH))
+
+    def scan(asked: DataFrame, work, schema: str) -> DataFrame:
+        return _over_vectors(vectors, asked, n, dim, rows, pass_bytes, work, schema)
+
+    sketch = cut_lineage(scan(wanted, _sketch_partition, SKETCHES))
+    query = ["query_id", "repo_id"]
+    below = running_offset(sketch, query, [-F.col("score")], F.col("weight"), name="before")
+    limits = wanted.select(*query, "wanted")
+    reached = below.join(limits, query).where(F.col("before") + F.col("weight") >= F.col("wanted"))
+    floors = reached.groupBy(*query).agg(F.max("score").alias("floor"))
+    # Fewer rows than k: all of them are hits.
+    floor = F.coalesce("floor", F.lit(float("-inf")))
+    bounded = wanted.join(floors, query, "left").select(*wanted.columns, floor.alias("floor"))
+    found = scan(cut_lineage(bounded.withColumn("wanted", F.col("floor")).drop("floor")), _above_partition, HITS)
+    order = [-F.col("retrieval_score"), F.col("chunk_pos")]
+    placed = dense_positions(found, query, order, name="place").join(limits, query)
+    return placed.where(F.col("place") < F.col("wanted")).select(
+        *found.columns, (F.col("place") + 1).cast("int").alias("rank")
+    )
+
+
+def _over_vectors(
+    vectors: DataFrame, wanted: DataFrame, n: int, dim: int, rows: int, pass_bytes: int, work, schema: str
+) -> DataFrame:
+    """`work` on all vectors with the queries of their repository: (batches of vectors, query ids,
+    repositories, the column `wanted`, query vectors) to batches."""
+    if n <= rows:
+        return _one_block(vectors, wanted, work, schema)
+    return _in_blocks(vectors, wanted, dim, rows, pass_bytes, work, schema)
+
+
 def _in_blocks(
-    vectors: DataFrame, wanted: DataFrame, dim: int, rows: int, pass_bytes: int
+    vectors: DataFrame, wanted: DataFrame, dim: int, rows: int, pass_bytes: int, work, schema: str
 ) -> DataFrame:
-    """Best hits of each block of queries in each split of its repository's vectors.
+    """The work of each block of queries in each split of its repository's vectors.
 
     A repository's queries are dealt over blocks of about `rows`, its vectors over splits of about
     `pass_bytes`; each split meets each block in a group of its own. So neither a repository that
@@ -135,37 +181,19 @@ def _in_blocks(
         .select(*cell, "query_id", "wanted", "embedding")
     )
 
-    def best(stored: pa.Table, asked: pa.Table) -> pa.Table:
+    names = to_arrow_schema(StructType.fromDDL(schema))
+
+    def each_cell(stored: pa.Table, asked: pa.Table) -> pa.Table:
         queries = (
             asked.column("query_id").to_numpy(),
             asked.column("repo_id").to_numpy(),
             asked.column("wanted").to_numpy(),
             _matrix(asked.column("embedding"), dim),
         )
-        return pa.Table.from_batches(_best_in_partition(stored.to_batches(), *queries))
-
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(best, PARTIAL_HITS)
-
-
-def _sorted_scores(vectors: DataFrame, wanted: DataFrame, dim: int) -> DataFrame:
-    """Ranks of whole score lists, spread over range partitions instead of one task each."""
-
-    def checked(column: str) -> Column:
-        return V.checked_dim(V.as_float(F.col(column)), dim)
+        done = [b.cast(names) for b in work(stored.to_batches(), *queries)]
+        return pa.Table.from_batches(done, schema=names)
 
-    scored = (
-        vectors.select("repo_id", "chunk_pos", checked("embedding").alias("stored"))
-        .join(wanted.withColumn("embedding", checked("embedding")), "repo_id")
-        .withColumn("retrieval_score", V.inner_product(F.col("stored"), F.col("embedding")))
-        .select("query_id", "repo_id", "chunk_pos", "retrieval_score", "wanted")
-    )
-    order = [-F.col("retrieval_score"), F.col("chunk_pos")]
-    placed = dense_positions(scored, ["query_id", "repo_id"], order, name="place")
-    return (
-        placed.where(F.col("place") < F.col("wanted"))
-        .withColumn("rank", (F.col("place") + 1).cast("int"))
-        .drop("place", "wanted")
-    )
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(each_cell, schema)
 
 
 def top_k_single(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -181,8 +209,8 @@ def top_k_single(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     )
 
 
-def _one_block(vectors: DataFrame, block: DataFrame) -> DataFrame:
-    """Hits of so few queries that every task can hold them all; nothing is shuffled."""
+def _one_block(vectors: DataFrame, block: DataFrame, work, schema: str) -> DataFrame:
+    """The work of so few queries that every task can hold them all; nothing is shuffled."""
     spark = vectors.sparkSession
     table = block.toArrow()
     matrix = _matrix(table.column("embedding"), None)
@@ -208,10 +236,10 @@ def _one_block(vectors: DataFrame, block: DataFrame) -> DataFrame:
         V.as_float(F.col("embedding")).alias("embedding"),
     )
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _best_in_partition(batches, *plan.value)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches, *plan.value)
 
-    return read.mapInArrow(best, PARTIAL_HITS)
+    return read.mapInArrow(whole, schema)
 
 
 def _matrix(column, dim: int | None) -> np.ndarray:
@@ -231,6 +259,59 @@ def _matrix(column, dim: int | None) -> np.ndarray:
     return matrix
 
 
+def _tiles(batches, query_repos, queries):
+    """Per tile of vectors of one repository: the range of its queries, the vectors' positions and rows,
+    their float32 scores, and how far the exact scores may be from these. Queries come in the order of
+    their repositories."""
+    dim = queries.shape[1]
+    slack = 2 * (dim + 2) * np.finfo(np.float32).eps * np.linalg.norm(queries.astype(np.float64), axis=1)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        repo = batch.column("repo_id").to_numpy(zero_copy_only=False)
+        pos = batch.column("chunk_pos").to_numpy(zero_copy_only=False)
+        vectors = _matrix(batch.column("embedding"), dim)
+        for r in np.unique(repo):
+            lo, hi = np.searchsorted(query_repos, [r, r + 1])
+            members = np.flatnonzero(repo == r)
+            step = max(1, TILE_CELLS // max(1, hi - lo))
+            for start in range(0, len(members) if hi > lo else 0, step):
+                rows = members[start : start + step]
+                size = np.linalg.norm(vectors[rows], axis=1).max(initial=0.0)
+                margin = slack[lo:hi] * max(float(size), 1e-30)
+                yield lo, hi, pos[rows], vectors[rows], vectors[rows] @ queries[lo:hi].T, margin
+
+
+def _sketch_partition(batches, query_ids, query_repos, _, queries) -> Iterator[pa.RecordBatch]:
+    """Scores that so many rows of a tile reach at least, evenly spaced over its rows."""
+    for lo, hi, _, _, scores, margin in _tiles(batches, query_repos, queries):
+        n = len(scores)
+        step = -(-n // SKETCH)
+        ends = np.append(np.arange(step, n, step), n)  # in descending order, counted from 1
+        lowest = -np.sort(-scores.astype(np.float64), axis=0)[ends - 1] - margin
+        yield pa.RecordBatch.from_pydict(
+            {
+                "query_id": np.tile(query_ids[lo:hi], len(ends)),
+                "repo_id": np.tile(query_repos[lo:hi], len(ends)),
+                "score": lowest.ravel(),
+                "weight": np.repeat(np.diff(ends, prepend=0), hi - lo),
+            }
+        )
+
+
+def _above_partition(batches, query_ids, query_repos, floors, queries) -> Iterator[pa.RecordBatch]:
+    """Every pair whose exact score reaches the query's floor."""
+    exact = queries.astype(np.float64)
+    for lo, hi, pos, vectors, scores, margin in _tiles(batches, query_repos, queries):
+        v, q = np.nonzero(scores >= floors[lo:hi] - margin)
+        score = _exact_scores(vectors, v, exact, q + lo)
+        keep = score >= floors[lo + q]
+        v, q, score = v[keep], q[keep] + lo, score[keep]
+        yield pa.RecordBatch.from_pydict(
+            {"query_id": query_ids[q], "repo_id": query_repos[q], "chunk_pos": pos[v], "retrieval_score": score}
+        )
+
+
 def _best_in_partition(batches, query_ids, query_repos, ks, queries) -> Iterator[pa.RecordBatch]:
     dim = queries.shape[1]
     exact = queries.astype(np.float64)

@@ -218,3 +218,65 @@ def test_model_of_another_dimension_fails(spark, chunks):
     embedder = ModelEmbedder(models()[0], dim=3)
     with pytest.raises(Exception, match="dimension mismatch"):
         embed_chunks(chunks, embedder).collect()
+
+
+def test_large_k_emits_rows_near_k(spark, monkeypatch):
+    """Selection by a bound of the k-th score: no list of all pairs."""
+    pick = np.random.default_rng(7)
+    n, k = 4_000, 300
+    stored = pick.standard_normal((n, 8)).astype(np.float32)
+    stored[100:160] = stored[99]  # ties
+    data = [(1 + (i % 4 == 0), i, [float(x) for x in row]) for i, row in enumerate(stored)]
+    vectors = spark.createDataFrame(data, "repo_id long, chunk_pos long, embedding array<float>").repartition(3).cache()
+    asked = spark.createDataFrame(
+        [(q, r, [float(x) for x in pick.standard_normal(8)], k if q else 10_000) for q in range(3) for r in (1, 2)],
+        "query_id long, repo_id long, embedding array<float>, k long",
+    ).cache()
+    emitted = []
+    number = topk.dense_positions
+
+    def counted(rows, *args, **names):
+        emitted.append({(r.query_id, r.repo_id): r["count"] for r in rows.groupBy("query_id", "repo_id").count().collect()})
+        return number(rows, *args, **names)
+
+    monkeypatch.setattr(topk, "dense_positions", counted)
+    got = {}
+    for r in topk.top_k(vectors, asked, pass_bytes=24 * 100).collect():
+        got.setdefault((r.query_id, r.repo_id), []).append((r["rank"], r.chunk_pos, r.retrieval_score))
+    for q in asked.collect():
+        own = [(sum(float(np.float32(a)) * float(np.float32(b)) for a, b in zip(e, q.embedding)), p) for r, p, e in data if r == q.repo_id]
+        best = sorted(own, key=lambda x: (-x[0], x[1]))[: q.k]
+        found = sorted(got[q.query_id, q.repo_id])
+        assert [r for r, _, _ in found] == list(range(1, len(best) + 1))
+        assert [p for _, p, _ in found] == [p for _, p in best]
+        # One share of each batch more than k, ties included, at most.
+        if q.k < len(own):
+            assert emitted[0][q.query_id, q.repo_id] < q.k + len(own) // 8 + 61
+
+
+def test_long_lists_are_ranked_without_one_window(spark, monkeypatch):
+    from lakesearch.operators import scoring
+
+    chunks = [(1, i, f"n{i}", "word " * (i % 7) + f"w{i}") for i in range(200)]
+    rows = [(q, 1, p, i + 1, n, t) for q in (1, 2) for i, (_, p, n, t) in enumerate(chunks)]
+    candidates = spark.createDataFrame(
+        rows, "query_id long, repo_id long, chunk_pos long, rank int, name string, source_text string"
+    ).withColumn("docstring", F.lit(None).cast("string"))
+    queries = spark.createDataFrame(
+        [(1, 1, "word", 500), (2, 1, "word w7", 5)], "query_id long, repo_id long, text string, k long"
+    )
+
+    class Length:
+        def score(self, pairs, queries):
+            return pairs.withColumn("score", (F.length("candidate_text") % 5).cast("double"))
+
+    def ranks():
+        return {(r.query_id, r.chunk_pos): r.final_rank for r in scoring.rerank(candidates, queries, Length()).collect()}
+
+    plain = ranks()
+    monkeypatch.setattr(scoring, "RANKED", 100)
+    sorted_in_one = []
+    ranked = scoring._ranked
+    monkeypatch.setattr(scoring, "_ranked", lambda c, *a: sorted_in_one.append(c.count()) or ranked(c, *a))
+    assert ranks() == plain and len(plain) == 400
+    assert sorted_in_one == [200]  # the short list only
