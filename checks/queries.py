@@ -415,13 +415,28 @@ def q_doc_segments(spark, folder):
     return segments.document_lines(documents).drop("docstring")
 
 
-@query
-def q_page_elements(spark, folder):
-    pages = I.table(spark, folder, "pages").select(
+def _pages(spark, folder):
+    return I.table(spark, folder, "pages").select(
         F.col("page_id").alias("repo_id"), F.col("url").alias("file_path"),
         F.col("html").alias("text"),
     )
-    return segments.page_elements(pages).drop("docstring", "file_path")
+
+
+@query
+def q_page_elements(spark, folder):
+    return segments.page_elements(_pages(spark, folder)).drop("docstring", "file_path")
+
+
+@query
+def q_page_coverage(spark, folder):
+    """Visible characters, blanks apart, of each page's pieces: none of the page is lost or repeated."""
+    found = segments.page_elements(_pages(spark, folder)).where("node_type = 'element'")
+    visible = F.regexp_replace(F.regexp_replace("source_text", segments.INLINE, ""), r"\s+", "")
+    return found.groupBy("repo_id").agg(
+        F.sum(F.length(visible)).alias("chars"),
+        F.min("start_line").alias("first_line"),
+        F.max("end_line").alias("last_line"),
+    )
 
 
 @query

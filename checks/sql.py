@@ -6,7 +6,7 @@ Chunks of the derived code files are listed from the template's definitions, not
 from checks import inputs as I
 from lakesearch.operators.filters import EXCLUDED_DIRECTORIES
 from lakesearch.operators.metrics import WORKLOAD_QUERIES
-from lakesearch.operators.segments import ELEMENTS
+from lakesearch.operators.segments import CONTAINERS, MARKUP, PIECES
 
 
 def quoted(text: str) -> str:
@@ -392,19 +392,53 @@ ORACLE: dict[str, str] = {
       SELECT doc_id, source, 0, 'file', source, 1, len(string_split(text, chr(10))), text
       FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f)""",
     "q_page_elements": f"""
-      WITH e AS (
-        SELECT page_id, len(string_split(html, chr(10))) AS n, unnest(found) AS t,
-               generate_subscripts(found, 1) - 1 AS part
-        FROM (SELECT page_id, html, regexp_extract_all(html,
-               '(?is){"|".join(f"<{t}(?:[[:space:]][^>]*)?>.*?</{t}>" for t in ELEMENTS)}', 0) AS found
-              FROM pages))
-      SELECT page_id AS repo_id, part, 'element' AS node_type,
-             lower(regexp_extract(t, '^<(\\w+)', 1)) AS name, 1 AS start_line, n AS end_line,
-             t AS source_text FROM e
+      WITH cut AS (
+        SELECT page_id, url, html, list_concat([''], regexp_extract_all(html, {quoted(MARKUP)})) AS tags,
+               string_split_regex(html, {quoted(MARKUP)}) AS texts FROM pages),
+      steps AS (SELECT page_id, unnest(range(len(tags))) AS i, unnest(tags) AS tag, unnest(texts) AS after FROM cut),
+      named AS (SELECT *, lower(regexp_extract(tag, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) AS name FROM steps),
+      kinds AS (SELECT *, list_contains({listed(CONTAINERS)}, name) AS holds,
+                       list_contains({listed(PIECES)}, name) AS is_piece, tag LIKE '</%' AS ends FROM named),
+      runs AS (
+        SELECT *, count(*) FILTER (holds OR is_piece) OVER w AS grp,
+               sum(CASE WHEN NOT holds THEN 0 WHEN ends THEN -1 ELSE 1 END) OVER w AS total,
+               sum(len(string_split(tag, chr(10))) + len(string_split(after, chr(10))) - 2) OVER w AS line_ends,
+               last_value(CASE WHEN holds OR ends AND is_piece OR name = 'hr' THEN '' WHEN is_piece THEN name END
+                          IGNORE NULLS) OVER w AS piece
+        FROM kinds WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+      deep AS (SELECT *, total - least(min(total) OVER (PARTITION BY page_id ORDER BY i), 0) AS depth FROM runs),
+      placed AS (
+        SELECT *, last_value(CASE WHEN holds AND NOT ends THEN name END IGNORE NULLS)
+                    OVER (PARTITION BY page_id, depth ORDER BY i) AS container
+        FROM deep),
+      joined AS (
+        SELECT page_id, grp, string_agg(after, '' ORDER BY i) AS raw,
+               arg_min(CASE WHEN piece <> '' THEN piece WHEN depth > 0 THEN coalesce(container, 'page')
+                            ELSE 'page' END, i) AS name,
+               min(line_ends - len(string_split(after, chr(10))) + 2
+                   + len(string_split(regexp_extract(after, '^\\s*'), chr(10))) - 1)
+                 FILTER (regexp_matches(regexp_replace(after, '<[^>]*>', '', 'g'), '\\S')) AS start_line,
+               max(line_ends + 1 - (len(string_split(regexp_extract(after, '\\s*$'), chr(10))) - 1))
+                 FILTER (regexp_matches(regexp_replace(after, '<[^>]*>', '', 'g'), '\\S')) AS end_line
+        FROM placed GROUP BY page_id, grp),
+      e AS (
+        SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY grp) - 1 AS part, name, start_line, end_line,
+               regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS source_text
+        FROM joined WHERE start_line IS NOT NULL)
+      SELECT page_id AS repo_id, part, 'element' AS node_type, name, start_line, end_line, source_text FROM e
       UNION ALL
       SELECT page_id, 0, 'file', string_split(url, '/')[-1], 1,
              len(string_split(html, chr(10))), html
       FROM pages WHERE page_id NOT IN (SELECT page_id FROM e)""",
+    "q_page_coverage": """
+      WITH plain AS (
+        SELECT page_id, regexp_replace(regexp_replace(html,
+                 '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>|<[^>]*>',
+                 chr(1), 'g'), chr(1) || '+', chr(1), 'g') AS t FROM pages),
+      shown AS (SELECT page_id, regexp_replace(t, '[\\s\\x01]+', '', 'g') AS t FROM plain)
+      SELECT page_id AS repo_id, length(shown.t) AS chars, 1 AS first_line,
+             len(string_split(html, chr(10))) AS last_line
+      FROM shown JOIN pages USING (page_id) WHERE shown.t <> ''""",
     "q_turn_chunks": """
       SELECT 0 AS repo_id, conv_id::VARCHAR AS file_path, turn AS part, 'turn' AS node_type,
              role AS name, 1 AS start_line, len(string_split(text, chr(10))) AS end_line,
