@@ -41,7 +41,7 @@ _SCRIPT_METHOD = (
     rf"([\w$#]+|\[[^\]]*\]|{M.OPEN}{M.FILL}*)\s*\??(?:<[^()]*>)?\s*)$"
 )
 _MEMBER_NAME = rf"([\w$#]+|\[[^\]]*\]|{M.OPEN}{M.FILL}*)\s*\??(?:<[^()]*>)?\s*$"
-_GO_FUNCTION = r"(?:^|\n)(func\s+(\w+)\s*(?:\[[^\]]*\])?\s*)$"
+_GO_FUNCTION = r"(?:^|\n)(func\s+(\w+)\s*(?:\[(?s:.*)\])?\s*)$"
 _GO_METHOD = r"(?:^|\n)(func\s*)$"
 
 

@@ -2,10 +2,19 @@
 
 The masked text has the same characters per line as the source: comments become
 blanks, a string starts with OPEN and goes on with FILL, line ends stay.
+
+Patterns do this for texts whose templates nest no deeper than a pattern can say. Rows with deeper
+ones, or with more blanks before a regular expression literal than a look-behind may hold, go
+through a scanner that keeps the open templates and braces on a stack; other rows do not reach it.
 """
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 OPEN = "\u0002"
 FILL = "\u0001"
@@ -16,10 +25,10 @@ _SINGLE = r"'(?:[^'\\\n]++|\\.)*+'"
 _BLOCK_COMMENT = r"/\*(?:[^*]++|\*(?!/))*+\*/"
 _LINE_COMMENT = r"//[^\n]*+"
 _RAW = r"`[^`]*+`"
-#: Templates and braces inside `${}` are followed this deep.
+#: Templates and braces inside `${}` are followed this deep by the pattern.
 _DEPTH = 6
-#: Blanks that may stand before a regular expression literal; a look-behind needs a bound.
-_BLANKS = 1000
+#: Blanks before a regular expression literal that its look-behind takes.
+_BLANKS = 100
 
 
 def _inside(depth: int) -> str:
@@ -111,8 +120,118 @@ def _mask_braces(text: Column, pattern: str) -> Column:
 
 
 def mask_go(text: Column) -> Column:
-    return _mask_braces(text, GO)
+    masked = _mask_braces(text, GO)
+    typed = F.contains(masked, F.lit("func")) & masked.rlike(_GO_TYPE_PARAMETERS)
+    return F.when(typed, _hide_brackets(masked, _GO_TYPE_PARAMETERS)).otherwise(masked)
 
 
 def mask_script(text: Column) -> Column:
-    return _mask_braces(text, SCRIPT)
+    plain = _mask_braces(text, SCRIPT)
+    # A back-tick that the pattern left, or a slash behind more blanks than its look-behind takes.
+    deep = F.contains(text, F.lit("${")) & F.contains(plain, F.lit("`"))
+    deep = deep | text.rlike(rf"[ \t]{{{_BLANKS},}}/")
+    masked = F.when(deep, _scan(F.when(deep, text))).otherwise(plain)
+    typed = masked.rlike(_SCRIPT_TYPES)
+    return F.when(typed, _hide_brackets(masked, _SCRIPT_TYPES)).otherwise(masked)
+
+
+# Types that hold brackets: they would be taken for parameters and bodies.
+
+
+def _balanced(opening: str, closing: str, other: str, depth: int = 8) -> str:
+    inside = rf"(?:{other})*+"
+    for _ in range(depth):
+        inside = rf"(?:{other}|{opening}{inside}{closing})*+"
+    return rf"{opening}{inside}{closing}"
+
+
+_ANGLES = _balanced("<", ">", r"[^<>=]++|=>|=(?!>)")
+_ROUNDS = _balanced(r"\(", r"\)", r"[^()]++")
+_SQUARES = _balanced(r"\[", r"\]", r"[^\[\]]++")
+_GO_TYPE_PARAMETERS = rf"\bfunc\s+\w+\s*{_SQUARES}(?=\s*\()"
+#: Type parameters behind a name, and function types that are what a parameter list returns.
+_SCRIPT_TYPES = (
+    rf"(?<![\w$])[\w$]+\s*(?=<[^;]*(?:=>|\bextends\b)){_ANGLES}(?=\s*[({{])"
+    rf"|\)\s*:\s*{_ROUNDS}\s*=>\s*[\w$.<>\[\]| ]+(?=\s*\{{)"
+)
+
+
+def _hide_brackets(masked: Column, pattern: str) -> Column:
+    """Brackets and arrows in what the pattern finds become FILL; a first `)` stays."""
+    tokens = F.regexp_extract_all(masked, F.lit(rf"(?s){pattern}|."), F.lit(0))
+
+    def hide(token: Column) -> Column:
+        hidden = F.translate(F.substring(token, 2, 2147483647), "(){}=", FILL * 5)
+        return F.when(F.length(token) > 1, F.concat(F.left(token, F.lit(1)), hidden)).otherwise(token)
+
+    return _join(F.transform(tokens, hide))
+
+
+# The scanner
+
+_UNENDED = 100
+_CODE = re.compile(r"""[^"'`/{}]+|//[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|.""", re.S)
+_LITERAL = re.compile(r"/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/", re.S)
+_IN_TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))+|`|\$\{|.", re.S)
+
+
+def _literal_may_start(text: str, at: int) -> bool:
+    """Whether a slash is no division, by what stands before it."""
+    while at and text[at - 1] in " \t":
+        at -= 1
+    word = re.search(r"\w*\Z", text[max(0, at - 8) : at])[0]
+    return at == 0 or text[at - 1] in "(,=:[!&|?{};\n" or word == "return"
+
+
+def _template_end(text: str, at: int) -> int:
+    """The place behind the template that begins at `at`; -1 if it does not end. What is open, templates
+    and braces of code in them, is on a stack."""
+    stack = ["`"]
+    at += 1
+    while at < len(text):
+        if stack[-1] == "`":
+            found = _IN_TEMPLATE.match(text, at)[0]
+            if found == "`":
+                stack.pop()
+                if not stack:
+                    return at + 1
+            elif found == "${":
+                stack.append("{")
+        else:
+            found = _CODE.match(text, at)[0]
+            if found == "}":
+                stack.pop()
+            elif found in ("`", "{"):
+                stack.append(found)
+        at += len(found)
+    return -1
+
+
+def scan_script(text: str) -> str:
+    """The masked text, whatever its nesting. A back-tick whose template does not end is code; behind
+    `_UNENDED` of them all are, so broken texts take linear time too."""
+    out: list[str] = []
+    at, unended = 0, 0
+    while at < len(text):
+        found = _CODE.match(text, at)[0]
+        if found == "`" and unended < _UNENDED:
+            end = _template_end(text, at)
+            unended += end < 0
+            found = text[at:end] if end > 0 else found
+        elif found == "/" and _literal_may_start(text, at):
+            literal = _LITERAL.match(text, at)
+            found = literal[0] if literal else found
+        if found.startswith(("//", "/*")) and len(found) > 1:
+            out.append(re.sub(r"[^\n]", " ", found))
+        elif found[0] in "\"'`/" and len(found) > 1:
+            out.append(OPEN + re.sub(r"[^\n]", FILL, found[1:]))
+        else:
+            out.append(found)
+        at += len(found)
+    return "".join(out)
+
+
+@F.pandas_udf(StringType())
+def _scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield texts.map(scan_script, na_action="ignore")

@@ -1,6 +1,8 @@
 import ast
 import os
+import random
 import sysconfig
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +157,72 @@ def test_masking_keeps_length_and_lines(spark):
     assert "hidden" not in masked.py and "two" not in masked.js
 
 
+def nested(depth):
+    """Templates in the braces of templates, each with a brace and an arrow function of its own."""
+    inner = f"${{rows.map((r) => {{ return {nested(depth - 1)} }})}}" if depth else "} { function no() {"
+    return f"`text {{ ( {inner} }}`"
+
+
+@pytest.mark.parametrize("depth", [0, 1, 2, 7, 10, 40])
+def test_templates_nest_to_any_depth(spark, depth):
+    text = f"function before() {{\n  return {nested(depth)};\n}}\nfunction after() {{ }}\n"
+    assert rows_of(chunks_of(spark, "a.js", text)) == [
+        ("function", "before", 1, 3),
+        ("function", "after", 4, 4),
+    ]
+
+
+@pytest.mark.parametrize("blanks", [0, 50, 2_000])
+def test_blanks_before_a_regular_expression(spark, blanks):
+    text = f"function a() {{\n  x = {' ' * blanks}/[}}]{{/;\n}}\nfunction b() {{ return 4 {' ' * blanks}/ 2; }}\n"
+    assert rows_of(chunks_of(spark, "a.ts", text)) == [("function", "a", 1, 3), ("function", "b", 4, 4)]
+
+
+def test_the_scanner_equals_the_patterns_on_plain_templates(spark):
+    pick = random.Random(2)
+    parts = ["`a ${x} b`", '"s{"', "'}'", "// c {\n", "/* } */", "= /[}]/g;", "{", "}", " a / b ", "\n", "`\\``", "(", ")", "return /x{2}/;"]
+    texts = ["".join(pick.choice(parts) for _ in range(20)) for _ in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", masking._mask_braces(F.col("t"), masking.SCRIPT).alias("m"))
+    for r in rows.collect():
+        assert masking.scan_script(r.t) == r.m
+
+
+def test_broken_templates_take_linear_time():
+    began = time.perf_counter()
+    for text in ("`${" * 50_000, "`" * 100_001, "${`" * 30_000, "`${{" * 30_000, '"' * 100_000, "/" * 100_000):
+        assert len(masking.scan_script(text)) == len(text)
+    assert time.perf_counter() - began < 20
+
+
+def test_types_with_brackets_hide_no_header(spark):
+    go = (
+        "package a\n\nfunc Map[T any, U interface{ A() }](xs []T) []U {\n\treturn nil\n}\n\n"
+        "func Each[K comparable, F func(K) (int, error)](f F) {\n}\n\n"
+        "func Pair[T ~[]int | map[string][]struct{ x int }](t T) { }\n"
+    )
+    assert rows_of(chunks_of(spark, "a.go", go)) == [
+        ("function", "Map", 3, 5),
+        ("function", "Each", 7, 8),
+        ("function", "Pair", 10, 10),
+    ]
+    ts = (
+        "function apply<T extends (x: number) => void>(f: T): void {\n  f(1);\n}\n"
+        "export function make<A, F extends { run(a: A): (b: A) => void }>(a: A) {\n}\n"
+        "class Box<T extends () => void> {\n  get<U extends (u: U) => T>(u: U): U { return u; }\n"
+        "  handler(a: string): (b: number) => void {\n    return null;\n  }\n}\n"
+        "const less = (a, b) => { if (a < (b) && (c) > (d)) { return f(a); } };\n"
+        "function last() { }\n"
+    )
+    assert rows_of(chunks_of(spark, "a.ts", ts)) == [
+        ("function", "apply", 1, 3),
+        ("function", "make", 4, 5),
+        ("class", "Box", 6, 11),
+        ("method", "get", 7, 7),
+        ("method", "handler", 8, 10),
+        ("function", "last", 13, 13),
+    ]
+
+
 def test_long_literals_do_not_overflow_the_stack(spark):
     body = "x" * 300_000
     text = f'def f():\n    """{body}\n{body}"""\n    return 1\n\ndef g(): pass\n'
