@@ -39,7 +39,9 @@ SENT = 100_000
 #: Added to every count.
 SMOOTHING = 0.5
 KEPT_BYTES = 64 << 20
-_ENTRY = 250  # bytes of a dictionary entry, its word and its vector, without the numbers, about
+_ENTRY = 150  # bytes of a dictionary entry and its word, about
+#: Words of a text whose vectors are added up at a time.
+TOGETHER = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -75,11 +77,16 @@ class Table:
     def __contains__(self, key: str) -> bool:
         return key in self.seen
 
+    def mean(self, keys: list[str]) -> np.ndarray:
+        """The log frequencies of known keys, on average."""
+        sums = [0.0] * len(self.base)
+        for key in keys:
+            for where, more in self.seen[key]:
+                sums[where] += more
+        return self.base + np.array(sums) / len(keys)
+
     def __getitem__(self, key: str) -> np.ndarray:
-        found = self.base.copy()
-        for where, more in self.seen[key]:
-            found[where] += more
-        return found
+        return self.mean([key])
 
 
 class Model:
@@ -91,38 +98,60 @@ class Model:
         self.parts = {
             n: Table(parts[parts["n"] == n], "gram", languages) for n in range(1, LONGEST + 1)
         }
-        self.kept: dict[str, np.ndarray] = {}
-        self.held = 0
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the vectors of the words met so far."""
+        self.places = _Places(self.word_scores)
 
     def word_scores(self, word: str) -> np.ndarray:
-        known = self.kept.get(word)
-        if known is None:
-            if self.held > KEPT_BYTES:
-                self.kept.clear()
-                self.held = 0
-            known = self.words[word] if word in self.words else self._backed_off(word)
-            self.kept[word] = known
-            self.held += len(word) + known.nbytes + _ENTRY
-        return known
+        return self.words[word] if word in self.words else self._backed_off(word)
 
     def _backed_off(self, word: str) -> np.ndarray:
         for n in range(LONGEST, 0, -1):
             table = self.parts[n]
-            found = [table[g] for g in grams(word, n) if g in table]
+            found = [g for g in grams(word, n) if g in table.seen]
             if found:
-                return np.mean(found, axis=0)
+                return table.mean(found)
         return np.zeros(len(self.languages))
 
     def identify(self, text: str | None) -> tuple[str, float]:
-        words = Counter(letters(text))
+        words = letters(text)
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        rows = np.array([self.word_scores(w) for w in words])
-        sums = np.fromiter(words.values(), np.float64, len(words)) @ rows
+        if self.places.held > KEPT_BYTES:
+            self.forget()
+        at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        sums = np.zeros(len(self.languages))
+        for start in range(0, len(at), TOGETHER):
+            sums += self.places.rows[at[start : start + TOGETHER]].sum(axis=0)
         best = int(np.argmax(sums))
         return self.languages[best], float(1 / np.exp(sums - sums[best]).sum())
 
 
+class _Places(dict):
+    """Where the vectors of words stand in one growing table."""
+
+    def __init__(self, scores):
+        self.scores = scores
+        self.rows = np.empty((0, 0))
+        self.held = 0
+
+    def __missing__(self, word: str) -> int:
+        vector = self.scores(word)
+        at = self[word] = len(self)
+        if at >= len(self.rows):
+            wider = np.empty((max(1_000, 2 * at), len(vector)))
+            wider[:at] = self.rows[:at].reshape(at, len(vector))
+            self.rows = wider
+        self.rows[at] = vector
+        self.held += len(word) + 2 * vector.nbytes + _ENTRY
+        return at
+
+    def __reduce__(self):
+        return _Places, (self.scores,)  # a model travels without what it has met
+
+
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on `rows` (text, lang); rows with a null text or language teach nothing, and a language
     without a word in its sample is not learnt."""
