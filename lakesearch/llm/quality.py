@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lakesearch.llm.common import BLANKS
 
-#: Frequent function words of English, German, French and Spanish.
+#: Our choice: frequent function words of English, German, French and Spanish. A text in any other language
+#: has hardly any of them and fails the rule on them: give the rules that fit your languages.
 STOP_WORDS = (
     "the of and to a in is that it for was on with as be by this at are from "
     "der die und zu den von mit das des sich für auf ist im nicht dem ein als eine "

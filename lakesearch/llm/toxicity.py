@@ -48,7 +48,7 @@ L2 = 1e-4
 FAIRNESS = 1.0
 KEPT_WORDS = 200_000
 
-#: Terms that name groups of people; a term is swapped for others of its own line.
+#: Our choice: terms that name groups of people; a term is swapped for others of its own line.
 IDENTITY_TERMS = (
     "women men girls boys",
     "woman man girl boy",
