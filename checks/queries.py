@@ -10,7 +10,7 @@ from checks import inputs as I
 from lakesearch.functions import text as T
 from lakesearch.functions import vectors as V
 from lakesearch.operators import catalog, chunking, filters, masking, metrics, positions
-from lakesearch.operators import scoring, segments, topk
+from lakesearch.operators import pruning, scoring, segments, topk
 from lakesearch.operators.embedding import (
     HashedEmbedder,
     ModelEmbedder,
@@ -81,6 +81,15 @@ def q_topk_whole_ranking(spark, folder):
     return hits.select("query_id", "repo_id", "chunk_pos", "rank", _rounded("retrieval_score"))
 
 
+@query
+def q_topk_pruned(spark, folder):
+    """The grouped search over parts with a bound, which skips those that cannot matter."""
+    vectors = I.label_vectors(spark, folder)
+    parted, parts = pruning.part_vectors(vectors, 64, per_part=50)
+    hits, _ = pruning.top_k_pruned(parted, parts, I.vector_queries(vectors), 64)
+    return hits.select("query_id", "repo_id", "chunk_pos", "rank", _rounded("retrieval_score"))
+
+
 @query
 def q_topk_shared_ids(spark, folder):
     """The same query ids asked in every repository."""

@@ -248,6 +248,9 @@ ORACLE: dict[str, str] = {
     "q_topk_passes": f"""
       SELECT query_id, repo_id, chunk_pos, rank, round(retrieval_score, 6) AS retrieval_score
       FROM ({best('label', 3)})""",
+    "q_topk_pruned": f"""
+      SELECT query_id, repo_id, chunk_pos, rank, round(retrieval_score, 6) AS retrieval_score
+      FROM ({best('label', 10)})""",
     "q_topk_whole_ranking": f"""
       SELECT query_id, repo_id, chunk_pos, rank, round(retrieval_score, 6) AS retrieval_score
       FROM ({best('label', 1000)})""",

@@ -280,3 +280,48 @@ def test_long_lists_are_ranked_without_one_window(spark, monkeypatch):
     monkeypatch.setattr(scoring, "_ranked", lambda c, *a: sorted_in_one.append(c.count()) or ranked(c, *a))
     assert ranks() == plain and len(plain) == 400
     assert sorted_in_one == [200]  # the short list only
+
+
+def clustered(spark, n, dim=16, clusters=20):
+    """Vectors around few directions, as embeddings are, in two repositories and one small one."""
+    pick = np.random.default_rng(3)
+    centres = pick.standard_normal((clusters, dim))
+    stored = centres[pick.integers(0, clusters, n)] + 0.05 * pick.standard_normal((n, dim))
+    stored /= np.linalg.norm(stored, axis=1, keepdims=True)
+    stored[50:60] = stored[49]  # ties
+    data = [(1 + (i % 3 == 0) if i >= 5 else 9, i, [float(x) for x in np.float32(row)]) for i, row in enumerate(stored)]
+    vectors = spark.createDataFrame(data, "repo_id long, chunk_pos long, embedding array<float>").repartition(4).cache()
+    asked = [(q, r, [float(x) for x in np.float32(stored[10 + 7 * q])], k) for q, k in enumerate([1, 5, 12, None]) for r in (1, 2, 9, 77)]
+    return vectors, spark.createDataFrame(asked, "query_id long, repo_id long, embedding array<float>, k int")
+
+
+@pytest.mark.parametrize("pass_bytes", [64 << 20, 6_000])
+def test_pruned_search_equals_a_full_one_and_skips_parts(spark, pass_bytes):
+    from lakesearch.operators import pruning
+
+    vectors, queries = clustered(spark, 6_000)
+    parted, parts = pruning.part_vectors(vectors, 16, per_part=60, pass_bytes=pass_bytes)
+    found, visits = pruning.top_k_pruned(parted, parts, queries, 16, pass_bytes)
+    rows = lambda df: sorted((r.query_id, r.repo_id, r["rank"], r.chunk_pos, r.retrieval_score) for r in df.collect())
+    assert rows(found) == rows(topk.top_k(vectors, queries))
+    assert parted.count() == 6_000 and parts.sizes.sum() + vectors.where("repo_id = 9").count() >= 6_000
+    if pass_bytes > 1 << 20:
+        met = visits.where("home < 9").groupBy("query_id", "home").count().collect()
+        whole = {r: (parts.repos == r).sum() for r in (1, 2)}
+        assert len(met) == 8 and all(row["count"] < 0.5 * whole[row.home] for row in met)
+
+
+def test_pruning_of_odd_tables(spark):
+    from lakesearch.operators import pruning
+
+    vectors, queries = clustered(spark, 300)
+    none, parts = pruning.part_vectors(vectors.where("false"), 16)
+    assert pruning.top_k_pruned(none, parts, queries, 16)[0].count() == 0
+    parted, parts = pruning.part_vectors(vectors, 16, per_part=10)
+    assert pruning.top_k_pruned(parted, parts, queries.where("false"), 16)[0].count() == 0
+    with pytest.raises(ValueError, match="at least 1"):
+        pruning.top_k_pruned(parted, parts, queries.withColumn("k", F.lit(0)), 16)
+    zero = spark.createDataFrame([(1, 1, [0.0] * 16, 3)], queries.schema)
+    found = pruning.top_k_pruned(parted, parts, zero, 16)[0].orderBy("rank").collect()
+    first = sorted(r.chunk_pos for r in vectors.where("repo_id = 1").collect())[:3]
+    assert [r.chunk_pos for r in found] == first  # all scores are equal: order by position
