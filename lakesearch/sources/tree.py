@@ -6,6 +6,7 @@ gives every regular file outside excluded directories.
 """
 
 import os
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -16,11 +17,16 @@ from pyspark.sql.types import StructType
 
 from lakesearch.functions import text as T
 from lakesearch.operators.filters import EXCLUDED_DIRECTORIES, EXCLUDED_SUFFIX, is_text
+from lakesearch.operators.positions import running_offset
+from lakesearch.session import cut_lineage
 
 _FORMAT = "source_tree"
 
-# File bytes gathered before they are handed to Spark.
+# File bytes gathered before they are handed to Spark, and read by one task, about.
 BATCH_BYTES = 8 * 1024 * 1024
+READ_BYTES = 64 * 1024 * 1024
+# Directories that a task lists in one round; fewer while there is not yet one for every task.
+LISTED, FIRST_LISTED = 2_000, 64
 
 
 def _skipped(directory: str) -> bool:
@@ -123,11 +129,60 @@ def _suffix(name: str) -> str:
     return name[dot:] if 0 < dot < len(name) - 1 else ""
 
 
-def read_contents(listing: DataFrame, root: str) -> DataFrame:
-    """Add the bytes of each listed file; files that cannot be read are dropped.
+def list_tree(
+    spark: SparkSession, root: str, extensions: Iterable[str] = T.SOURCE_EXTENSIONS
+) -> DataFrame:
+    """(path, size) of the files of a tree, as the listing source gives them, walked in rounds.
 
-    The narrow listing is spread evenly first, so a large directory is read by many
-    tasks. Arrow batches are cut by content size, not by number of files.
+    A task lists up to `LISTED` directories, nearest ones first, and hands back those it has not come to,
+    which the next round spreads over all tasks again. So neither a large subtree nor what hangs below
+    a long chain stays with one task.
+    """
+    if not os.path.exists(root):
+        raise FileNotFoundError(f"Path does not exist: {root}")
+    reader = _TreeReader(root, tuple(extensions), 1)
+    tasks = _tasks(spark)
+
+    def walk(limit: int):
+        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pending = deque(path for batch in batches for path in batch["path"].to_pylist())
+            for _ in range(limit):
+                if not pending:
+                    break
+                directory = pending.popleft()
+                files = list(reader._files(directory))
+                pending.extend(reader._children(directory))
+                yield _listing([f for f, _ in files], [n for _, n in files])
+            yield _listing(list(pending), [None] * len(pending))
+
+        return listed
+
+    found = spark.createDataFrame([], "path string, size bigint")
+    left, n = spark.createDataFrame([("",)], "path string"), 1
+    while n:
+        spread = left.repartition(min(n, tasks))
+        limit = LISTED if n >= tasks else FIRST_LISTED
+        step = cut_lineage(spread.mapInArrow(walk(limit), "path string, size bigint"))
+        found = found.unionByName(step.where("size is not null"))
+        left = step.where("size is null").select("path")
+        n = left.count()
+    return found
+
+
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _listing(paths: list[str], sizes: list[int | None]) -> pa.RecordBatch:
+    columns = [pa.array(paths, pa.string()), pa.array(sizes, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["path", "size"])
+
+
+def read_contents(listing: DataFrame, root: str, read_bytes: int = READ_BYTES) -> DataFrame:
+    """Add the bytes of each file of `listing` (path, size); files that cannot be read are dropped.
+
+    Running sums of the sizes cut the listing into shares of about `read_bytes`, one for each task: many
+    small files, or a large one and no other. Arrow batches are cut by content size too.
     """
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,8 +202,14 @@ def read_contents(listing: DataFrame, root: str) -> DataFrame:
                     paths, contents, size = [], [], 0
         yield _batch(paths, contents)
 
-    tasks = int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = listing.select("path").repartition(tasks)
+    total = listing.agg(F.sum("size")).first()[0] or 0
+    tasks = _tasks(listing.sparkSession)
+    # Small trees are read by all tasks, too.
+    share = max(1, min(read_bytes, -(-total // tasks)))
+    placed = running_offset(listing.select("path", "size"), [], [F.col("path")], F.col("size"), name="before")
+    parts = -(-total // share) + 1
+    numbered = placed.select("path", F.expr(f"cast(before div {share} as int)").alias("share"))
+    spread = numbered.repartitionById(parts, "share").select("path")
     return spread.mapInArrow(load, "path string, content binary")
 
 
@@ -164,11 +225,6 @@ def read_source_tree(
     extensions: Iterable[str] = T.SOURCE_EXTENSIONS,
 ) -> DataFrame:
     """The text files of a tree as (repo_id, path, content); each file is read once."""
-    if not os.path.exists(root):
-        raise FileNotFoundError(f"Path does not exist: {root}")
-    spark.dataSource.register(SourceTree)
-    listing = (
-        spark.read.format(_FORMAT).option("extensions", ",".join(extensions)).load(str(root))
-    )
+    listing = cut_lineage(list_tree(spark, str(root), extensions))
     files = read_contents(listing, str(root)).where(is_text(F.col("content")))
     return files.select(F.lit(repo_id).cast("bigint").alias("repo_id"), "path", "content")

@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lakesearch.sources import tree as tree_source
 from lakesearch.sources.tables import jdbc_options, read_corpus
 from lakesearch.sources.tree import read_source_tree
 
@@ -50,6 +51,49 @@ def test_deep_and_wide_trees_are_walked_completely(spark, tmp_path):
     assert len(paths) == 90 and set(paths) == expected
 
 
+def test_the_listing_source_equals_the_rounds(spark, tree):
+    spark.dataSource.register(tree_source.SourceTree)
+    listed = spark.read.format("source_tree").load(tree)
+    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, tree_source.list_tree(spark, tree).collect()))
+
+
+def test_a_subtree_below_a_deep_chain_is_walked_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tree_source, "LISTED", 20)
+    monkeypatch.setattr(tree_source, "FIRST_LISTED", 15)
+    bottom = tmp_path.joinpath(*["d"] * 60)
+    expected = {f"{'d/' * 60}e{i}/m.py" for i in range(120)}
+    for i in range(120):
+        (bottom / f"e{i}").mkdir(parents=True)
+        (bottom / f"e{i}" / "m.py").write_text(f"x = {i}\n")
+    rounds = []
+    cut = tree_source.cut_lineage
+    counted = F.count_if(F.col("size").isNull())
+
+    def watched(df):
+        done = cut(df)
+        per_task = done.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), counted.alias("left"))
+        rounds.append([(r.n, r.left) for r in per_task.collect()])
+        return done
+
+    monkeypatch.setattr(tree_source, "cut_lineage", watched)
+    found = tree_source.list_tree(spark, str(tmp_path)).collect()
+    assert {r.path for r in found} == expected and len(found) == 120
+    assert all(n - left <= 20 for tasks in rounds for n, left in tasks)
+    assert max(len(tasks) for tasks in rounds) > 1
+
+
+def test_reads_are_balanced_by_bytes(spark, tmp_path):
+    sizes = [200_000] + [100] * 3000 + [5_000] * 20
+    for i, n in enumerate(sizes):
+        (tmp_path / f"m{i:05}.py").write_bytes(b"#" * n)
+    listing = tree_source.list_tree(spark, str(tmp_path))
+    read = tree_source.read_contents(listing, str(tmp_path), read_bytes=40_000)
+    shares = read.groupBy(F.spark_partition_id()).agg(F.sum(F.length("content")).alias("n"), F.count("*").alias("files")).collect()
+    assert sum(r.files for r in shares) == len(sizes) and sum(r.n for r in shares) == sum(sizes)
+    # The large file has a task to itself but for what is before it in its share.
+    assert sorted(r.n for r in shares)[-2] <= 45_000 and len(shares) >= 9
+
+
 def test_corpus_table_reads_three_columns(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a.py", "x", "big")], "id long, p string, c string, other string")
     rows.write.parquet(str(tmp_path / "t"))
