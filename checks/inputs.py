@@ -49,6 +49,10 @@ func (p *Part{n}) Name() string {
 \tif p.Size > 0 { return "{name} }" }
 \treturn "none"
 }
+
+func Map{n}[T any, U interface{ A() }](xs []T) []U {
+\treturn nil
+}
 '''
 
 JS = '''// function hidden{n}() {}
@@ -65,6 +69,9 @@ class Part{n} extends Base
   }
 }
 const table = { find(key) { return key; } };
+function deep{n}() {
+  return `a ${[1].map((x) => `{ ${x ? `(` : "}"} }`)} {`;
+}
 '''
 
 TS = '''export abstract class Shape{n} { area(): number { return 0; } abstract side(): number; }
@@ -77,6 +84,9 @@ export class Part{n} implements Sized {
 }
 function over(a: string): void;
 function over(a: any): void { }
+function apply{n}<T extends (x: number) => void>(f: T): void {
+  f({n});
+}
 '''
 
 MD = '''# {name}
@@ -99,19 +109,47 @@ DEFINITIONS = [
     (".py", "function", "build_{n}", 19, 24, "Build {name}.\n\n    class NotHere:"),
     (".go", "function", "Build{n}", 6, 9, None),
     (".go", "method", "Name", 11, 14, None),
+    (".go", "function", "Map{n}", 16, 18, None),
     (".js", "function", "build{n}", 2, 5, None),
     (".js", "class", "Part{n}", 6, 13, None),
     (".js", "method", "constructor", 8, 8, None),
     (".js", "method", "name", 9, 12, None),
     (".js", "function", "find", 14, 14, None),
+    (".js", "function", "deep{n}", 15, 17, None),
     (".ts", "method", "area", 1, 1, None),
     (".ts", "class", "Part{n}", 2, 8, None),
     (".ts", "method", "constructor", 3, 3, None),
     (".ts", "method", "sides", 4, 6, None),
     (".ts", "method", "pair", 7, 7, None),
     (".ts", "function", "over", 10, 10, None),
+    (".ts", "function", "apply{n}", 11, 13, None),
 ]
 
+# What is masked in the templates above: comments and strings whole, in types the brackets.
+MASKED = {
+    ".py": [
+        ("comment", "# def hidden_{n}(): pass"),
+        ("string", '"""{name} part."""'),
+        ("string", '"def fake(): {"'),
+        ("comment", "# class No:"),
+        ("string", "'''Build {name}.\n\n    class NotHere:\n    '''"),
+    ],
+    ".go": [
+        ("comment", "// func Hidden{n}() {}"),
+        ("string", "`raw } func Fake() {`"),
+        ("string", '"{name} }"'),
+        ("string", '"none"'),
+        ("type", "[T any, U interface{ A() }]"),
+    ],
+    ".js": [
+        ("comment", "// function hidden{n}() {}"),
+        ("string", "`x ${size} } {`"),
+        ("string", '"{name} {"'),
+        ("string", "`a ${[1].map((x) => `{ ${x ? `(` : \"}\"} }`)} {`"),
+    ],
+    ".ts": [("type", "<T extends (x: number) => void>")],
+}
+
 # What stands before and after the definition on its first and last line.
 BEFORE = {
     (".js", "build{n}"): "export ",

@@ -468,8 +468,7 @@ def _chunk_columns(chunks: DataFrame) -> DataFrame:
     )
 
 
-@query
-def q_mask_keeps_length(spark, folder):
+def _masked_code(spark, folder) -> DataFrame:
     files = _code(spark, folder)
     rules = {
         "python": masking.mask_python,
@@ -481,11 +480,25 @@ def q_mask_keeps_length(spark, folder):
     masked = F.lit(None).cast("string")
     for name, rule in rules.items():
         masked = F.when(language == name, rule(F.col("text"))).otherwise(masked)
-    return files.where(language.isNotNull()).select(
+    return files.where(language.isNotNull()).select("path", masked.alias("masked"))
+
+
+@query
+def q_mask_keeps_length(spark, folder):
+    masked = F.col("masked")
+    return _masked_code(spark, folder).select(
         "path", F.length(masked).alias("masked_chars"), T.line_count(masked).alias("masked_lines")
     )
 
 
+@query
+def q_mask_text(spark, folder):
+    """The masked text itself, with signs that can be printed."""
+    return _masked_code(spark, folder).select(
+        "path", F.translate("masked", masking.OPEN + masking.FILL, "^~").alias("masked")
+    )
+
+
 @query
 def q_py_chunks(spark, folder):
     files = _code(spark, folder).where(T.language(F.col("path")) == "python")

@@ -132,6 +132,21 @@ def suffix() -> str:
 
 CODE_PATH = f"'src/' || lower(p_brand) || '/m_' || p_partkey || {suffix()}"
 REPO = "substr(p_brand, 7)::BIGINT"
+
+
+def masked(ext: str) -> str:
+    """A template with what it hides replaced, listed piece by piece."""
+    text = filled(I.TEMPLATES[ext])
+    for kind, piece in I.MASKED[ext]:
+        found = filled(piece)
+        hidden = {
+            "comment": f"regexp_replace({found}, '[^\\n]', ' ', 'g')",
+            "string": f"'^' || regexp_replace(substr({found}, 2), '[^\\n]', '~', 'g')",
+            "type": f"regexp_replace({found}, '[(){{}}=]', '~', 'g')",
+        }[kind]
+        text = f"replace({text}, {found}, {hidden})"
+    return text
+
 ODD_PATH = (
     f"{listed(I.DIRECTORIES)}[(p_partkey % {len(I.DIRECTORIES)} + 1)::INT] || '/' || "
     f"replace(p_name, ' ', '-') || "
@@ -446,6 +461,10 @@ ORACLE: dict[str, str] = {
       SELECT 0 AS repo_id, conv_id::VARCHAR AS file_path, turn AS part, 'turn' AS node_type,
              role AS name, 1 AS start_line, len(string_split(text, chr(10))) AS end_line,
              text AS source_text FROM conversations""",
+    "q_mask_text": " UNION ALL ".join(
+        f"""SELECT {CODE_PATH} AS path, {masked(ext)} AS masked
+            FROM part WHERE {suffix()} = '{ext}'""" for ext in I.MASKED
+    ),
     "q_mask_keeps_length": " UNION ALL ".join(
         f"""SELECT {CODE_PATH} AS path, length({filled(I.TEMPLATES[ext])}) AS masked_chars,
               {I.TEMPLATES[ext].count(chr(10)) + 1} AS masked_lines
