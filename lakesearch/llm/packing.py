@@ -36,8 +36,8 @@ CROSSOVERS = 6
 PATIENCE = 1
 #: Rows of states (some MB each) that one task evolves, about.
 STATES = 12
-#: Bytes of chunks and ids that a Python worker keeps.
-KEPT_BYTES = 96 << 20
+#: Bytes of chunks and ids that a task keeps.
+KEPT_BYTES = 28 << 20
 _ENTRY = 200  # bytes of a dictionary entry and its two objects, about
 #: A run of white space of so many characters goes through the tokenizer itself.
 LONG_BLANK = 1_000
@@ -103,6 +103,10 @@ class ByteTokens(dict):
         self[chunk] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.older, self.held = {}, 0
+
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special) or self.long_blank(text):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
@@ -113,7 +117,7 @@ class ByteTokens(dict):
 
 @lru_cache(maxsize=2)
 def byte_tokens(path: str) -> ByteTokens:
-    """One per Python worker: later tasks find the chunks of earlier ones."""
+    """One per Python worker: the tables are built once, the chunks go with the task."""
     return ByteTokens(path)
 
 
@@ -146,6 +150,7 @@ def token_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
+        tokens.forget()
 
     return docs.select("doc_id", "text").mapInPandas(
         pieces, "doc_id long, piece int, start long, length long, ids_crc32 long"
