@@ -175,7 +175,8 @@ class Transaction:
         if "chunk_pos" in schema.names:
             counts.append((F.max("chunk_pos") + 1).alias("next_pos"))
         parts = written.groupBy("repo_id").agg(*counts).withColumn("run", F.lit(run))
-        self._counted[table] = cut_lineage(_state_rows(parts, table))
+        # Counted when the version is written; a run does not change until then, or later.
+        self._counted[table] = _state_rows(parts, table)
         return written, self._counted[table]
 
     def counts(self, table: str) -> DataFrame:
