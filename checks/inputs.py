@@ -163,6 +163,10 @@ AFTER = {
     (".ts", "area"): " abstract side(): number; }",
 }
 
+# Files are far wider than the part rows they are filled from: so many of them are one task's work,
+# however few splits the table has.
+FILES_PER_TASK = 5_000
+
 EXTENSIONS = [".py", ".PY", ".rs", ".h", "", ".tar.gz", ".cpp", ".md", ".ts", "."]
 DIRECTORIES = [
     "src",
@@ -196,7 +200,8 @@ def fill(template: str, part: DataFrame) -> Column:
 
 def code_files(spark: SparkSession, folder: str) -> DataFrame:
     """(repo_id, path, content): one file per part; `.js` files have CRLF line ends."""
-    part = table(spark, folder, "part")
+    part = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand")
+    part = part.repartition(part.count() // FILES_PER_TASK + 1)
     kinds = list(TEMPLATES)
     suffix = pick(kinds, part.p_partkey)
     content = F.lit(None).cast("string")

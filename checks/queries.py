@@ -478,8 +478,9 @@ def _masked_code(spark, folder) -> DataFrame:
     }
     language = T.language(F.col("path"))
     masked = F.lit(None).cast("string")
-    for name, rule in rules.items():
-        masked = F.when(language == name, rule(F.col("text"))).otherwise(masked)
+    for rule in dict.fromkeys(rules.values()):
+        own = language.isin([name for name in rules if rules[name] is rule])
+        masked = F.when(own, rule(F.when(own, F.col("text")))).otherwise(masked)
     return files.where(language.isNotNull()).select("path", masked.alias("masked"))
 
 

@@ -139,7 +139,8 @@ def _bracket_facts(files: DataFrame) -> DataFrame:
     The code itself is not kept, so it is not shuffled.
     """
     go, text = T.language(F.col("path")) == "go", F.col("text")
-    masked = F.when(go, M.mask_go(text)).otherwise(M.mask_script(text))
+    # The scanner's input is made for all rows, so other languages are NULL there.
+    masked = F.when(go, M.mask_go(text)).otherwise(M.mask_script(F.when(~go, text)))
     pieces = F.regexp_extract_all(masked, F.lit("[^{}()]*+[{}()]"), F.lit(0))
     rows = files.select(*FILE, go.alias("go"), F.posexplode(pieces).alias("idx", "piece"))
     rows = rows.withColumns(

@@ -16,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lakesearch.functions import text as T
+
 OPEN = "\u0002"
 FILL = "\u0001"
 
@@ -46,7 +48,8 @@ def _template(within: str) -> str:
 
 _TEMPLATE = _template(_inside(_DEPTH))
 _REGEX = (
-    rf"(?<=(?:^|[(,=:\[!&|?{{}};\n]|\breturn)[ \t]{{0,{_BLANKS}}})/(?![/*])"
+    # The slash is looked for first: the look-behind tries every length at every place.
+    rf"(?=/)(?<=(?:^|[(,=:\[!&|?{{}};\n]|\breturn)[ \t]{{0,{_BLANKS}}})/(?![/*])"
     r"(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/"
 )
 
@@ -120,19 +123,25 @@ def _mask_braces(text: Column, pattern: str) -> Column:
 
 
 def mask_go(text: Column) -> Column:
-    masked = _mask_braces(text, GO)
-    typed = F.contains(masked, F.lit("func")) & masked.rlike(_GO_TYPE_PARAMETERS)
-    return F.when(typed, _hide_brackets(masked, _GO_TYPE_PARAMETERS)).otherwise(masked)
+    def typed(masked: Column) -> Column:
+        found = F.contains(masked, F.lit("func")) & masked.rlike(_GO_TYPE_PARAMETERS)
+        return F.when(found, _hide_brackets(masked, _GO_TYPE_PARAMETERS)).otherwise(masked)
+
+    return T.once(_mask_braces(text, GO), typed)
 
 
 def mask_script(text: Column) -> Column:
-    plain = _mask_braces(text, SCRIPT)
-    # A back-tick that the pattern left, or a slash behind more blanks than its look-behind takes.
-    deep = F.contains(text, F.lit("${")) & F.contains(plain, F.lit("`"))
-    deep = deep | text.rlike(rf"[ \t]{{{_BLANKS},}}/")
-    masked = F.when(deep, _scan(F.when(deep, text))).otherwise(plain)
-    typed = masked.rlike(_SCRIPT_TYPES)
-    return F.when(typed, _hide_brackets(masked, _SCRIPT_TYPES)).otherwise(masked)
+    def shallow(plain: Column) -> Column:
+        # A back-tick that the pattern left, or a slash behind more blanks than its look-behind takes.
+        deep = F.contains(text, F.lit("${")) & F.contains(plain, F.lit("`"))
+        return F.when(~(deep | text.rlike(rf"[ \t]{{{_BLANKS},}}/")), plain)
+
+    def typed(masked: Column) -> Column:
+        found = masked.rlike(_SCRIPT_TYPES)
+        return F.when(found, _hide_brackets(masked, _SCRIPT_TYPES)).otherwise(masked)
+
+    plain = T.once(_mask_braces(text, SCRIPT), shallow)
+    return T.once(F.coalesce(plain, _scan(F.when(plain.isNull(), text))), typed)
 
 
 # Types that hold brackets: they would be taken for parameters and bodies.
@@ -158,13 +167,15 @@ _SCRIPT_TYPES = (
 
 def _hide_brackets(masked: Column, pattern: str) -> Column:
     """Brackets and arrows in what the pattern finds become FILL; a first `)` stays."""
-    tokens = F.regexp_extract_all(masked, F.lit(rf"(?s){pattern}|."), F.lit(0))
+    found = F.regexp_extract_all(masked, F.lit(rf"(?s){pattern}"), F.lit(0))
+    between = F.split(masked, rf"(?s){pattern}", -1)
 
-    def hide(token: Column) -> Column:
+    def hide(before: Column, token: Column) -> Column:
         hidden = F.translate(F.substring(token, 2, 2147483647), "(){}=", FILL * 5)
-        return F.when(F.length(token) > 1, F.concat(F.left(token, F.lit(1)), hidden)).otherwise(token)
+        # Behind the last match there is text, but no token.
+        return F.concat(before, F.coalesce(F.concat(F.left(token, F.lit(1)), hidden), F.lit("")))
 
-    return _join(F.transform(tokens, hide))
+    return _join(F.zip_with(between, found, hide))
 
 
 # The scanner

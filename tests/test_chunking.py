@@ -294,3 +294,28 @@ def test_python_chunks_equal_the_parser_on_the_standard_library(spark):
     }
     assert len(expected) > 1000
     assert got == expected
+
+
+def test_files_of_one_split_are_many_tasks(spark, tmp_path, monkeypatch):
+    """A narrow part table is one split; the files filled from it are far wider."""
+    from checks import inputs
+
+    part = spark.range(1000).selectExpr("id p_partkey", "'a name' p_name", "'Brand#1' || id % 9 p_brand")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(inputs, "FILES_PER_TASK", 100)
+    files = inputs.code_files(spark, str(tmp_path))
+    sizes = files.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 1000
+    assert len(sizes) > 8 and max(r["count"] for r in sizes) < 200
+
+
+def test_brackets_in_types_are_hidden_around_matches(spark):
+    """First, last and neighbouring matches, and what stands between them."""
+    texts = {
+        "func A[T any](x)": "func A[T any](x)",
+        "func A[T f(a)](x) func B[U {b}](y)": "func A[T f\1a\1](x) func B[U \1b\1](y)",
+        "é = 1": "é = 1",
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.m for r in rows.select("t", masking.mask_go(F.col("t")).alias("m")).collect()}
+    assert got == texts
