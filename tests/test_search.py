@@ -325,3 +325,65 @@ def test_pruning_of_odd_tables(spark):
     found = pruning.top_k_pruned(parted, parts, zero, 16)[0].orderBy("rank").collect()
     first = sorted(r.chunk_pos for r in vectors.where("repo_id = 1").collect())[:3]
     assert [r.chunk_pos for r in found] == first  # all scores are equal: order by position
+
+
+def test_small_passes_of_a_large_k_write_few_sketches(spark, monkeypatch):
+    """However small a pass, a query's sketch is not a list of all vectors."""
+    data, queries = unit_rows(900), unit_rows(12, seed=4)
+    written, cut = [], topk.cut_lineage
+
+    def counted(rows):
+        done = cut(rows)
+        written.append(done.count() if "weight" in done.columns else 0)
+        return done
+
+    monkeypatch.setattr(topk, "cut_lineage", counted)
+    got = ranking(topk.top_k(frame(spark, data), asked(spark, queries, k=200), pass_bytes=2000))
+    assert got == {i: brute(data, q, 200) for i, q in enumerate(queries)}
+    assert 0 < max(written) <= len(queries) * topk.SKETCH
+
+
+def test_pruned_search_writes_no_row_per_query_and_part(spark, monkeypatch):
+    """Where bounds skip nothing, the visits are not written one by one."""
+    from lakesearch.operators import pruning
+
+    data = unit_rows(1500)
+    vectors, queries = frame(spark, data), asked(spark, data[:60], k=5)
+    parted, parts = pruning.part_vectors(vectors, 16, per_part=10)
+    written, cut = [], pruning.cut_lineage
+
+    def counted(rows):
+        done = cut(rows)
+        written.append(done.count())
+        return done
+
+    monkeypatch.setattr(pruning, "cut_lineage", counted)
+    found, visits = pruning.top_k_pruned(parted, parts, queries, 16)
+    assert ranking(found) == {i: brute(data, q, 5) for i, q in enumerate(data[:60])}
+    assert visits.count() > 60 * 0.8 * len(parts.repos) > 5 * max(written)
+
+
+def test_a_block_of_queries_takes_little_beside_itself():
+    """Neither a second copy of the queries nor a sort of all lists at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, k = 60_000, 10
+    queries = unit_rows(n, 64)
+    stored = pa.RecordBatch.from_pydict(
+        {
+            "repo_id": np.zeros(300, np.int64),
+            "chunk_pos": np.arange(300),
+            "embedding": pa.array(list(unit_rows(300, 64, seed=6)), pa.list_(pa.float32())),
+        }
+    )
+    ids, repos, ks = np.arange(n), np.zeros(n, np.int64), np.full(n, k)
+    tracemalloc.start()
+    try:
+        done = list(topk._best_in_partition([stored], ids, repos, ks, np.full(n, -np.inf), queries))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(b.num_rows for b in done) == n * k
+    assert peak < 5 * 24 * k * n
