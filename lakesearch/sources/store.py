@@ -29,6 +29,9 @@ from lakesearch.session import child_names, cut_lineage, remove, rename_folder
 
 #: Longest list of partitions, of one table, that a reader names one by one.
 NAMED_PARTS = 1000
+#: Bytes of a row group before compression. Readers split files between row groups, and what they do with a
+#: text (embedding, terms) takes far longer than reading it.
+ROW_GROUP = 4 * 1024 * 1024
 
 TABLES = {"repos": S.REPOS, "chunks": S.CHUNKS, "vectors": S.VECTORS, "terms": S.TERMS}
 #: A version: rows of `repos`, and for the other tables one row per repository and run. `rows` counts the
@@ -168,7 +171,7 @@ class Transaction:
         run = f"r{uuid.uuid4().hex}"
         base = f"{self.base.location}/data/{table}"
         path = f"{base}/run={run}"
-        even.write.partitionBy("repo_id").parquet(path)
+        even.write.partitionBy("repo_id").option("parquet.block.size", ROW_GROUP).parquet(path)
         self.runs.append(path)
         written = self.spark.read.schema(schema).parquet(path).select(*schema.names)
         counts = [F.count("*").alias("rows")]

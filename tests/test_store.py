@@ -259,3 +259,26 @@ def test_append_shuffles_keys_and_reads_no_stored_row(spark, store, monkeypatch)
     monkeypatch.undo()
     got = sorted((r.repo_id, r.chunk_pos, r.embedding[0]) for r in store.read("vectors").collect())
     assert got == sorted((1 + i % 2, i // 2 + 5 * k, float(i)) for i in range(10) for k in (0, 1))
+
+
+def test_a_large_file_can_be_read_by_several_tasks(spark):
+    """Long texts of one repository: row groups that splits can be cut between."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from lakesearch.session import shared_path
+
+    store = IndexStore(spark, shared_path(spark, "groups")).create()
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(400)), lambda i: F.md5(F.concat_ws("-", "id", i))), " ")
+    rows = spark.range(2_000).select(
+        F.lit(1).cast("bigint").alias("repo_id"), F.col("id").alias("chunk_pos"), F.lit("a").alias("file_path"),
+        F.lit("file").alias("node_type"), F.lit("a").alias("name"), F.lit(1).alias("start_line"),
+        F.lit(1).alias("end_line"), text.alias("source_text"), F.lit(None).cast("string").alias("docstring"),
+    )
+    store.append("chunks", rows, sort=["chunk_pos"])
+    paths = glob.glob(store.location.removeprefix("file:") + "/data/chunks/**/*.parquet", recursive=True)
+    groups = [pq.ParquetFile(path).metadata for path in paths]
+    sizes = [m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups)]
+    assert sum(sizes) > 25 << 20 and max(sizes) < 8 << 20
+    assert store.read("chunks").agg(F.sum("chunk_pos")).first()[0] == 1999 * 1000
