@@ -132,11 +132,13 @@ def _long_lists(vectors: DataFrame, wanted: DataFrame, dim: int, pass_bytes: int
     # Fewer rows than k: all of them are hits.
     floor = F.coalesce("floor", F.lit(float("-inf")))
     bounded = wanted.join(floors, query, "left").select(*wanted.columns, floor.alias("floor"))
-    found = scan(cut_lineage(bounded), _above_partition, PARTIAL_HITS)
+    found = scan(cut_lineage(bounded), _above_partition, HITS)
     order = [-F.col("retrieval_score"), F.col("chunk_pos")]
-    placed = dense_positions(found, query, order, name="place")
+    # The limits are narrow, the hits many: up to the size of a block they come to the hits.
+    sent = F.broadcast(limits) if 24 * n <= PASS_BYTES else limits
+    placed = dense_positions(found, query, order, name="place").join(sent, query)
     return placed.where(F.col("place") < F.col("wanted")).select(
-        *[c for c in found.columns if c != "wanted"], (F.col("place") + 1).cast("int").alias("rank")
+        *found.columns, (F.col("place") + 1).cast("int").alias("rank")
     )
 
 
@@ -341,7 +343,7 @@ def _sketch_partition(batches, query_ids, query_repos, wanted, _, queries) -> It
         )
 
 
-def _above_partition(batches, query_ids, query_repos, wanted, floors, queries) -> Iterator[pa.RecordBatch]:
+def _above_partition(batches, query_ids, query_repos, _, floors, queries) -> Iterator[pa.RecordBatch]:
     """Every pair whose exact score reaches the query's floor."""
     for lo, hi, pos, vectors, scores, margin in _tiles(_together(batches), query_repos, queries):
         near = scores >= floors[lo:hi] - margin
@@ -353,8 +355,9 @@ def _above_partition(batches, query_ids, query_repos, wanted, floors, queries) -
             score = _exact_scores(vectors, v, queries, q)
             keep = score >= floors[q]
             v, q, score = v[keep], q[keep], score[keep]
-            names = {"query_id": query_ids[q], "repo_id": query_repos[q], "chunk_pos": pos[v]}
-            yield pa.RecordBatch.from_pydict(names | {"retrieval_score": score, "wanted": wanted[q]})
+            yield pa.RecordBatch.from_pydict(
+                {"query_id": query_ids[q], "repo_id": query_repos[q], "chunk_pos": pos[v], "retrieval_score": score}
+            )
 
 
 class _Lists:

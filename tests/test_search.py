@@ -387,3 +387,17 @@ def test_a_block_of_queries_takes_little_beside_itself():
         tracemalloc.stop()
     assert sum(b.num_rows for b in done) == n * k
     assert peak < 5 * 24 * k * n
+
+
+def test_a_query_asked_twice_counts_its_hits_as_before(spark):
+    """Floors come from lists in which such a hit stands four times; the last visit must count alike."""
+    from lakesearch.operators import pruning
+
+    data = unit_rows(200)
+    queries = asked(spark, data[:4], k=6)
+    parted, parts = pruning.part_vectors(frame(spark, data), 16, per_part=10)
+    found, _ = pruning.top_k_pruned(parted, parts, queries.unionByName(queries), 16)
+    best = {i: brute(data, q, 2) for i, q in enumerate(data[:4])}
+    assert ranking(found) == {i: [a] * 4 + [b] * 2 for i, (a, b) in best.items()}
+    long = ranking(topk.top_k(frame(spark, data), queries.unionByName(queries).withColumn("k", F.lit(100)), pass_bytes=2000))
+    assert {i: len(hits) for i, hits in long.items()} == dict.fromkeys(range(4), 200)
